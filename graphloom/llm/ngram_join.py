@@ -9,7 +9,10 @@ a lower bound of the difference, and of one chunk more than the bound, some
 chunk is equal: the pigeonhole join. Chunk counts hold for a size band and the
 next one; a set takes part in the two bands where it can have partners. As
 only equal chunks that aren't empty are joined, a set sends its first chunks
-until it has one more filled chunk than its bound.
+until it has one more filled chunk than its bound, and ``spare(n)`` beyond.
+These let crowded chunk values go: linked sets share more than ``spare`` values,
+so a value of many components only matters among sets that have more crowded
+values than they can spare.
 
 Equal sets are one class and are joined once. Chunks travel in packed blocks, not rows: a task sorts
 what it has by chunk value, deals it to value ranges, and each range is grouped
@@ -46,6 +49,8 @@ from .components import components
 PERCENT = 75
 #: Sets of a batch that share a chunk value before the map task reduces them.
 CROWD = 16
+#: Components that share a chunk value before sets spare it.
+CROWDED = 8
 #: Up to this size every shingle is a chunk of its own.
 TINY = 32
 _SCOPE = 0xD6E8FEB86659FD93
@@ -68,12 +73,21 @@ def difference(n: int, m: int, percent: int) -> int:
     return n + m - 2 * -(-percent * (n + m) // (100 + percent))
 
 
-def chunk_count(most: int) -> int:
-    """Chunks of a band's sketches: one more than the bound, and room for those that stay empty."""
-    if most < TINY // 3:
-        return 1 << 32
-    empty = 0.065 * (most + 1)
-    return most + 1 + math.ceil(empty + 6 * math.sqrt(empty) + 4)
+def spare(n: int) -> int:
+    """Filled chunks that a set of n sends beyond its need. Half of them may be missing by chance; half are relied on."""
+    return min(n // 24 + 4, n // 2)
+
+
+def chunk_count(need: int, n: int) -> int:
+    """Chunks of a band's sketches: ``need`` filled ones of n shingles, with room for those that stay empty."""
+    chunks = need
+    while n > TINY and chunks < 4 * n:
+        share = math.exp(-n / chunks)
+        spread = math.sqrt(chunks * share * (1 - (1 + n / chunks) * share))
+        if chunks * (1 - share) - 6 * spread - 2 >= need:
+            return chunks
+        chunks += 1 + chunks // 64
+    return 1 << 32
 
 
 class Sketcher:
@@ -93,16 +107,20 @@ class Sketcher:
             out = []
             for scope, partner in ((band, 100 * n // self.percent), (band - 1, self.edges[band] - 1)):
                 if scope >= 0 and 100 * partner >= self.percent * n:
-                    small = self.edges[scope + 1] - 1
-                    most = difference(small, 100 * small // self.percent, self.percent)
-                    most = max(most, *(difference(small, m, self.percent) for m in (small, 100 * small // self.percent - 1)))
-                    own = max(difference(n, m, self.percent) for m in {partner, max(n, partner - 1), partner - 1} if m > 0)
-                    out.append((scope, chunk_count(most), own + 1))
+                    first, last, most = self.edges[scope], self.edges[scope + 1] - 1, self.edges[scope + 2] - 1
+                    needs = [(m, self.bound(m, 100 * m // self.percent) + 1 + spare(m) // 2) for m in (first, last)]
+                    needs.append((most, self.bound(most, last) + 1 + spare(most) // 2))
+                    chunks = max(chunk_count(need, m) for m, need in needs)
+                    out.append((scope, chunks, self.bound(n, partner) + 1 + spare(n)))
             self.cached[n] = out
         return self.cached[n]
 
+    def bound(self, n: int, partner: int) -> int:
+        """The largest difference of a set of n and linked sets up to ``partner``; it rises and falls by one with their parity."""
+        return max(difference(n, m, self.percent) for m in range(max(1, partner - 3), partner + 1))
+
     def values(self, found: np.ndarray) -> np.ndarray:
-        """The chunk values that a set sends."""
+        """The chunk values that a set sends, each with its scope in the lowest seven bits."""
         out = []
         for scope, chunks, send in self.scopes(len(found)):
             at = ((found >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)
@@ -110,7 +128,8 @@ class Sketcher:
             last = starts[send] if len(starts) > send else len(found)
             starts = starts[:send]
             parity = np.bitwise_xor.reduceat(mix(found[:last] + np.uint64(_SCOPE)), starts)
-            out.append(mix(parity ^ mix(at[starts] + np.uint64((scope + 1) * _SCOPE % (1 << 64)))))
+            value = mix(parity ^ mix(at[starts] + np.uint64((scope + 1) * _SCOPE % (1 << 64))))
+            out.append(value & np.uint64(0xFFFFFFFFFFFFFF80) | np.uint64(scope % 128))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -308,9 +327,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = stored.filter("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("key")).distinct()
     crowded = crowded.join(by_key, "key").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     crowded = crowded.select("value", "n", "rep", F.coalesce("label", "rep").alias("label"))
-    spread = crowded.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value")
-    open_ = materialize(crowded.join(spread, "value"), "open")
-    one, two = (open_.select("value", F.col("n").alias(f"n_{d}"), F.col("rep").alias(d), F.col("label").alias(f"label_{d}")) for d in ("a", "b"))
+    spread = crowded.select("value", "label").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    open_ = materialize(crowded.join(spread, "value").withColumn("scope", F.col("value").bitwiseAND(127)), "open")
+    busy = open_.filter(F.col("labels") > CROWDED).groupBy("rep", "scope", "n").agg(F.count(F.lit(1)).alias("busy"))
+    busy = busy.filter(F.col("busy") > F.floor(F.least(F.floor(F.col("n") / 24) + 4, F.floor(F.col("n") / 2)) / 2)).select("rep", "scope")
+    held = open_.filter(F.col("labels") <= CROWDED).unionByName(open_.filter(F.col("labels") > CROWDED).join(busy, ["rep", "scope"], "left_semi"))
+    one, two = (held.select("value", F.col("n").alias(f"n_{d}"), F.col("rep").alias(d), F.col("label").alias(f"label_{d}")) for d in ("a", "b"))
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("label_a") != F.col("label_b"))
     rest = one.join(two, "value").filter((F.col("a") > F.col("b")) & fits).select("a", "b").distinct()
     rest = rest.join(candidates.select("a", "b").unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
