@@ -9,10 +9,10 @@ a lower bound of the difference, and of one chunk more than the bound, some
 chunk is equal: the pigeonhole join. Chunk counts hold for a size band and the
 next one; a set takes part in the two bands where it can have partners. As
 only equal chunks that aren't empty are joined, a set sends its first chunks
-until it has one more filled chunk than its bound, and ``spare(n)`` beyond.
-These let crowded chunk values go: linked sets share more than ``spare`` values,
-so a value of many components only matters among sets that have more crowded
-values than they can spare.
+until it has one more filled chunk than its bound, and ``spare(n)`` beyond. So
+linked sets share more than ``relied(n)`` values, and every set may leave out
+that many: those that most sets have. The rarest shared value of a pair always
+remains with both.
 
 Equal sets are one class and are joined once. Chunks travel in packed blocks, not rows: a task sorts
 what it has by chunk value, deals it to value ranges, and each range is grouped
@@ -21,8 +21,8 @@ its sets are paired with the smallest, and only three of them travel on.
 
 Each candidate is verified on the shingle sets of the whole texts. Candidates
 are first each set's most frequent smallest partner, then other smallest
-partners in another component, then all pairs of a chunk value that still
-lie in different components. So members of one large group aren't paired with each
+partners in another component, both if they share enough values, then pairs of
+a remaining chunk value that still lie in different components. So members of one large group aren't paired with each
 other, and no link between components is lost.
 
 Defined cases: null, empty and blank texts have the empty set, link with
@@ -39,7 +39,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import materialize, maybe_broadcast, shared_dir, text_of
@@ -49,8 +50,6 @@ from .components import components
 PERCENT = 75
 #: Sets of a batch that share a chunk value before the map task reduces them.
 CROWD = 16
-#: Components that share a chunk value before sets spare it.
-CROWDED = 8
 #: Up to this size every shingle is a chunk of its own.
 TINY = 32
 _SCOPE = 0xD6E8FEB86659FD93
@@ -74,8 +73,8 @@ def difference(n: int, m: int, percent: int) -> int:
 
 
 def spare(n: int) -> int:
-    """Filled chunks that a set of n sends beyond its need. Half of them may be missing by chance; half are relied on."""
-    return min(n // 24 + 4, n // 2)
+    """Filled chunks that a set of n sends beyond its need. Some may be missing by chance; ``relied`` on is half."""
+    return min(n // 16 + 6, n // 2)
 
 
 def chunk_count(need: int, n: int) -> int:
@@ -90,6 +89,11 @@ def chunk_count(need: int, n: int) -> int:
     return 1 << 32
 
 
+def relied(n: Column) -> Column:
+    """Half of ``spare``: linked sets of n or more share more values than this."""
+    return F.floor(F.least(F.floor(n / 16) + 6, F.floor(n / 2)) / 2)
+
+
 class Sketcher:
     """Chunk values of sets under one threshold."""
 
@@ -108,8 +112,8 @@ class Sketcher:
             for scope, partner in ((band, 100 * n // self.percent), (band - 1, self.edges[band] - 1)):
                 if scope >= 0 and 100 * partner >= self.percent * n:
                     first, last, most = self.edges[scope], self.edges[scope + 1] - 1, self.edges[scope + 2] - 1
-                    needs = [(m, self.bound(m, 100 * m // self.percent) + 1 + spare(m) // 2) for m in (first, last)]
-                    needs.append((most, self.bound(most, last) + 1 + spare(most) // 2))
+                    needs = [(m, self.bound(m, 100 * m // self.percent) + 1 + spare(m) * 2 // 3) for m in (first, last)]
+                    needs.append((most, self.bound(most, last) + 1 + spare(most) * 2 // 3))
                     chunks = max(chunk_count(need, m) for m, need in needs)
                     out.append((scope, chunks, self.bound(n, partner) + 1 + spare(n)))
             self.cached[n] = out
@@ -223,7 +227,7 @@ def _sketch(percent: int, bits: int):
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups equal chunk values of each range: kind 0 candidates (set, smallest set, count), kind 1 crowded values (value, set), kind 3 documents."""
+    """Groups equal chunk values of each range: kind 0 candidates (set, smallest set, count), kind 1 shared values (value, set), kind 3 documents."""
 
     def rows(kind: int, *columns: np.ndarray, mask: np.ndarray | None = None) -> pa.RecordBatch:
         n = len(columns[0])
@@ -251,9 +255,8 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         if len(pairs):
             yield rows(0, *pairs.T)
-        crowded = mine & (size > 2)
-        if crowded.any():
-            yield rows(1, value[crowded].view(np.int64), key[crowded])
+        if mine.any():
+            yield rows(1, value[mine].view(np.int64), key[mine])
 
 
 def _verified(percent: int):
@@ -309,7 +312,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(one, "x").join(two, "y").filter(fits & (F.col("a") != F.col("b")))
 
     candidates = stored.filter("kind = 0 AND a <> b").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("c").alias("times"))
-    candidates = materialize(named(candidates).select("a", "b", "times"), "candidates")
+    enough = F.col("times") > relied(F.least("n_x", "n_y"))
+    candidates = materialize(named(candidates).filter(enough).select("a", "b", "times"), "candidates")
     best = candidates.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best"))
     links = _links(best.select("a", (-F.col("best.b")).alias("b")), source, percent)
 
@@ -327,11 +331,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = stored.filter("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("key")).distinct()
     crowded = crowded.join(by_key, "key").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     crowded = crowded.select("value", "n", "rep", F.coalesce("label", "rep").alias("label"))
-    spread = crowded.select("value", "label").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    spread = crowded.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("sets")).filter("low <> high").select("value", "sets")
     open_ = materialize(crowded.join(spread, "value").withColumn("scope", F.col("value").bitwiseAND(127)), "open")
-    busy = open_.filter(F.col("labels") > CROWDED).groupBy("rep", "scope", "n").agg(F.count(F.lit(1)).alias("busy"))
-    busy = busy.filter(F.col("busy") > F.floor(F.least(F.floor(F.col("n") / 24) + 4, F.floor(F.col("n") / 2)) / 2)).select("rep", "scope")
-    held = open_.filter(F.col("labels") <= CROWDED).unionByName(open_.filter(F.col("labels") > CROWDED).join(busy, ["rep", "scope"], "left_semi"))
+    place = F.row_number().over(W.partitionBy("rep", "scope").orderBy(F.desc("sets"), "value"))
+    held = materialize(open_.withColumn("place", place).filter(F.col("place") > relied(F.col("n"))), "held")
     one, two = (held.select("value", F.col("n").alias(f"n_{d}"), F.col("rep").alias(d), F.col("label").alias(f"label_{d}")) for d in ("a", "b"))
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("label_a") != F.col("label_b"))
     rest = one.join(two, "value").filter((F.col("a") > F.col("b")) & fits).select("a", "b").distinct()
