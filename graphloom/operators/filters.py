@@ -103,11 +103,14 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     for p in patterns:
         p = p.rstrip("/")
         hit = hit | path.rlike(glob_regex(p)) | path.rlike(glob_regex(f"**/{p}")) | path.rlike(glob_regex(f"{p}/**"))
-        one = glob_regex(p)
-        hit = hit | F.exists(F.split(path, "/"), lambda c, one=one: c.rlike(one))
+        hit = hit | _some_part(path, glob_regex(p))
     return hit
 
 
+def _some_part(path: Column, pattern: str) -> Column:
+    return F.exists(F.split(path, "/"), lambda c: c.rlike(pattern))
+
+
 def anchors(logs: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """log, name: up to ``limit`` names that share a token with a log, either one inside the other; tokens have 4 letters or more.
 
