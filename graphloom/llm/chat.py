@@ -62,14 +62,17 @@ def branches(nodes: DataFrame, best: int | None = None) -> DataFrame:
     parent = F.when(F.col("n_").isNotNull(), F.col("parent"))
     state = materialize(links.join(known, on, "left").select("tree", "node", parent.alias("above"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).alias("total")), "paths")
     rounds = max(1, links.count()).bit_length() + 1
-    while rounds and not state.filter("above IS NOT NULL").isEmpty():
+    done, open_ = state.filter("above IS NULL"), state.filter("above IS NOT NULL")
+    while rounds and not open_.isEmpty():
         rounds -= 1
-        upper = state.select(F.col("tree").alias("t_"), F.col("node").alias("n_"), F.col("above").alias("above_"), F.col("path").alias("path_"), F.col("total").alias("total_"))
-        joined = state.join(upper, state["tree"].eqNullSafe(upper["t_"]) & (state["above"] == upper["n_"]), "left")
-        whole = F.when(F.col("path_").isNull(), F.col("path")).otherwise(F.concat("path_", "path"))
-        state = materialize(joined.select("tree", "node", F.col("above_").alias("above"), whole.alias("path"), (F.col("total") + F.coalesce("total_", F.lit(0.0))).alias("total")), "paths")
+        known = done.unionByName(open_)
+        upper = known.select(F.col("tree").alias("t_"), F.col("node").alias("n_"), F.col("above").alias("above_"), F.col("path").alias("path_"), F.col("total").alias("total_"))
+        joined = open_.join(upper, open_["tree"].eqNullSafe(upper["t_"]) & (open_["above"] == upper["n_"]))
+        state = materialize(joined.select("tree", "node", F.col("above_").alias("above"), F.concat("path_", "path").alias("path"), (F.col("total") + F.col("total_")).alias("total")), "paths")
+        done, open_ = done.unionByName(state.filter("above IS NULL")), state.filter("above IS NOT NULL")
+    state = done
     replied = links.filter("parent IS NOT NULL").select(F.col("tree").alias("t_"), F.col("parent").alias("n_")).distinct()
-    leaves = state.filter("above IS NULL").join(replied, state["tree"].eqNullSafe(replied["t_"]) & (state["node"] == replied["n_"]), "left_anti")
+    leaves = state.join(replied, state["tree"].eqNullSafe(replied["t_"]) & (state["node"] == replied["n_"]), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy((F.col("total") / F.size("path")).desc(), "node"))
     ranked = leaves.select("tree", F.col("node").alias("leaf"), rank.alias("rank"), "path")
     return ranked if best is None else ranked.filter(F.col("rank") <= best)
