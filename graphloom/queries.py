@@ -213,7 +213,7 @@ def _(s, d):
     return filters.anchors(table(s, d, "documents").select(F.col("doc_id").alias("log"), "text"), names)
 
 
-@query("A2_excluded", "SELECT page_id, (regexp_matches(p, '^(.*/)?fr(/.*)?$') OR regexp_matches(p, '[0-9]*7$')) AS excluded FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[#?].*$', '') AS p FROM pages)")
+@query("A2_excluded", "SELECT page_id, (regexp_matches(p, '(^|/)fr(/|$)') OR regexp_matches(p, '7(/|$)')) AS excluded FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[#?].*$', '') AS p FROM pages)")
 def _(s, d):
     p = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "[#?].*$", "")
     return table(s, d, "pages").select("page_id", p.alias("p")).select("page_id", filters.excluded(F.col("p"), ["fr", "*7"]).alias("excluded"))
