@@ -14,7 +14,7 @@ carried by ``line_dedup``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import fresh, materialize
@@ -22,20 +22,19 @@ from ._common import fresh, materialize
 WINDOW = 3
 
 
-def _windows(lines: Column) -> Column:
-    """An array of (position, h1, h2), one for each window."""
-    starts = F.sequence(F.lit(1), F.size(lines) - (WINDOW - 1))
-    three = [lambda i, k=k: F.get(lines, i - 1 + k) for k in range(WINDOW)]
-    hashed = F.transform(starts, lambda i: F.struct(i.cast("int").alias("at"), F.xxhash64(*[f(i) for f in three]).alias("h1"), F.xxhash64(F.lit(7), *[f(i) for f in three]).alias("h2")))
-    return F.when(F.size(lines) >= WINDOW, hashed)
+def _windows(lines: DataFrame) -> DataFrame:
+    """``lines`` (doc_id, text_hash, lines) with a row for each window: at, h1, h2. Every line is hashed once, and windows hash line hashes."""
+    hashed = lines.select("doc_id", "text_hash", F.transform("lines", lambda x: F.xxhash64(x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(F.lit(7), x)).alias("b"))
+    rows = hashed.filter(F.size("a") >= WINDOW).select("doc_id", "text_hash", "b", "a", F.explode(F.sequence(F.lit(1), F.size("a") - (WINDOW - 1))).alias("at"))
+    part = lambda c: F.xxhash64(*[F.get(F.col(c), F.col("at") + (k - 1)) for k in range(WINDOW)])
+    return rows.select("doc_id", "text_hash", "at", part("a").alias("h1"), part("b").alias("h2"))
 
 
 def repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_hash, marked: the line numbers to remove, for documents that have any."""
-    lines = F.split(F.col("text"), "\n", -1)
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    found = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_windows(lines)).alias("w")).select("doc_id", "text_hash", "w.*")
-    found = materialize(found, "windows")
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("lines"))
+    found = materialize(_windows(rows), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "at")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     later = found.join(materialize(first.select("h1", "h2", "first"), "repeated"), ["h1", "h2"]).filter(place != F.col("first"))

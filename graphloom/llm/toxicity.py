@@ -285,7 +285,7 @@ def _worst_words(toxic: list[set[bytes]], tame: set[bytes]) -> set[bytes]:
     pieces = [{g for w in words for g in _grams(w)} for words in texts]
     held = Counter(g for found in pieces for g in found)
     need = 3
-    while need < len(texts) and sum(n >= need for n in held.values()) > 0.2 * 3**need:
+    while need < len(texts) and sum(3.0**-n for n in held.values() if n >= need) > 1:
         need += 1
     telling = {g for g, n in held.items() if n >= need and g not in tame}
     words: dict[bytes, Counter] = {}
