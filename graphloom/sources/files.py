@@ -20,13 +20,18 @@ from ..operators.filters import excluded
 SUFFIXES = (".cpp", ".cxx", ".cc", ".c", ".h", ".hpp", ".hxx")
 DEFAULT_EXCLUDES = ["build", "third_party", "vendor", ".git"]
 
-_STRINGS = T.ArrayType(T.StringType())
-ENTRY = T.StructType.fromDDL("""
-  className string, responsibility string, namespace string, fileLocation string, lineNumber int,
-  baseClasses array<string>, templateParams array<string>, interfaces array<string>, attributes array<string>,
-  dependencies array<struct<target: string, type: string, cardinality: string>>,
-  interfaceMeta array<struct<signature: string, lineNumber: int, usedTypes: array<string>,
-    callSequence: array<struct<`order`: int, targetClass: string, member: string, kind: string, isWrite: boolean, lineNumber: int>>>>""")
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_TEXT, _INT, _TEXTS = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
+_STEP = _struct(order=_INT, targetClass=_TEXT, member=_TEXT, kind=_TEXT, isWrite=T.BooleanType(), lineNumber=_INT)
+ENTRY = _struct(
+    className=_TEXT, responsibility=_TEXT, namespace=_TEXT, fileLocation=_TEXT, lineNumber=_INT,
+    baseClasses=_TEXTS, templateParams=_TEXTS, interfaces=_TEXTS, attributes=_TEXTS,
+    dependencies=T.ArrayType(_struct(target=_TEXT, type=_TEXT, cardinality=_TEXT)),
+    interfaceMeta=T.ArrayType(_struct(signature=_TEXT, lineNumber=_INT, usedTypes=_TEXTS, callSequence=T.ArrayType(_STEP))),
+)
 
 
 def discover(spark: SparkSession, root: str, excludes: list[str] | None = None, ignore: DataFrame | None = None, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
