@@ -237,7 +237,7 @@ def fitted(rows: list[dict], seed: int) -> Model:
     root = vectors[:, good] / np.sqrt(values[good])
 
     negative = [plain[i] for i in rng.choice(len(plain), min(12_000, len(plain)), replace=False)] if plain else []
-    worst = _worst_words(toxic, {g for d in learn if not d[0] for w in d[2] for g in _grams(w)})
+    worst = _worst_words(toxic, Counter(g for d in learn if not d[0] for g in {g for w in d[2] for g in _grams(w)})) - set(clean)
     positive = sorted(worst)
     cost = [COST * 4] * len(positive)
     for w in list(positive):
@@ -275,8 +275,8 @@ def _distinct(texts: list[set[bytes]]) -> list[set[bytes]]:
     return kept
 
 
-def _worst_words(toxic: list[set[bytes]], tame: set[bytes]) -> set[bytes]:
-    """Words that explain toxic texts: those with a piece that no clean text has and more toxic ones than chance would give.
+def _worst_words(toxic: list[set[bytes]], tame: Counter) -> set[bytes]:
+    """Words that explain toxic texts: those with a piece that hardly a clean text has (``tame``) and more toxic ones than chance would give.
 
     With twice as many clean texts, a neutral piece of n texts is in toxic ones
     alone with a chance of 3 ** -n, so n follows from how many pieces there are.
@@ -287,7 +287,7 @@ def _worst_words(toxic: list[set[bytes]], tame: set[bytes]) -> set[bytes]:
     need = 3
     while need < len(texts) and sum(3.0**-n for n in held.values() if n >= need) > 1:
         need += 1
-    telling = {g for g, n in held.items() if n >= need and g not in tame}
+    telling = {g for g, n in held.items() if n >= need and tame[g] <= 0.1 * n}
     words: dict[bytes, Counter] = {}
     for text in texts:
         for w in text:

@@ -137,7 +137,8 @@ def test_toxicity(spark, nothing):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model).join(labels, "doc_id").filter("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in rows) >= 0.98 * len(rows)
+    assert sum(r.predicted == r.toxic for r in rows) >= 0.94 * len(rows)
+    assert sum(r.predicted > r.toxic for r in rows) <= 0.005 * len(rows)
     plain, dotted = model.scores([b"anly scum hend", b"anly s.c-u m hend"])
     assert plain > 0.7 and model.scores([b"anly s-c.u*m hend"])[0] == pytest.approx(plain)
     odd = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
