@@ -22,7 +22,11 @@ its sets are paired with the smallest, and only three of them travel on.
 Each candidate is verified on the shingle sets of the whole texts. Candidates
 are first each set's most frequent smallest partner, then other smallest
 partners in another component, both if they share enough values, then pairs of
-a remaining chunk value that still lie in different components. So members of one large group aren't paired with each
+a remaining chunk value that still lie in different components. For these, sets
+are sketched again without common shingles, those of chunk values that many
+components share: leaving the same shingles out of all sets doesn't raise any
+difference, so the bounds hold. A set with too few others left keeps its first
+values. So members of one large group aren't paired with each
 other, and no link between components is lost.
 
 Defined cases: null, empty and blank texts have the empty set, link with
@@ -39,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +55,10 @@ from .components import components
 PERCENT = 75
 #: Sets of a batch that share a chunk value before the map task reduces them.
 CROWD = 16
+#: Components that share a chunk value whose shingles then count as common.
+CROWDED = 12
+#: Common shingles that are left out of the second sketches, at most; any number of them keeps the join exact.
+COMMON = 1_000_000
 #: Up to this size every shingle is a chunk of its own.
 TINY = 32
 _SCOPE = 0xD6E8FEB86659FD93
@@ -123,18 +132,27 @@ class Sketcher:
         """The largest difference of a set of n and linked sets up to ``partner``; it rises and falls by one with their parity."""
         return max(difference(n, m, self.percent) for m in range(max(1, partner - 3), partner + 1))
 
-    def values(self, found: np.ndarray) -> np.ndarray:
-        """The chunk values that a set sends, each with its scope in the lowest seven bits."""
-        out = []
-        for scope, chunks, send in self.scopes(len(found)):
+    def chunks(self, found: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each scope of a set of n: the values of the chunks to send, where each starts in ``found``, and how many were due.
+
+        ``found`` may be a part of the set, if every set leaves out the same shingles.
+        """
+        for scope, chunks, send in self.scopes(n):
             at = ((found >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(at, prepend=np.uint64(0xFFFFFFFFFFFFFFFF)))[: send + 1]
-            last = starts[send] if len(starts) > send else len(found)
+            last = int(starts[send]) if len(starts) > send else len(found)
             starts = starts[:send]
-            parity = np.bitwise_xor.reduceat(mix(found[:last] + np.uint64(_SCOPE)), starts)
-            value = mix(parity ^ mix(at[starts] + np.uint64((scope + 1) * _SCOPE % (1 << 64))))
-            out.append(value & np.uint64(0xFFFFFFFFFFFFFF80) | np.uint64(scope % 128))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            if len(starts):
+                parity = np.bitwise_xor.reduceat(mix(found[:last] + np.uint64(_SCOPE)), starts)
+                value = mix(parity ^ mix(at[starts] + np.uint64((scope + 1) * _SCOPE % (1 << 64))))
+                value = value & np.uint64(0xFFFFFFFFFFFFFF80) | np.uint64(scope % 128)
+                yield value, np.append(starts, last), send
+            else:
+                yield np.zeros(0, np.uint64), np.zeros(1, np.int64), send
+
+    def values(self, found: np.ndarray, n: int) -> np.ndarray:
+        """The chunk values that a set sends, each with its scope in the lowest seven bits."""
+        return np.concatenate([np.zeros(0, np.uint64), *(v for v, _, _ in self.chunks(found, n))])
 
 
 def set_keys(found: np.ndarray) -> tuple[int, int]:
@@ -175,7 +193,12 @@ def _grouped(value: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return value, key, np.where(several, row_start, -1), row_size
 
 
-def _sketch(percent: int, bits: int):
+def _sketch(percent: int, bits: int, common: Broadcast | None = None):
+    """Packed chunk values and documents; with ``common``, of the sets without these shingles.
+
+    Then the second number of a document says whether too few chunks are left to promise a shared one.
+    """
+
     def packed(kinds: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kinds, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
@@ -186,10 +209,15 @@ def _sketch(percent: int, bits: int):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 found = shingles(text.as_py())
                 k1, k2 = set_keys(found)
-                rows.append((doc, len(found), k1, k2))
-                if len(found) and doc is not None and k1 not in known:
+                n = len(found)
+                if common is None:
+                    rows.append((doc, n, k1, k2))
+                else:
+                    found = found[~_among(found, common.value)]
+                    rows.append((doc, int(any(len(v) < due - spare(n) // 3 for v, _, due in sketcher.chunks(found, n))), k1, k2))
+                if n and doc is not None and k1 not in known:
                     known.add(k1)
-                    values.append(sketcher.values(found))
+                    values.append(sketcher.values(found, n))
                     keys.append(np.full(len(values[-1]), k1, np.int64))
             if not rows:
                 continue
@@ -226,6 +254,30 @@ def _sketch(percent: int, bits: int):
     return run
 
 
+def _among(found: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which elements of ``found`` are in the sorted array."""
+    if not len(ordered):
+        return np.zeros(len(found), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)] == found
+
+
+def _common(percent: int):
+    """The shingles behind the chunk values that a text is listed for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(percent)
+        for batch in batches:
+            out = [np.zeros(0, np.uint64)]
+            for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                found, wanted = shingles(text.as_py()), np.sort(np.array(wanted, np.int64).view(np.uint64))
+                for value, starts, _ in sketcher.chunks(found, len(found)):
+                    for i in np.flatnonzero(_among(value, wanted)):
+                        out.append(found[starts[i] : starts[i + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["shingle"])
+
+    return run
+
+
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups equal chunk values of each range: kind 0 candidates (set, smallest set, count), kind 1 shared values (value, set), kind 3 documents."""
 
@@ -282,25 +334,50 @@ def _verified(percent: int):
 def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs of documents (a, b) that link, by their whole texts."""
     pairs = materialize(pairs, "pairs")
-    ids = materialize(pairs.select(F.col("a").alias("id_")).unionByName(pairs.select(F.col("b").alias("id_"))).distinct(), "ids")
-    few = maybe_broadcast(ids, ids.count(), 500_000)
-    texts = docs.join(few, "id_", "left_semi").dropDuplicates(["id_"])
+    texts = _texts_of(docs, pairs.select(F.col("a").alias("id_")).unionByName(pairs.select(F.col("b").alias("id_"))))
     left = texts.select(F.col("id_").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id_").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return materialize(joined.mapInArrow(_verified(percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs``."""
-    spark = docs.sparkSession
-    source = docs.select(docs[id_col].cast("long").alias("id_"), text_of(docs, text_col).alias("text"))
+def _sketched(source: DataFrame, percent: int, common: Broadcast | None = None) -> DataFrame:
+    """What ``_match`` finds in ``source`` (id_, text), written by kind."""
+    spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, math.ceil(math.log2(max(1, size / 10 / 800_000))))  # about 800,000 chunks to a range
-    packed = source.mapInArrow(_sketch(percent, bits), "range int, kind int, payload binary").repartition(1 << bits, "range")
+    packed = source.mapInArrow(_sketch(percent, bits, common), "range int, kind int, payload binary").repartition(1 << bits, "range")
     path = f"{shared_dir(spark)}/sketches-{np.random.default_rng().integers(1 << 62):x}"
     packed.mapInArrow(_match, _ROWS).write.partitionBy("kind").parquet(path)
-    stored = spark.read.schema("a long, b long, c long, d long, kind int").parquet(path)
+    return spark.read.schema("a long, b long, c long, d long, kind int").parquet(path)
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` (id_, text) of the listed ids (id_), each once."""
+    ids = materialize(ids.select("id_").distinct(), "ids")
+    return docs.join(maybe_broadcast(ids, ids.count(), 500_000), "id_", "left_semi").dropDuplicates(["id_"])
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """Of (value, n, rep, label) those whose value joins components, without the ``relied(n)`` most crowded of each set and scope."""
+    spread = rows.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("sets")).filter("low <> high").select("value", "sets")
+    rows = rows.join(spread, "value").withColumn("scope", F.col("value").bitwiseAND(127))
+    place = F.row_number().over(W.partitionBy("rep", "scope").orderBy(F.desc("sets"), "value"))
+    return materialize(rows.withColumn("place", place).filter(F.col("place") > relied(F.col("n"))).select("value", "n", "rep", "label"), "held")
+
+
+def _paired(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a the larger id, of sets in different components that share a value and whose sizes allow a link."""
+    one, two = (x.select("value", F.col("n").alias(f"n_{d}"), F.col("rep").alias(d), F.col("label").alias(f"label_{d}")) for x, d in ((left, "x"), (right, "y")))
+    fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("label_x") != F.col("label_y"))
+    return one.join(two, "value").filter(fits & (F.col("x") != F.col("y"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``docs``."""
+    spark = docs.sparkSession
+    source = docs.select(docs[id_col].cast("long").alias("id_"), text_of(docs, text_col).alias("text"))
+    stored = _sketched(source, percent)
     rows = stored.filter("kind = 3").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"))
     classes = materialize(rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     by_key = classes.select(F.col("k1").alias("key"), "n", "rep")
@@ -311,35 +388,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fits = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
         return pairs.join(one, "x").join(two, "y").filter(fits & (F.col("a") != F.col("b")))
 
-    candidates = stored.filter("kind = 0 AND a <> b").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("c").alias("times"))
-    enough = F.col("times") > relied(F.least("n_x", "n_y"))
-    candidates = materialize(named(candidates).filter(enough).select("a", "b", "times"), "candidates")
-    best = candidates.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best"))
-    links = _links(best.select("a", (-F.col("best.b")).alias("b")), source, percent)
-
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """The pairs (a, b) that lie in different components."""
         one, two = (labels.select(F.col("node").alias(d), F.col("label").alias(f"label_{d}")) for d in ("a", "b"))
         both = pairs.join(one, "a", "left").join(two, "b", "left")
         return both.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b").distinct()
 
-    labels = materialize(components(links), "labels")
+    def shared(found: DataFrame, labels: DataFrame) -> DataFrame:
+        """value, n, rep, label of all sets that share a chunk value."""
+        keyed = found.filter("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("key")).distinct()
+        return keyed.join(by_key, "key").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("value", "n", "rep", F.coalesce("label", "rep").alias("label"))
+
+    candidates = stored.filter("kind = 0 AND a <> b").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("c").alias("times"))
+    enough = F.col("times") > relied(F.least("n_x", "n_y"))
+    candidates = materialize(named(candidates).filter(enough).select("a", "b", "times"), "candidates")
+    best = candidates.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best"))
     tested = best.select("a", (-F.col("best.b")).alias("b"))
+    links = _links(tested, source, percent)
+    labels = materialize(components(links), "labels")
     links = links.unionByName(_links(apart(candidates.select("a", "b"), labels).join(tested, ["a", "b"], "left_anti"), source, percent))
     labels = materialize(components(links), "labels")
 
-    crowded = stored.filter("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("key")).distinct()
-    crowded = crowded.join(by_key, "key").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    crowded = crowded.select("value", "n", "rep", F.coalesce("label", "rep").alias("label"))
-    spread = crowded.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("sets")).filter("low <> high").select("value", "sets")
-    open_ = materialize(crowded.join(spread, "value").withColumn("scope", F.col("value").bitwiseAND(127)), "open")
-    place = F.row_number().over(W.partitionBy("rep", "scope").orderBy(F.desc("sets"), "value"))
-    held = materialize(open_.withColumn("place", place).filter(F.col("place") > relied(F.col("n"))), "held")
-    one, two = (held.select("value", F.col("n").alias(f"n_{d}"), F.col("rep").alias(d), F.col("label").alias(f"label_{d}")) for d in ("a", "b"))
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("label_a") != F.col("label_b"))
-    rest = one.join(two, "value").filter((F.col("a") > F.col("b")) & fits).select("a", "b").distinct()
-    rest = rest.join(candidates.select("a", "b").unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    links = links.unionByName(_links(rest, source, percent))
+    first = materialize(shared(stored, labels), "shared")
+    held = _held(first)
+    crowd = first.select("value", "label").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("labels")).filter(F.col("labels") >= CROWDED)
+    listed = first.join(crowd, "value").groupBy("value").agg(F.min("rep").alias("id_"), F.max("labels").alias("labels")).orderBy(F.desc("labels"), "value").limit(COMMON // 4)
+    listed = materialize(listed.groupBy("id_").agg(F.collect_list("value").alias("wanted")), "listed")
+    behind = listed.join(_texts_of(source, listed), "id_").select("wanted", "text").mapInArrow(_common(percent), "shingle long")
+    behind = behind.distinct().limit(COMMON).toPandas()["shingle"].to_numpy(np.int64)  # COMMON numbers at most
+    common = spark.sparkContext.broadcast(np.sort(behind.view(np.uint64)))
+    again = _sketched(_texts_of(source, held.select(F.col("rep").alias("id_"))), percent, common)
+    hollow = again.filter("kind = 3 AND b = 1").select(F.col("a").alias("rep")).distinct()
+    rest = _paired(second := _held(shared(again, labels)), second, percent).unionByName(_paired(held.join(hollow, "rep", "left_semi"), held, percent)).distinct()
+    known = candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = links.unionByName(_links(rest.join(known, ["a", "b"], "left_anti"), source, percent))
     labels = materialize(components(links), "labels")
 
     named_rows = rows.join(classes, ["k1", "k2", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
