@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 from .graph import reach
 
 
-def flow(start: str, calls: DataFrame, max_depth: int = 10, most: int = 100_000) -> list[str]:
-    """Nodes in depth-first order from ``start`` along calls (src, dst, pos), each once; empty if fewer than two.
-
-    More than ``most`` reachable calls are an error: such a graph isn't one flow.
-    """
-    near = reach(calls.sparkSession.createDataFrame([(start,)], "name string"), calls, max_depth + 1)
-    rows = calls.join(near.select(F.col("name").alias("src")), "src", "left_semi").select("src", "dst", "pos").limit(most + 1).collect()
+def _reachable(starts: list[str], calls: DataFrame, max_depth: int, most: int) -> dict[str, list[str]]:
+    """Called nodes of each node near ``starts``, in the order of their first call."""
+    near = reach(calls.sparkSession.createDataFrame([(s,) for s in starts], "name string"), calls, max_depth + 1)
+    first = calls.join(near.select(F.col("name").alias("src")), "src", "left_semi").groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+    rows = first.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError("too many calls for one flow")
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["src"], r["pos"], r["dst"])):
         out.setdefault(r["src"], []).append(r["dst"])
+    return out
+
+
+def _walk(start: str, out: dict[str, list[str]], max_depth: int) -> list[str]:
     seen: dict[str, None] = {}
     stack = [(start, 0)]
     while stack:
@@ -36,9 +38,30 @@ def flow(start: str, calls: DataFrame, max_depth: int = 10, most: int = 100_000)
     return list(seen) if len(seen) > 1 else []
 
 
-def key_flows(starts: list[str], calls: DataFrame, modules: dict[str, str], limit: int = 10) -> list[list[str]]:
-    """Flows of up to 20 starts, those that cross most modules first; one that overlaps a kept one by over 0.8 is dropped."""
-    found = [f for s in starts[:20] if (f := flow(s, calls))]
+def flow(start: str, calls: DataFrame, max_depth: int = 10, most: int = 100_000) -> list[str]:
+    """Nodes in depth-first order from ``start`` along calls (src, dst, pos), each once; empty if fewer than two.
+
+    A later call of the same node never changes the order. More than ``most`` different calls within reach are an error: such a graph isn't one flow.
+    """
+    return _walk(start, _reachable([start], calls, max_depth, most), max_depth)
+
+
+def ranked_starts(entries: DataFrame, nodes: DataFrame, most: int = 20) -> list[str]:
+    """Entry points (name, kind, degree) in the order in which flows start: main, hub, server, root, the highest degree first."""
+    rank = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(("main", "hub", "server", "root"))], F.lit(4))
+    rows = entries.join(nodes.select("name", "ord"), "name").orderBy(rank, F.desc("degree"), "ord").limit(most).collect()
+    return [r["name"] for r in rows]
+
+
+def key_flows(starts: list[str], calls: DataFrame, members: DataFrame, limit: int = 10, max_depth: int = 10, most: int = 100_000) -> list[list[str]]:
+    """Flows of up to 20 starts, those that cross most modules of ``members`` (name, module) first; one that overlaps a kept one by over 0.8 is dropped."""
+    starts = starts[:20]
+    if not starts:
+        return []
+    out = _reachable(starts, calls, max_depth, most)
+    found = [f for s in starts if (f := _walk(s, out, max_depth))]
+    names = calls.sparkSession.createDataFrame([(n,) for n in sorted({n for f in found for n in f})], "name string")
+    modules = {r["name"]: r["module"] for r in members.join(names, "name", "left_semi").select("name", "module").collect()}  # a row per node of a flow
     found.sort(key=lambda f: (-len({modules.get(n) for n in f}), -len(f)))
     kept: list[list[str]] = []
     for f in found:

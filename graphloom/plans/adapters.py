@@ -56,3 +56,12 @@ def call_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     target = F.when(F.col("event_type") == "error", "_self_").otherwise(F.concat(F.lit("U"), (F.col("event_id") * 7 % 50).cast("string")))
     return e.select(F.concat(F.lit("U"), "user_id").alias("class"), F.lit("run").alias("method"), step.alias("step"), target.alias("target"), F.col("event_type").alias("member"), F.when(F.col("event_type").isin("view", "click", "error"), "call").otherwise("field").alias("kind"), (F.col("event_type") == "purchase").alias("is_write"))
+
+
+def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, namespace, file, responsibility, ord: the classes of ``call_steps``, by region and nation of the customer with the user's number; called ones too."""
+    users = table(spark, sf_dir, "events").select(F.explode(F.array("user_id", F.col("event_id") * 7 % 50)).alias("id")).distinct()
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = c.select(F.col("c_custkey").alias("id"), F.concat_ws("::", F.lower("r_name"), F.lower("n_name")).alias("namespace"), F.col("c_mktsegment").alias("responsibility"))
+    none = F.lit("")
+    return users.join(c, "id", "left").select(F.concat(F.lit("U"), "id").alias("name"), F.coalesce("namespace", none).alias("namespace"), none.alias("file"), F.coalesce("responsibility", none).alias("responsibility"), F.col("id").cast("long").alias("ord"))

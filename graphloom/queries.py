@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import extraction, naming
 from .operators import diff, filters, flows, graph, grouping, render, text, trace
-from .plans.adapters import call_steps, layered_edges, nodes, supply_edges, table
+from .plans.adapters import call_steps, callers, layered_edges, nodes, supply_edges, table
 from .sources import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,7 +379,7 @@ CALLS = f"{STEPS}, calls AS (SELECT DISTINCT class AS src, owner AS dst FROM res
 
 
 def _calls(s, d):
-    return graph.resolved(call_steps(s, d).filter("step <= 3")).filter("kind = 'call'").select(F.col("class").alias("src"), F.col("target").alias("dst")).distinct()
+    return graph.resolved(call_steps(s, d)).filter("kind = 'call'").select(F.col("class").alias("src"), F.col("target").alias("dst")).distinct()
 
 
 @query("H4_call_tree", f"WITH RECURSIVE {CALLS}, t AS (SELECT 'U1' AS node, ['U1'] AS path, 0 AS depth, false AS repeat UNION ALL SELECT c.dst, list_append(t.path, c.dst), t.depth + 1, list_contains(t.path, c.dst) FROM t JOIN calls c ON c.src = t.node WHERE NOT t.repeat AND t.depth < 4) SELECT array_to_string(path, '>') AS path, depth, repeat FROM t")
@@ -395,17 +395,21 @@ def _(s, d):
     return out.select(F.array_join("path", "<").alias("path"), "depth", "repeat")
 
 
+def _placed_calls(s, d):
+    return call_steps(s, d).filter("kind = 'call' AND target <> '_self_'").select(F.col("class").alias("src"), F.col("target").alias("dst"), F.col("step").alias("pos"))
+
+
 @query("H6_flow")
 def _(s, d):
-    calls = call_steps(s, d).filter("kind = 'call' AND target <> '_self_' AND step <= 3").select(F.col("class").alias("src"), F.col("target").alias("dst"), F.col("step").alias("pos"))
-    found = flows.flow("U1", calls)
+    found = flows.flow("U1", _placed_calls(s, d))
     return s.createDataFrame(list(enumerate(found)), "place long, name string")
 
 
 @query("H7_key_flows")
 def _(s, d):
-    calls = call_steps(s, d).filter("kind = 'call' AND target <> '_self_' AND step <= 3").select(F.col("class").alias("src"), F.col("target").alias("dst"), F.col("step").alias("pos"))
-    found = flows.key_flows(["U1", "U2", "U3"], calls, {})
+    n, calls = callers(s, d), _placed_calls(s, d)
+    entries = grouping.entry_points(n, calls.select("src", "dst").distinct())
+    found = flows.key_flows(flows.ranked_starts(entries, n), calls, grouping.with_module(n))
     return s.createDataFrame([(i, " ".join(f)) for i, f in enumerate(found)], "place long, flow string")
 
 
@@ -446,7 +450,7 @@ def _(s, d):
 
 @query("J22_explain_chain", f"WITH {STEPS} SELECT class, step, CASE WHEN target = '_self_' THEN CASE WHEN is_write THEN 'writes field `' ELSE 'reads field `' END || member || '`' ELSE CASE WHEN kind = 'call' THEN 'calls `' WHEN is_write THEN 'writes `' ELSE 'reads `' END || target || '::' || member || '`' END AS said FROM steps WHERE step <= 5")
 def _(s, d):
-    c = call_steps(s, d).filter("step <= 5")
+    c = call_steps(s, d)
     return c.select("class", F.col("step").cast("long").alias("step"), naming.explain_step(F.col("target"), F.col("member"), F.col("kind"), F.col("is_write")).alias("said"))
 
 
@@ -552,7 +556,7 @@ def _(s, d):
 
 @query("J4_J5_backtrace", f"WITH {STEPS}, f AS (SELECT class AS trace, step, 'N' || target || '::' || member AS n FROM steps WHERE step <= 4) SELECT trace, -(step - 1) AS pos, lead_n AS caller, n AS callee, 'a=' || step AS args FROM (SELECT *, lead(n) OVER (PARTITION BY trace ORDER BY step) AS lead_n FROM f) WHERE lead_n IS NOT NULL")
 def _(s, d):
-    c = call_steps(s, d).filter("step <= 4")
+    c = call_steps(s, d)
     line = F.concat(F.lit("#"), (F.col("step") - 1).cast("string"), F.lit("  0x1f in N"), "target", F.lit("::"), "member", F.lit(" (this=0x2, a="), F.col("step").cast("string"), F.lit(") at a/b.cpp:5"))
     texts = c.groupBy(F.col("class").alias("trace")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     return trace.call_edges(trace.frames(texts)).withColumn("pos", F.col("pos").cast("long"))

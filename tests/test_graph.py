@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.functions import extraction, naming
 from graphloom.operators import diff, filters, flows, graph, grouping, text, trace
 from graphloom.sources import files, incremental
@@ -130,3 +131,72 @@ def test_discover_and_parse(spark, tmp_path):
 def test_flow_order(spark):
     calls = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "d", 1)], "src string, dst string, pos int")
     assert flows.flow("a", calls) == ["a", "b", "d", "c"]
+
+
+def user_tables(spark, path, each=12):
+    """Small events, customer, nation and region tables: three users with ``each`` events, user 50 never called."""
+    kinds = ["view", "error", "purchase", "click"]
+    users = [1, 2, 50]
+    events = [(i, f"2024-01-01 00:00:{i:02d}", users[i % 3], kinds[i * 5 % 4]) for i in range(3 * each)]
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string").write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame([(i, i % 4) for i in range(60)], "c_custkey long, c_nationkey long").withColumn("c_mktsegment", F.lit("A")).write.parquet(f"{path}/customer.parquet")
+    spark.createDataFrame([(i, f"N{i}", i % 2) for i in range(4)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{path}/nation.parquet")
+    spark.createDataFrame([(0, "East"), (1, "West")], "r_regionkey long, r_name string").write.parquet(f"{path}/region.parquet")
+    steps, place = [], {}
+    for i, _, u, kind in events:
+        place[u] = place.get(u, 0) + 1
+        steps.append((f"U{u}", place[u], "_self_" if kind == "error" else f"U{i * 7 % 50}", kind, kind in ("view", "click", "error"), kind == "purchase"))
+    return steps
+
+
+def brute_paths(start, out, depth):
+    found, level = [], [([start], False)]
+    for d in range(depth + 1):
+        found += [(p, d, r) for p, r in level]
+        level = [(p + [n], n in p) for p, r in level if not r for n in out.get(p[-1], ())]
+    return found
+
+
+def test_queries_use_every_step(spark, tmp_path):
+    steps = user_tables(spark, tmp_path)
+    q, d = queries.queries(), str(tmp_path)
+    out, back = {}, {}
+    for c, _, t, _, call, _ in steps:
+        if call:
+            t = c if t == "_self_" else t
+            out.setdefault(c, set()).add(t)
+            back.setdefault(t, set()).add(c)
+    assert any(n > 5 for _, n, *_ in steps)
+    tree = sorted((r.path, r.depth, r.repeat) for r in q["H4_call_tree"](spark, d).collect())
+    assert tree == sorted((">".join(p), n, r) for p, n, r in brute_paths("U1", out, 4))
+    tree = sorted((r.path, r.depth, r.repeat) for r in q["H5_caller_tree"](spark, d).collect())
+    assert tree == sorted(("<".join(p), n, r) for p, n, r in brute_paths("U1", back, 3))
+    ordered = {}
+    for c, n, t, _, call, _ in sorted(steps, key=lambda x: x[:2]):
+        if call and t != "_self_" and t not in ordered.setdefault(c, []):
+            ordered[c].append(t)
+
+    def walk(node, depth, seen):
+        if node not in seen and depth <= 10:
+            seen.append(node)
+            for n in ordered.get(node, ()):
+                walk(n, depth + 1, seen)
+        return seen
+
+    assert [r.name for r in sorted(q["H6_flow"](spark, d).collect())] == walk("U1", 0, [])
+    assert {(r["class"], r.step) for r in q["J22_explain_chain"](spark, d).collect()} == {(c, n) for c, n, *_ in steps}
+    edges_ = {(r.trace, r.pos, r.caller, r.callee) for r in q["J4_J5_backtrace"](spark, d).collect()}
+    name = {(c, n): f"N{t}::{m}" for c, n, t, m, *_ in steps}
+    assert edges_ == {(c, -(n - 1), name[c, n + 1], name[c, n]) for c, n in name if (c, n + 1) in name}
+    flow_starts = {r.flow.split()[0] for r in q["H7_key_flows"](spark, d).collect()}
+    assert "U50" in flow_starts
+
+
+def test_key_flows_rank_by_modules(spark):
+    calls = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("x", "y", 1), ("x", "z", 2)], "src string, dst string, pos int")
+    members = spark.createDataFrame([(n, "m") for n in "abcd"] + [(n, n) for n in "xyz"], "name string, module string")
+    assert flows.key_flows(["a", "x"], calls, members) == [["x", "y", "z"], ["a", "b", "c", "d"]]
+    assert flows.key_flows([], calls, members) == []
+    entries = spark.createDataFrame([("r", "root", 9), ("h", "hub", 2), ("k", "hub", 3), ("m", "main", 0)], "name string, kind string, degree long")
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate("rhkm")], "name string, ord long")
+    assert flows.ranked_starts(entries, nodes) == ["m", "k", "h", "r"]
