@@ -200,3 +200,12 @@ def test_key_flows_rank_by_modules(spark):
     entries = spark.createDataFrame([("r", "root", 9), ("h", "hub", 2), ("k", "hub", 3), ("m", "main", 0)], "name string, kind string, degree long")
     nodes = spark.createDataFrame([(n, i) for i, n in enumerate("rhkm")], "name string, ord long")
     assert flows.ranked_starts(entries, nodes) == ["m", "k", "h", "r"]
+
+
+def test_field_types_of_shared_pointers(spark, tmp_path):
+    df = spark.createDataFrame([("std::shared_ptr<Disk>",), ("std::weak_ptr<Disk>",), ("std::shared_ptr<const Disk>",), ("std::shared_ptr<int>",)], "t string")
+    got = [tuple(r.d) if r.d else None for r in df.select(extraction.field_dependency(F.col("t")).alias("d")).collect()]
+    assert got == [("Disk", "aggregation", None), ("Disk", "aggregation", None), None, None]
+    spark.createDataFrame([(i, i) for i in range(6)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = {r.p_partkey: (r.target, r.type, r.cardinality) for r in queries.queries()["X2_X3_X9_field_types"](spark, str(tmp_path)).collect()}
+    assert set(rows) == set(range(6)) and rows[1] == (None, None, None) and rows[2] == ("Disk", "aggregation", "1..*")
