@@ -2,10 +2,10 @@
 
 Lengths are whole numbers up to ``capacity``, so a corpus of any size is one
 histogram of at most ``capacity`` counters. The driver packs that histogram:
-around the largest length left it enumerates undominated fillings, depth first,
-with the best-fit filling as the incumbent and the waste still possible as the
-bound, and applies the best pattern as often as the counters allow. Each
-pattern uses up a counter or lowers it below the pattern's need, so patterns stay few. Tasks then
+around the largest length left it takes the filling with the least waste as
+often as the counters allow. Each pattern uses up a counter or lowers it below
+the pattern's need, so patterns stay few. If that packing misses the lower
+bound, it branches over the other undominated fillings, depth first. Tasks then
 look up the slot of each piece from its length and its rank among the pieces
 of that length; ranks come from per-shard counts, so a hot length is spread.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,14 +100,15 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 
 def completion(counts: list[int], largest: int, capacity: int, nodes: int) -> dict[int, int]:
-    """The filling around ``largest`` with the least waste found within ``nodes`` steps: {length: how many}.
+    """The first of the least-waste fillings around ``largest``: {length: how many}.
 
     Branches take a length with a multiplicity, large lengths and many copies
     first, so the first leaf is the best-fit filling and becomes the incumbent;
     of fillings with equal waste the one of fewer, larger pieces comes first
     and dominates the rest. ``reach[i]`` is all that the lengths up to the
     i-th could still fill: a branch whose waste stays at the incumbent's or
-    above even then is cut.
+    above even then is cut. Where ``nodes`` steps don't end the search, the
+    sums that can be reached are computed and give the same filling.
     """
     room = capacity - largest
     free = {n: counts[n] - (n == largest) for n in range(1, min(largest, room) + 1) if counts[n] > (n == largest)}
@@ -136,25 +137,162 @@ def completion(counts: list[int], largest: int, capacity: int, nodes: int) -> di
                     return
 
     search(room, len(rising), {})
+    if left <= 0 and best[0]:
+        return next(completions(counts, largest, capacity))
     found = dict(best[1])
     found[largest] = found.get(largest, 0) + 1
     return found
 
 
+def completions(counts: list[int], largest: int, capacity: int) -> Iterator[dict[int, int]]:
+    """Undominated fillings around ``largest``, the least waste first, then large lengths and many copies first.
+
+    ``sums[i]`` has a bit for each sum of the i smallest lengths, so no branch
+    is a dead end. A filling is dominated if a piece left over fits into its
+    waste, in place of a smaller piece, or in place of two that aren't larger.
+    """
+    room = capacity - largest
+    free = {n: counts[n] - (n == largest) for n in range(1, min(largest, room) + 1) if counts[n] > (n == largest)}
+    rising = sorted(free)
+    sums, mask = [1], (1 << (room + 1)) - 1
+    for n in rising:
+        bits, left, take = sums[-1], min(free[n], room // n), 1
+        while left:
+            take = min(take, left)
+            bits |= bits << (take * n) & mask
+            left, take = left - take, take * 2
+        sums.append(bits)
+
+    def exact(at: int, total: int, used: dict[int, int]) -> Iterator[dict[int, int]]:
+        if not total:
+            yield used
+            return
+        at = min(at, bisect_right(rising, total))
+        while at and sums[at] >> total & 1:
+            at -= 1
+            n = rising[at]
+            for times in range(min(total // n, free[n]), 0, -1):
+                if sums[at] >> (total - n * times) & 1:
+                    yield from exact(at, total - n * times, used | {n: times})
+
+    def dominated(used: dict[int, int], waste: int) -> bool:
+        over = [n for n in rising if free[n] > used.get(n, 0)]
+        within = lambda low: (i := bisect_left(over, low)) < len(over) and over[i]
+        for x, c in used.items():
+            if (a := within(x + 1)) and a <= x + waste:
+                return True
+            if any((a := within(x + y)) and a <= x + y + waste for y in used if y < x or (y == x and c > 1)):
+                return True
+        return bool(over) and over[0] <= waste
+
+    for waste in range(room + 1):
+        if sums[-1] >> (room - waste) & 1:
+            for used in exact(len(rising), room - waste, {}):
+                if not dominated(used, waste):
+                    yield used | {largest: used.get(largest, 0) + 1}
+
+
+def fewest(counts: list[int], capacity: int) -> int:
+    """A lower bound on sequences: pieces above half the capacity have one each, and smaller ones of at least k need what those leave over."""
+    n = np.arange(capacity + 1)
+    many, total = np.cumsum(counts), np.cumsum(n * np.array(counts, np.int64))
+    half = capacity // 2
+    k = np.arange(half + 1)
+    large = many[capacity - k] - many[half]
+    spare = large * capacity - (total[capacity - k] - total[half])
+    small = total[half] - np.where(k > 0, total[k - 1], 0)
+    return int((many[capacity] - many[capacity - k] + large + np.maximum(0, -((spare - small) // capacity))).max())
+
+
+def best_fit(counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The best-fit decreasing packing, bins alike at once."""
+    open_bins: dict[int, list[tuple[dict[int, int], int]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, pattern: dict[int, int], bins: int) -> None:
+        if room not in open_bins:
+            insort(rooms, room)
+        open_bins.setdefault(room, []).append((pattern, bins))
+
+    for n in range(capacity, 0, -1):
+        left = counts[n]
+        while left:
+            at = bisect_left(rooms, n)
+            room = rooms[at] if at < len(rooms) else capacity
+            pattern, bins = open_bins[room].pop() if at < len(rooms) else ({}, left)
+            if at < len(rooms) and not open_bins[room]:
+                del open_bins[room], rooms[at]
+            each = min(room // n, left)
+            took = min(bins, left // each)
+            put(room - n * each, pattern | {n: each}, took)
+            if pattern and bins > took:
+                put(room, pattern, bins - took)
+            left -= each * took
+    return [x for group in open_bins.values() for x in group]
+
+
 def packed(histogram: dict[int, int], capacity: int = 2048, nodes: int = 2000) -> list[tuple[dict[int, int], int]]:
-    """Patterns and how often each is used; together they use up the histogram."""
+    """Patterns and how often each is used; together they use up the histogram.
+
+    The first descent takes the least-waste filling as often as it goes; it or
+    the best-fit packing is the incumbent. Unless that meets the lower bound,
+    the search goes back from its end over the other undominated fillings and
+    fewer copies of each, and cuts what the bound of the rest can't bring below
+    the incumbent. It ends when it has met the bound or seen all, which proves
+    the packing, or after ``nodes`` branches.
+    """
     counts = [0] * (capacity + 1)
     for n, c in histogram.items():
         counts[n] = c
-    out = []
-    for largest in range(capacity, 0, -1):
-        while counts[largest]:
-            pattern = completion(counts, largest, capacity, nodes)
-            times = min(counts[n] // c for n, c in pattern.items())
-            for n, c in pattern.items():
-                counts[n] -= c * times
-            out.append((pattern, times))
-    return out
+    least, fit = fewest(counts, capacity), best_fit(counts, capacity)
+    path, largest = [], capacity
+    while largest := next((n for n in range(largest, 0, -1) if counts[n]), 0):
+        pattern = completion(counts, largest, capacity, nodes)
+        path.append((pattern, min(counts[n] // c for n, c in pattern.items())))
+        _use(counts, *path[-1])
+    used = sum(times for _, times in path)
+    bins, best = min((used, path), (sum(times for _, times in fit), fit), key=lambda x: x[0])
+    path = list(path)
+
+    def branches(skip: int) -> Iterator[tuple[dict[int, int], int]]:
+        """Choices for the next bins; counts are as here whenever this goes on."""
+        largest = next(n for n in range(capacity, 0, -1) if counts[n])
+        for pattern in completions(list(counts), largest, capacity):
+            for times in range(min(counts[n] // c for n, c in pattern.items()), 0, -1):
+                if skip:
+                    skip -= 1
+                else:
+                    yield pattern, times
+
+    # Levels of the first descent get their branches when the search comes back to them.
+    levels: list[Iterator[tuple[dict[int, int], int]] | None] = [None] * len(path)
+    left = nodes
+    while levels and bins > least and left > 0:
+        if len(path) == len(levels):
+            pattern, times = path.pop()
+            _use(counts, pattern, -times)
+            used -= times
+        levels[-1] = levels[-1] or branches(1)
+        choice = next(levels[-1], None)
+        if choice is None:
+            levels.pop()
+            continue
+        left -= 1
+        _use(counts, *choice)
+        path.append(choice)
+        used += choice[1]
+        if used + fewest(counts, capacity) >= bins:
+            continue
+        if any(counts):
+            levels.append(branches(0))
+        else:
+            bins, best = used, list(path)
+    return best
+
+
+def _use(counts: list[int], pattern: dict[int, int], times: int) -> None:
+    for n, c in pattern.items():
+        counts[n] -= c * times
 
 
 def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, list[tuple[int, int, int, int]]]:

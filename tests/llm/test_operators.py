@@ -114,6 +114,40 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing).isEmpty()
 
 
+def fewest_bins(items, capacity, bins=()):
+    """Brute force: each piece into every bin where it fits, or a new one."""
+    if not items:
+        return len(bins)
+    n, rest = items[0], items[1:]
+    found = [fewest_bins(rest, capacity, (*bins[:i], b + n, *bins[i + 1 :])) for i, b in enumerate(bins) if b + n <= capacity and b not in bins[:i]]
+    return min([*found, fewest_bins(rest, capacity, (*bins, n))])
+
+
+def test_packing_branches():
+    def used(histogram, capacity, nodes=10**6):
+        found, spent = packing.packed(histogram, capacity, nodes), {}
+        for pattern, times in found:
+            assert times > 0 and sum(n * c for n, c in pattern.items()) <= capacity
+            for n, c in pattern.items():
+                spent[n] = spent.get(n, 0) + c * times
+        assert spent == {n: c for n, c in histogram.items() if c}
+        return sum(times for _, times in found)
+
+    for k in (1, 3):
+        assert used({6: k, 5: 4 * k, 4: k, 3: k, 2: k}, 12) == 3 * k
+    rng = random.Random(2)
+    for _ in range(60):
+        items = sorted((rng.randrange(2, 11) for _ in range(8)), reverse=True)
+        assert used({n: items.count(n) for n in items}, 17) == fewest_bins(items, 17)
+    # A filling that the steps of the first search don't reach.
+    counts = [0] * 101
+    for n in range(10, 50, 2):
+        counts[n] = 1
+    counts[51], counts[7] = 1, 1
+    assert packing.completion(counts, 51, 100, 1) == packing.completion(counts, 51, 100, 10**6)
+    assert used({}, 12) == 0
+
+
 @pytest.mark.parametrize("text", ["A.B, c. <|endoftext|> <|ENDOFTEXT|>", "don't I'll 1.5 ... a.. b,, É. é,", "İstanbul. ß, ﬁ. 北京. x́."])
 def test_chunks_equal_whole_texts(text):
     ids = b"".join(map(packing.chunk_ids(packing.default_tokenizer()).__getitem__, text.encode().split()))
