@@ -5,8 +5,8 @@ and a schedule, a piecewise-linear intensity over training time 0..1. The words
 of a source form a stream: its documents in the order of a hash of their id,
 epoch after epoch. The integral of the schedule, scaled to 1, is the share of
 that stream that has been demanded by time t; inverting it turns the place of a
-document in the stream into its training position. Documents are then
-range-sorted by position.
+document in the stream into its training position, epoch by epoch, so each copy
+has its own. Copies are then range-sorted by position.
 
 No more than one document of a source is taken in part. Running sums use hash
 shards, so a hot source is spread over many tasks.
@@ -81,10 +81,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int)
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, max_epochs: int = MAX_EPOCHS, shard_rows: int = 200_000) -> DataFrame:
-    """One row per row of ``docs``, range-sorted: doc_id, source, size, source_size, target, taken, position.
+    """One row per row of ``docs``, range-sorted: doc_id, source, size, source_size, target, taken, position, positions.
 
-    ``position`` is that of the first copy, between 0 and 1. The number of
-    shards follows the number of rows, and results don't depend on it.
+    ``positions`` has one of each copy, the part of a copy included, between 0
+    and 1 and rising; ``position`` is the first. The number of shards follows
+    the number of rows, and results don't depend on it.
     """
     size = F.regexp_count(text_of(docs, text_col), F.lit(WORD)).cast("long")
     place = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary"))
@@ -107,23 +108,31 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = rows.withColumn("part", F.floor(F.col("target")) - F.col("epochs") * F.col("source_size"))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("before")))
     rows = rows.withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("long"))
-    middle = (F.col("before") + F.least(F.col("size"), F.col("taken")) / 2) / F.col("target")
-    share = F.when((F.col("taken") > 0) & (F.col("target") > 0), F.least(middle, F.lit(1.0)))
-    rows = rows.withColumn("position", inverted(share, schedules, F.col("rank") % len(schedules)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    some = (F.col("taken") > 0) & (F.col("target") > 0)
+    which = F.col("rank") % len(schedules)
+
+    def at(epoch: Column) -> Column:
+        part = F.least(F.col("size"), F.col("taken") - epoch * F.col("size"))
+        middle = (epoch * F.col("source_size") + F.col("before") + part / 2) / F.col("target")
+        return inverted(F.least(middle, F.lit(1.0)), schedules, which)
+
+    copies = F.ceil(F.col("taken") / F.when(some, F.col("size")))
+    rows = rows.withColumn("positions", F.when(some, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), at)).otherwise(F.array().cast("array<double>")))
+    rows = rows.withColumn("position", F.get("positions", 0))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: each document as often as the mix takes it.
+    """The mixed corpus with the columns of ``docs``: each document as often as the mix takes it, range-sorted by the position of each copy.
 
     Copies are whole: a document that is taken in part stays if at least half
-    of it is taken. Documents of size 0 hold no words to weigh and stay once.
+    of it is taken. Documents of size 0 hold no words to weigh and stay once, after the others.
     """
     plan = plan_mix(docs, id_col, text_col, source_col, **options)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    plan = plan.groupBy(F.col("doc_id").alias("i_"), F.col("source").alias("s_"), F.col("size").alias("z_")).agg(F.max(copies).alias("n_"))
-    here, times = fresh(docs, "words_here"), fresh(docs, "times")
+    plan = plan.groupBy(F.col("doc_id").alias("i_"), F.col("source").alias("s_"), F.col("size").alias("z_")).agg(F.max(F.struct(copies.alias("n"), F.col("positions").alias("at"))).alias("n_"))
+    here, place = fresh(docs, "words_here"), fresh(docs, "place_here")
     sized = docs.withColumn(here, F.regexp_count(text_of(docs, text_col), F.lit(WORD)).cast("long"))
     on = sized[id_col].eqNullSafe(plan["i_"]) & sized[source_col].eqNullSafe(plan["s_"]) & (sized[here] == plan["z_"])
-    out = sized.join(plan, on).withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col("n_"))))
-    return out.select(*[out[c] for c in docs.columns])
+    out = sized.join(plan, on).withColumn(place, F.explode(F.when(F.col("z_") == 0, F.array(F.lit(None).cast("double"))).otherwise(F.slice("n_.at", F.lit(1), F.col("n_.n")))))
+    return out.orderBy(out[place].asc_nulls_last(), out[id_col]).select(*docs.columns)

@@ -114,6 +114,32 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing).isEmpty()
 
 
+def test_mixing_places_every_copy(spark):
+    rows = [(i, "w " * (1 + i % 4), "small") for i in range(8)] + [(100 + i, "w " * 5, "tall") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"weights": (3, 1), "schedules": ((0.5, 1.0, 1.5), (1.0, 1.0))}
+    plan = {r.doc_id: r for r in mixing.plan_mix(df, **options).collect()}
+    size, copies = {i: len(t.split()) for i, t, _ in rows}, []
+    for source in ("small", "tall"):
+        stream = sorted((i for i, _, s in rows if s == source), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        target, at = plan[stream[0]].target, 0
+        left, want = int(target), {i: [] for i in stream}
+        while left > 0:
+            for i in stream:
+                took = min(size[i], left)
+                if took > 0:
+                    share = (at + took / 2) / target
+                    # The integral of 0.5 + t is (t + t * t) / 2, which is 1 at time 1.
+                    want[i].append((2 * share + 0.25) ** 0.5 - 0.5 if source == "small" else share)
+                    copies += [(want[i][-1], i)] * (2 * took >= size[i])
+                at, left = at + size[i], left - took
+        for i in stream:
+            assert plan[i].positions == pytest.approx(want[i])
+            assert plan[i].position == (plan[i].positions[0] if want[i] else None)
+    assert max(len(r.positions) for r in plan.values()) == 3
+    assert [r.doc_id for r in mixing.mix(df, **options).collect()] == [i for _, i in sorted(copies)]
+
+
 def fewest_bins(items, capacity, bins=()):
     """Brute force: each piece into every bin where it fits, or a new one."""
     if not items:
