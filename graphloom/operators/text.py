@@ -83,6 +83,13 @@ def checked_query(text: str) -> str:
     return text
 
 
+def search_one(index: Index, text: str, top_k: int = 5) -> DataFrame:
+    """doc, score, rank for a single query: checked, and with its CJK characters set apart."""
+    spark = index.idf.sparkSession
+    query = spark.createDataFrame([(0, checked_query(text))], "query long, text string").withColumn("text", spaced_cjk(F.col("text")))
+    return search(index, query, top_k).drop("query")
+
+
 def top_terms(index: Index, n: int = 10) -> DataFrame:
     """doc, term, rank: the heaviest terms of each document."""
     order = W.partitionBy("doc").orderBy(F.desc(F.round("w", 9)), "term")

@@ -209,3 +209,15 @@ def test_field_types_of_shared_pointers(spark, tmp_path):
     spark.createDataFrame([(i, i) for i in range(6)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     rows = {r.p_partkey: (r.target, r.type, r.cardinality) for r in queries.queries()["X2_X3_X9_field_types"](spark, str(tmp_path)).collect()}
     assert set(rows) == set(range(6)) and rows[1] == (None, None, None) and rows[2] == ("Disk", "aggregation", "1..*")
+
+
+def test_search_one_sets_cjk_apart(spark):
+    docs = spark.createDataFrame([(1, "ab reads blocks"), (2, "event handler"), (3, "提 交 queue")], "doc long, text string")
+    index = text.build_index(docs)
+    assert {r.doc for r in text.search_one(index, "  提交ab ").collect()} == {1, 3}
+    for bad in ("", " ", "x" * 1001):
+        try:
+            text.search_one(index, bad)
+            raise AssertionError
+        except ValueError:
+            pass
