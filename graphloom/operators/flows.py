@@ -86,9 +86,18 @@ def exploration_path(edges: DataFrame, entries: DataFrame, members: DataFrame, m
     return path if len(path) > 1 else []
 
 
-def suggestions(visible: DataFrame, members: DataFrame, edges: DataFrame, entries: DataFrame, limit: int = 3) -> DataFrame:
-    """kind, name, weight: a neighbour of the module that most visible classes belong to, a frequent target, an entry point."""
+def suggestions(visible: DataFrame, members: DataFrame, edges: DataFrame, entries: DataFrame, deps: DataFrame, limit: int = 3) -> DataFrame:
+    """kind, name, weight, in this order: a neighbour of the module that most visible classes belong to, up to three entry points, the two frequent targets.
+
+    A frequent target is a known class that isn't visible; its weight is how many ``deps`` (src, dst, type) of visible ones name it.
+    The first ``limit`` rows count; a name stays at its first place.
+    """
+    kind = lambda name, df, most: df.orderBy(F.desc("weight"), "name").limit(most).select(F.lit(name).alias("kind"), "name", "weight")
     own = visible.join(members, "name").groupBy("module").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "module").limit(1)
-    near = edges.join(own, edges["source"] == own["module"]).select(F.lit("module").alias("kind"), F.col("target").alias("name"), "weight").orderBy(F.desc("weight"), "name").limit(1)
-    rest = entries.join(visible, "name", "left_anti").select(F.lit("entry").alias("kind"), "name", F.col("degree").alias("weight")).orderBy(F.desc("weight"), "name").limit(limit)
-    return near.unionByName(rest).limit(limit)
+    near = kind("module", edges.join(own, edges["source"] == own["module"]).select(F.col("target").alias("name"), "weight"), 1)
+    rest = kind("entry", entries.join(visible, "name", "left_anti").select("name", F.col("degree").alias("weight")), 3)
+    named = deps.join(visible.select(F.col("name").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("name")).agg(F.count(F.lit(1)).alias("weight"))
+    named = named.join(visible, "name", "left_anti").join(members.select("name").distinct(), "name", "left_semi")
+    target = kind("target", named.join(rest, "name", "left_anti"), 2)
+    place = F.when(F.col("kind") == "module", 0).when(F.col("kind") == "entry", 1).otherwise(2)
+    return near.unionByName(rest).unionByName(target).orderBy(place, F.desc("weight"), "name").limit(limit)

@@ -425,7 +425,7 @@ def _(s, d):
 def _(s, d):
     n, e = nodes(s, d), supply_edges(s, d)
     m = grouping.with_module(n)
-    return flows.suggestions(n.filter("ord < 5").select("name"), m, grouping.module_edges(m, e), grouping.entry_points(n, e))
+    return flows.suggestions(n.filter("ord < 5").select("name"), m, grouping.module_edges(m, e), grouping.entry_points(n, e), e, 6)
 
 
 @query("H11_caller_index", f"WITH {STEPS} SELECT owner || '::' || member AS callee, string_agg(class || '::' || method, ',' ORDER BY class || '::' || method) AS callers FROM resolved WHERE kind = 'call' GROUP BY 1")

@@ -221,3 +221,14 @@ def test_search_one_sets_cjk_apart(spark):
             raise AssertionError
         except ValueError:
             pass
+
+
+def test_suggestions_name_frequent_targets(spark):
+    visible = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    members = spark.createDataFrame([(n, "m") for n in "abcdef"] + [("g", "o")], "name string, module string")
+    module_edges = spark.createDataFrame([("m", "o", 2), ("o", "m", 9)], "source string, target string, weight long")
+    entries = spark.createDataFrame([("f", "hub", 5), ("a", "root", 9)], "name string, kind string, degree long")
+    deps = edges(spark, [("a", "d"), ("b", "d"), ("c", "d"), ("a", "e"), ("b", "e"), ("a", "g"), ("a", "b"), ("c", "b"), ("a", "zz"), ("b", "zz"), ("f", "g"), ("d", "g"), ("a", "f"), ("b", "f"), ("c", "f")])
+    found = [tuple(r) for r in flows.suggestions(visible, members, module_edges, entries, deps, 6).collect()]
+    assert found == [("module", "o", 2), ("entry", "f", 5), ("target", "d", 3), ("target", "e", 2)]
+    assert [tuple(r) for r in flows.suggestions(visible, members, module_edges, entries, deps).collect()] == found[:3]
