@@ -6,7 +6,9 @@ maps the mean to languages. Both layers are trained together by stochastic
 gradient descent in numpy on the driver, on a sample of at most ``per_lang``
 documents of each language and two snippets of each. A temperature fitted on a
 fifth of the sample calibrates the score, and a text is rejected if its score
-is below 0.85 times the ``REJECT_RATE`` quantile of the correct ones there (0.5 at most).
+is below 0.85 times the ``REJECT_RATE`` quantile of the correct ones there. Texts
+of fewer than ``LONG`` bytes are held against the short snippets and texts
+there, others against the longer ones.
 
 At prediction, the layers are multiplied out into one table of ``BUCKETS``
 times languages, which is what tasks receive: its size doesn't depend on the
@@ -36,6 +38,7 @@ BUCKETS = 1 << 15
 WIDTH = 16
 EPOCHS = 12
 REJECT_RATE = 0.001
+LONG = 120
 BLOCK = 1 << 20
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -72,7 +75,10 @@ class Model:
     table: np.ndarray  # a row of class scores for each bucket
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: tuple[float, float]  # of short texts and of others
+
+    def accepts(self, score: float, size: int) -> bool:
+        return score >= self.thresholds[size >= LONG]
 
     def score(self, text: bytes) -> tuple[str, float]:
         total, n = np.zeros(len(self.langs)), 0
@@ -96,7 +102,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, rank, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
             seed = zlib.crc32(text)
             places = [(0, len(text))]
-            for k, size in enumerate((24, 120)):
+            for k, size in enumerate((24, LONG)):
                 start = (seed >> (8 * k)) % max(1, len(text) - size)
                 start = text.find(b" ", start) + 1 if len(text) > size else 0
                 places.append((start, start + size))
@@ -104,10 +110,10 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = text[a:b] if part == 0 else text[a:b].rpartition(b" ")[0] or text[a:b]
                 if has_letter(piece.decode(errors="ignore").encode()):
                     found, share = bag(piece)
-                    rows.append((lang, rank, part, found.tolist(), share.tolist()))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "rank", "part", "found", "share"])
+                    rows.append((lang, rank, part, part == 1 or len(text) < LONG, found.tolist(), share.tolist()))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "rank", "part", "short", "found", "share"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, seed: int = 1) -> Model | None:
@@ -122,7 +128,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, int(min(1.0, 1.2 * per_lang / n) * (1 << 30))).otherwise(limit)
     sample = known.filter(F.col("rank") < limit).select("lang", "rank", "text")
-    rows = sample.mapInArrow(_bags, "lang string, rank long, part int, found array<long>, share array<double>").toArrow().to_pylist()
+    rows = sample.mapInArrow(_bags, "lang string, rank long, part int, short boolean, found array<long>, share array<double>").toArrow().to_pylist()
     kept = {lang: set(sorted({r["rank"] for r in rows if r["lang"] == lang})[:per_lang]) for lang in counts}
     rows = sorted((r for r in rows if r["rank"] in kept[r["lang"]]), key=lambda r: (r["lang"], r["rank"], r["part"], len(r["found"])))
     return fitted(rows, seed) if rows else None
@@ -130,7 +136,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def fitted(rows: list[dict], seed: int) -> Model:
     langs = sorted({r["lang"] for r in rows})
-    bags = [(np.array(r["found"]), np.array(r["share"]), langs.index(r["lang"]), r["rank"] % 5 == 0) for r in rows]
+    bags = [(np.array(r["found"]), np.array(r["share"]), langs.index(r["lang"]), r["rank"] % 5 == 0, r["short"]) for r in rows]
     learn = [x for x in bags if not x[3]] or bags
     check = [x for x in bags if x[3]] or bags
     rng = np.random.default_rng(seed)
@@ -139,7 +145,7 @@ def fitted(rows: list[dict], seed: int) -> Model:
     for epoch in range(EPOCHS):
         rate = 0.5 * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(learn)):
-            found, share, lang, _ = learn[i]
+            found, share, lang, *_ = learn[i]
             x = share @ embed[found]
             z = x @ out + bias
             p = np.exp(z - z.max())
@@ -150,8 +156,8 @@ def fitted(rows: list[dict], seed: int) -> Model:
             bias -= 0.1 * rate * p
             embed[found] -= rate / (share @ share) * np.outer(share, step)
     table = (embed @ out).astype(np.float32)
-    logits = np.array([share @ table[found] + bias for found, share, _, _ in check])
-    truth = np.array([lang for _, _, lang, _ in check])
+    logits = np.array([share @ table[found] + bias for found, share, *_ in check])
+    truth = np.array([lang for _, _, lang, *_ in check])
     loss = []
     grid = np.geomspace(0.25, 8, 31)
     for t in grid:
@@ -161,9 +167,10 @@ def fitted(rows: list[dict], seed: int) -> Model:
     t = float(grid[int(np.argmin(loss))])
     z = np.exp((logits - logits.max(axis=1, keepdims=True)) / t)
     top = z.max(axis=1) / z.sum(axis=1)
-    right = top[logits.argmax(axis=1) == truth]
-    threshold = min(0.5, 0.85 * float(np.quantile(right, REJECT_RATE))) if len(right) else 0.0
-    return Model(langs, table, bias, t, threshold)
+    right, short = logits.argmax(axis=1) == truth, np.array([x[4] for x in check])
+    alike = [top[right & (short == s)] for s in (True, False)]
+    short_level, long_level = (0.85 * float(np.quantile(x, REJECT_RATE)) if len(x) else 0.0 for x in alike)
+    return Model(langs, table, bias, t, (short_level, long_level))
 
 
 def _labels(model: Model | None, texts: pa.Array) -> tuple[list[str], list[float], list[bool]]:
@@ -174,7 +181,7 @@ def _labels(model: Model | None, texts: pa.Array) -> tuple[list[str], list[float
         lang, score = model.score(text) if named and model else ("und", 0.0)
         langs.append(lang)
         scores.append(score)
-        kept.append(named and (model is None or score >= model.threshold))
+        kept.append(named and (model is None or model.accepts(score, len(text))))
     return langs, scores, kept
 
 

@@ -192,6 +192,18 @@ def test_language(spark, nothing):
     assert langid.train(nothing) is None and langid.identify(nothing, None).isEmpty()
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet")
+    model = langid.train(docs)
+    rng = random.Random(1)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(40))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    swahili = "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu."
+    odd = spark.createDataFrame([(1, junk), (2, finnish), (3, swahili), (4, "xqzjk wvvxk " * 30)], "doc_id long, text string")
+    assert [r.doc_id for r in langid.identify(odd, model).collect() if r.accepted] == []
+    assert langid.identify(docs, model).filter("NOT accepted").count() <= 0.005 * docs.count()
+
+
 def test_toxicity(spark, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
