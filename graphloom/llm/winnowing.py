@@ -80,11 +80,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(both / F.greatest(total - both, F.lit(1)))
 
 
+def cut_shares(rows: int, bucket_rows: int, most: int = 4096) -> list[float]:
+    """The quantiles that cut ``rows`` into equal buckets of about ``bucket_rows``; past ``most`` buckets, all of them grow alike."""
+    buckets = min(rows // bucket_rows + 1, most)
+    return [i / buckets for i in range(1, buckets)]
+
+
 def with_next(rows: DataFrame, carried: list[str], bucket_rows: int = 4000) -> DataFrame:
     """``rows`` (doc_id, ...) with next_<column> of the next row in descending order of ids; after the last comes the first."""
     ids = rows.select("doc_id")
     n = ids.count()
-    cuts = sorted({c for c in ids.approxQuantile("doc_id", [i / (n // bucket_rows + 1) for i in range(1, min(n // bucket_rows + 1, 4096))], 0.1 / (n // bucket_rows + 1)) if c is not None}) if n > bucket_rows else []
+    shares = cut_shares(n, bucket_rows)
+    cuts = sorted({c for c in ids.approxQuantile("doc_id", shares, 0.1 * shares[0]) if c is not None}) if shares else []
     cut = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else None
     bucket = F.size(F.filter(cut, lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
     bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(bucket)

@@ -251,6 +251,12 @@ def test_winnowing(docs, nothing):
     assert winnowing.compared(nothing).isEmpty()
 
 
+def test_winnowing_cuts_evenly():
+    for rows in (3_999, 4_000, 400_000, 16_400_000, 40_000_000, 10**9):
+        edges = [0.0, *winnowing.cut_shares(rows, 4000), 1.0]
+        assert max(b - a for a, b in zip(edges, edges[1:], strict=False)) <= max(4000 / rows, 1 / 4096) * 1.001 or rows < 4000
+
+
 def test_winnowing_shares_long_runs(spark):
     rng = random.Random(5)
     shared = words(rng, winnowing.GRAM + winnowing.WINDOW - 1)
