@@ -20,26 +20,35 @@ in numpy. Chunk values that many sets of a batch share are reduced in the map ta
 its sets are paired with the smallest, and only three of them travel on.
 
 Each candidate is verified on the shingle sets of the whole texts. Candidates
-are first each set's most frequent smallest partner, then other smallest
-partners in another component, both if they share enough values, then pairs of
-a remaining chunk value that still lie in different components. For these, sets
+are first each set and its smallest partners, if they share enough values, then
+sets of a remaining chunk value that still lie in different components. For these, sets
 are sketched again without common shingles, those of chunk values that many
 components share: leaving the same shingles out of all sets doesn't raise any
 difference, so the bounds hold. A set with too few others left keeps its first
 values. So members of one large group aren't paired with each
 other, and no link between components is lost.
 
+No pair leaves a task before it is known to link. The sets that share a value
+meet in the star of the smallest of them; a star is cut into slices of bounded
+size, and each two slices make a block, which is a task's unit. Inside it the Hamming distances of
+bit sketches rule out most pairs, exact intersections decide the others, and
+pairs that are already connected are passed over, so a block gives fewer links than it has sets.
+
+Chunk counts leave room for chance (``margin`` standard deviations). A set that
+nevertheless fills too few chunks is compared with every document, in blocks of such sets.
+
 Defined cases: null, empty and blank texts have the empty set, link with
 nothing and are their own component. A document without an id gets component
 null, is compared with none and is kept. Rows that repeat an id and a text are
-equal sets. An empty table gives an empty result. ``near_dedup`` keeps extra
-columns.
+equal sets. A very long text is one set like others; only its own task holds it. Ties go to the smaller id. An empty table gives an empty result. ``near_dedup`` keeps extra
+columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +62,31 @@ from ._shingles import mix, shingles
 from .components import components
 
 PERCENT = 75
-#: Sets of a batch that share a chunk value before the map task reduces them.
-CROWD = 16
-#: Components that share a chunk value whose shingles then count as common.
-CROWDED = 12
-#: Common shingles that are left out of the second sketches, at most; any number of them keeps the join exact.
-COMMON = 1_000_000
+#: Documents that a map task sketches at once.
+PIECE = 4096
+#: What a set adds to the weight of a slice beside its shingles.
+OVERHEAD = 500
+
+
+@dataclass(frozen=True)
+class Tuning:
+    """How the join works; results are the same for any values.
+
+    ``crowd``: sets of a batch that share a chunk value before the map task
+    reduces them. ``crowded``: components that share a chunk value whose shingles
+    then count as common. ``common``: common shingles left out of the second
+    sketches, at most. ``margin``: standard deviations of filled chunks that a
+    chunk count leaves room for. ``slice``: weight of a slice, shingles and ``OVERHEAD`` for each set.
+    """
+
+    crowd: int = 16
+    crowded: int = 12
+    common: int = 1_000_000
+    margin: float = 6.0
+    slice: int = 500_000
+
+
+TUNING = Tuning()
 #: Up to this size every shingle is a chunk of its own.
 TINY = 32
 _SCOPE = 0xD6E8FEB86659FD93
@@ -86,13 +114,13 @@ def spare(n: int) -> int:
     return min(n // 16 + 6, n // 2)
 
 
-def chunk_count(need: int, n: int) -> int:
+def chunk_count(need: int, n: int, margin: float) -> int:
     """Chunks of a band's sketches: ``need`` filled ones of n shingles, with room for those that stay empty."""
     chunks = need
     while n > TINY and chunks < 4 * n:
         share = math.exp(-n / chunks)
         spread = math.sqrt(chunks * share * (1 - (1 + n / chunks) * share))
-        if chunks * (1 - share) - 6 * spread - 2 >= need:
+        if chunks * (1 - share) - margin * spread - 2 >= need:
             return chunks
         chunks += 1 + chunks // 64
     return 1 << 32
@@ -106,8 +134,8 @@ def relied(n: Column) -> Column:
 class Sketcher:
     """Chunk values of sets under one threshold."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, margin: float):
+        self.percent, self.margin = percent, margin
         self.edges = edges_of_bands(percent, 1)
         self.cached: dict[int, list[tuple[int, int, int]]] = {}
 
@@ -123,7 +151,7 @@ class Sketcher:
                     first, last, most = self.edges[scope], self.edges[scope + 1] - 1, self.edges[scope + 2] - 1
                     needs = [(m, self.bound(m, 100 * m // self.percent) + 1 + spare(m) * 2 // 3) for m in (first, last)]
                     needs.append((most, self.bound(most, last) + 1 + spare(most) * 2 // 3))
-                    chunks = max(chunk_count(need, m) for m, need in needs)
+                    chunks = max(chunk_count(need, m, self.margin) for m, need in needs)
                     out.append((scope, chunks, self.bound(n, partner) + 1 + spare(n)))
             self.cached[n] = out
         return self.cached[n]
@@ -150,9 +178,10 @@ class Sketcher:
             else:
                 yield np.zeros(0, np.uint64), np.zeros(1, np.int64), send
 
-    def values(self, found: np.ndarray, n: int) -> np.ndarray:
-        """The chunk values that a set sends, each with its scope in the lowest seven bits."""
-        return np.concatenate([np.zeros(0, np.uint64), *(v for v, _, _ in self.chunks(found, n))])
+    def values(self, found: np.ndarray, n: int) -> tuple[np.ndarray, bool]:
+        """The chunk values that a set sends, each with its scope in the lowest seven bits, and whether they are too few to promise a shared one."""
+        sent = [(v, due) for v, _, due in self.chunks(found, n)]
+        return np.concatenate([np.zeros(0, np.uint64), *(v for v, _ in sent)]), any(len(v) < due - spare(n) // 3 for v, due in sent)
 
 
 def set_keys(found: np.ndarray) -> tuple[int, int]:
@@ -193,49 +222,45 @@ def _grouped(value: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return value, key, np.where(several, row_start, -1), row_size
 
 
-def _sketch(percent: int, bits: int, common: Broadcast | None = None):
+def _sketch(percent: int, bits: int, tuning: Tuning, common: Broadcast | None = None):
     """Packed chunk values and documents; with ``common``, of the sets without these shingles.
 
-    Then the second number of a document says whether too few chunks are left to promise a shared one.
+    The second number of a document is twice its set's size, and one more if too few chunks are filled to promise a shared value.
     """
 
     def packed(kinds: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kinds, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher, known, turn = Sketcher(percent), set(), 0
-        for batch in batches:
+        sketcher, known, turn = Sketcher(percent, tuning.margin), set(), 0
+        for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
             rows, values, keys = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 found = shingles(text.as_py())
                 k1, k2 = set_keys(found)
                 n = len(found)
-                if common is None:
-                    rows.append((doc, n, k1, k2))
-                else:
+                if common is not None:
                     found = found[~_among(found, common.value)]
-                    rows.append((doc, int(any(len(v) < due - spare(n) // 3 for v, _, due in sketcher.chunks(found, n))), k1, k2))
+                sent, short = sketcher.values(found, n) if n else (found, False)
+                rows.append((doc or 0, 2 * n + short, k1, k2, doc is not None))
                 if n and doc is not None and k1 not in known:
                     known.add(k1)
-                    values.append(sketcher.values(found, n))
-                    keys.append(np.full(len(values[-1]), k1, np.int64))
-            if not rows:
-                continue
+                    values.append(sent)
+                    keys.append(np.full(len(sent), k1, np.int64))
             turn += 1
-            side = (turn * 7919 + (rows[0][0] or 0)) % (1 << bits)
-            docs = np.array([(r[0] or 0, r[1], r[2], r[3], r[0] is not None) for r in rows], np.int64)
-            kinds = [(side, 3, docs.tobytes())]
+            side = (turn * 7919 + rows[0][0]) % (1 << bits)
+            kinds = [(side, 3, np.array(rows, np.int64).tobytes())]
             if values:
                 value, key = np.concatenate(values), np.concatenate(keys)
                 order = np.argsort(value, kind="stable")
                 value, key = value[order], key[order]
-                starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+                starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
                 sizes = np.diff(starts, append=len(value))
-                crowd = sizes >= CROWD
+                crowd = sizes >= tuning.crowd
                 if crowd.any():
                     inside = np.repeat(crowd, sizes)
                     v, k, at, _ = _grouped(value[inside], key[inside])
-                    kinds.append((side, 0, _pairs(k, k[at])[:, :].tobytes()))
+                    kinds.append((side, 0, _pairs(k, k[at]).tobytes()))
                     kinds.append((side, 1, np.column_stack((v.view(np.int64), k)).tobytes()))
                     stay = ~inside
                     stay_more = np.arange(len(v)) - at < 3
@@ -261,11 +286,11 @@ def _among(found: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)] == found
 
 
-def _common(percent: int):
+def _common(percent: int, margin: float):
     """The shingles behind the chunk values that a text is listed for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(percent)
+        sketcher = Sketcher(percent, margin)
         for batch in batches:
             out = [np.zeros(0, np.uint64)]
             for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -311,42 +336,126 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(1, value[mine].view(np.int64), key[mine])
 
 
-def _verified(percent: int):
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of shingles link."""
+    shared = int(_among(a, b).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def bit_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of ``bits`` parities for each set; two rows differ in no more bits than the sets' symmetric difference has elements."""
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for row, found in zip(out, sets, strict=True):
+        at = (found >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+        row[:] = np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+    return out
+
+
+def block_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between ``first`` and ``second`` (flags) that connect different labels: enough to connect all that link, no more."""
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    sets, first, second, size = [sets[i] for i in order], first[order], second[order], size[order]
+    root = np.unique(label[order], return_inverse=True)[1]
+    sketch = bit_sketches(sets, 1 << min(15, max(6, int(8 * np.median(size)).bit_length())))
+    out = []
+    for x in np.flatnonzero(first):
+        low, high = np.searchsorted(size, (-(-percent * size[x] // 100), 100 * size[x] // percent + 1))
+        near = low + np.flatnonzero(second[low:high] & (root[low:high] != root[x]))
+        both = size[near] + size[x]
+        most = both - 2 * (-(-percent * both // (100 + percent)))
+        apart = np.bitwise_count(sketch[near] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        may = np.flatnonzero(apart <= most)
+        for y in near[may[np.argsort(apart[may], kind="stable")]]:
+            if root[x] != root[y] and linked(sets[x], sets[y], percent):
+                out.append((int(order[x]), int(order[y])))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def _blocks(percent: int):
+    """Links (a, b) of sorted blocks of hub, i, j, slice, member, lead, label, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended(key: tuple[int, int, int], rows: list[tuple]) -> pa.RecordBatch:
+            part, member, lead, label = (np.array(c) for c in zip(*(r[:4] for r in rows), strict=True))
+            first, second = lead & (part == key[1]), part == key[2]
+            found = block_links([r[4] for r in rows], first, second, label, percent)
+            return pa.RecordBatch.from_arrays([pa.array([int(member[p[k]]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        block, rows = None, []
+        for batch in batches:
+            fixed = [c.to_pylist() for c in batch.columns[:-1]]
+            for hub, i, j, part, member, lead, label, text in zip(*fixed, batch.column(7).cast(pa.binary()), strict=True):
+                if (hub, i, j) != block:
+                    if len(rows) > 1:
+                        yield ended(block, rows)
+                    block, rows = (hub, i, j), []
+                rows.append((part, member, lead, label, shingles(text.as_py())))
+        if len(rows) > 1:
+            yield ended(block, rows)
+
+    return run
+
+
+def _links(stars: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, tuning: Tuning) -> DataFrame:
+    """Links (a, b) that connect the sets of each star: its leading members with all others.
+
+    ``stars``: hub, member, lead. ``sets``: member, n, label. The leading
+    members of a star are cut into slices by weight, and the others into further
+    ones, unless all fit into one. Each block is two slices, the first of leading members.
+    """
+    weight = F.col("n") + OVERHEAD
+    stars = materialize(stars.groupBy("hub", "member").agg(F.max("lead").alias("lead")).join(sets, "member"), "stars")
+    per = stars.groupBy("hub").agg(F.coalesce(F.sum(F.when(F.col("lead"), weight)), F.lit(0)).alias("ahead"), F.sum(weight).alias("all"))
+    ahead = F.ceil(F.col("ahead") / tuning.slice)
+    per = per.select("hub", ahead.alias("ahead"), F.when(F.col("all") <= tuning.slice, 0).otherwise(F.ceil((F.col("all") - F.col("ahead")) / tuning.slice)).alias("behind")).filter("ahead > 0")
+    per = materialize(per, "slices")
+    at = F.when(F.col("lead"), F.pmod(F.xxhash64("member"), F.col("ahead"))).when(F.col("behind") == 0, 0).otherwise(F.col("ahead") + F.pmod(F.xxhash64("member"), F.greatest(F.col("behind"), F.lit(1))))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("slice") >= F.col("ahead"), F.col("ahead") - 1).otherwise(F.col("ahead") + F.col("behind") - 1))
+    placed = stars.join(maybe_broadcast(per, per.count(), 500_000), "hub").withColumn("slice", at.cast("long")).withColumn("other", F.explode(others))
+    placed = placed.select("hub", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "member", "lead", "label")
+    texts = _texts_of(docs, stars.select(F.col("member").alias("id_"))).withColumnRenamed("id_", "member")
+    rows = placed.join(texts, "member").select("hub", "i", "j", "slice", "member", "lead", "label", "text")
+    rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return materialize(rows.mapInArrow(_blocks(percent), "a long, b long"), "links")
+
+
+def _against(queries: Broadcast, percent: int):
+    """Links (a, b) of each document with the listed sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        sizes = np.array([len(found) for _, found in queries.value])
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out_a, out_b = [], []
-            for x, y, text_x, text_y in zip(a, b, batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
-                if last[0] != y:
-                    last = (y, shingles(text_y.as_py()))
-                mine = shingles(text_x.as_py())
-                both = len(mine) + len(last[1])
-                shared = both - len(np.union1d(mine, last[1]))
-                if 100 * shared >= percent * (both - shared):
-                    out_a.append(x)
-                    out_b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            out = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                found = shingles(text.as_py())
+                for i in np.flatnonzero((100 * np.minimum(sizes, len(found)) >= percent * np.maximum(sizes, len(found))) & (len(found) > 0)):
+                    if doc is not None and linked(queries.value[i][1], found, percent):
+                        out.append((queries.value[i][0], doc))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs of documents (a, b) that link, by their whole texts."""
-    pairs = materialize(pairs, "pairs")
-    texts = _texts_of(docs, pairs.select(F.col("a").alias("id_")).unionByName(pairs.select(F.col("b").alias("id_"))))
-    left = texts.select(F.col("id_").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id_").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return materialize(joined.mapInArrow(_verified(percent), "a long, b long"), "links")
+def _short_links(short: DataFrame, docs: DataFrame, percent: int, tuning: Tuning) -> DataFrame:
+    """Links (a, b) of the sets (id_, n) that fill too few chunks, with all documents, in blocks of bounded size. Almost always there is none."""
+    spark = docs.sparkSession
+    out = spark.createDataFrame([], "a long, b long")
+    blocks = short.agg(F.ceil(F.sum(F.col("n") + OVERHEAD) / tuning.slice)).first()[0] or 0
+    for k in range(blocks):
+        part = _texts_of(docs, short.filter(F.pmod(F.xxhash64("id_"), F.lit(blocks)) == k))
+        queries = spark.sparkContext.broadcast([(r.id_, shingles(bytes(r.text))) for r in part.select("id_", F.encode("text", "UTF-8").alias("text")).collect()])
+        out = out.unionByName(materialize(docs.mapInArrow(_against(queries, percent), "a long, b long").filter("a <> b").distinct(), "short"))
+    return out
 
 
-def _sketched(source: DataFrame, percent: int, common: Broadcast | None = None) -> DataFrame:
+def _sketched(source: DataFrame, percent: int, tuning: Tuning, common: Broadcast | None = None) -> DataFrame:
     """What ``_match`` finds in ``source`` (id_, text), written by kind."""
     spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, math.ceil(math.log2(max(1, size / 10 / 800_000))))  # about 800,000 chunks to a range
-    packed = source.mapInArrow(_sketch(percent, bits, common), "range int, kind int, payload binary").repartition(1 << bits, "range")
+    packed = source.mapInArrow(_sketch(percent, bits, tuning, common), "range int, kind int, payload binary").repartition(1 << bits, "range")
     path = f"{shared_dir(spark)}/sketches-{np.random.default_rng().integers(1 << 62):x}"
     packed.mapInArrow(_match, _ROWS).write.partitionBy("kind").parquet(path)
     return spark.read.schema("a long, b long, c long, d long, kind int").parquet(path)
@@ -366,65 +475,55 @@ def _held(rows: DataFrame) -> DataFrame:
     return materialize(rows.withColumn("place", place).filter(F.col("place") > relied(F.col("n"))).select("value", "n", "rep", "label"), "held")
 
 
-def _paired(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a the larger id, of sets in different components that share a value and whose sizes allow a link."""
-    one, two = (x.select("value", F.col("n").alias(f"n_{d}"), F.col("rep").alias(d), F.col("label").alias(f"label_{d}")) for x, d in ((left, "x"), (right, "y")))
-    fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("label_x") != F.col("label_y"))
-    return one.join(two, "value").filter(fits & (F.col("x") != F.col("y"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _stars(held: DataFrame, lead: Column) -> DataFrame:
+    """hub, member, lead: the sets of each value in the star of the smallest of them."""
+    hubs = held.groupBy("value").agg(F.min("rep").alias("hub"))
+    return held.join(hubs, "value").select("hub", F.col("rep").alias("member"), lead.alias("lead")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tuning: Tuning = TUNING) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("id_"), text_of(docs, text_col).alias("text"))
-    stored = _sketched(source, percent)
-    rows = stored.filter("kind = 3").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"))
-    classes = materialize(rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    stored = _sketched(source, percent, tuning)
+    rows = stored.filter("kind = 3").select(F.col("a").alias("doc_id"), F.shiftright("b", 1).alias("n"), (F.col("b") % 2 == 1).alias("short"), F.col("c").alias("k1"), F.col("d").alias("k2"))
+    classes = materialize(rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.max("short").alias("short")), "classes")
     by_key = classes.select(F.col("k1").alias("key"), "n", "rep")
 
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of keys (x, y) as pairs of documents (a, b) whose sizes allow a link."""
-        one, two = (by_key.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("rep").alias(d)) for k, d in (("x", "a"), ("y", "b")))
-        fits = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-        return pairs.join(one, "x").join(two, "y").filter(fits & (F.col("a") != F.col("b")))
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The pairs (a, b) that lie in different components."""
-        one, two = (labels.select(F.col("node").alias(d), F.col("label").alias(f"label_{d}")) for d in ("a", "b"))
-        both = pairs.join(one, "a", "left").join(two, "b", "left")
-        return both.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b").distinct()
+    def labelled(labels: DataFrame | None) -> DataFrame:
+        """member, n, label of each class."""
+        found = classes.select(F.col("rep").alias("member"), "n")
+        return found.withColumn("label", F.col("member")) if labels is None else found.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
 
     def shared(found: DataFrame, labels: DataFrame) -> DataFrame:
         """value, n, rep, label of all sets that share a chunk value."""
         keyed = found.filter("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("key")).distinct()
         return keyed.join(by_key, "key").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("value", "n", "rep", F.coalesce("label", "rep").alias("label"))
 
-    candidates = stored.filter("kind = 0 AND a <> b").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("c").alias("times"))
-    enough = F.col("times") > relied(F.least("n_x", "n_y"))
-    candidates = materialize(named(candidates).filter(enough).select("a", "b", "times"), "candidates")
-    best = candidates.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best"))
-    tested = best.select("a", (-F.col("best.b")).alias("b"))
-    links = _links(tested, source, percent)
-    labels = materialize(components(links), "labels")
-    links = links.unionByName(_links(apart(candidates.select("a", "b"), labels).join(tested, ["a", "b"], "left_anti"), source, percent))
+    found = stored.filter("kind = 0 AND a <> b").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("c").alias("times"))
+    one, two = (by_key.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("rep").alias(d)) for k, d in (("x", "a"), ("y", "b")))
+    fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("a") != F.col("b")) & (F.col("times") > relied(F.least("n_x", "n_y")))
+    candidates = materialize(found.join(one, "x").join(two, "y").filter(fits).select("a", "b"), "candidates")
+    stars = candidates.select(F.col("b").alias("hub"), F.col("a").alias("member"), F.lit(False).alias("lead"))
+    links = _links(stars.unionByName(candidates.select(F.col("b").alias("hub"), F.col("b").alias("member"), F.lit(True).alias("lead")).distinct()), labelled(None), source, percent, tuning)
+    links = links.unionByName(_short_links(classes.filter("short").select(F.col("rep").alias("id_"), "n"), source, percent, tuning))
     labels = materialize(components(links), "labels")
 
     first = materialize(shared(stored, labels), "shared")
     held = _held(first)
-    crowd = first.select("value", "label").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("labels")).filter(F.col("labels") >= CROWDED)
-    listed = first.join(crowd, "value").groupBy("value").agg(F.min("rep").alias("id_"), F.max("labels").alias("labels")).orderBy(F.desc("labels"), "value").limit(COMMON // 4)
+    crowd = first.select("value", "label").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("labels")).filter(F.col("labels") >= tuning.crowded)
+    listed = first.join(crowd, "value").groupBy("value").agg(F.min("rep").alias("id_"), F.max("labels").alias("labels")).orderBy(F.desc("labels"), "value").limit(tuning.common // 4)
     listed = materialize(listed.groupBy("id_").agg(F.collect_list("value").alias("wanted")), "listed")
-    behind = listed.join(_texts_of(source, listed), "id_").select("wanted", "text").mapInArrow(_common(percent), "shingle long")
-    behind = behind.distinct().limit(COMMON).toPandas()["shingle"].to_numpy(np.int64)  # COMMON numbers at most
+    behind = listed.join(_texts_of(source, listed), "id_").select("wanted", "text").mapInArrow(_common(percent, tuning.margin), "shingle long")
+    behind = behind.distinct().limit(tuning.common).toPandas()["shingle"].to_numpy(np.int64)  # so many numbers at most
     common = spark.sparkContext.broadcast(np.sort(behind.view(np.uint64)))
-    again = _sketched(_texts_of(source, held.select(F.col("rep").alias("id_"))), percent, common)
-    hollow = again.filter("kind = 3 AND b = 1").select(F.col("a").alias("rep")).distinct()
-    rest = _paired(second := _held(shared(again, labels)), second, percent).unionByName(_paired(held.join(hollow, "rep", "left_semi"), held, percent)).distinct()
-    known = candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = links.unionByName(_links(rest.join(known, ["a", "b"], "left_anti"), source, percent))
-    labels = materialize(components(links), "labels")
+    again = _sketched(_texts_of(source, held.select(F.col("rep").alias("id_"))), percent, tuning, common)
+    hollow = again.filter("kind = 3 AND b % 2 = 1").select(F.col("a").alias("rep"), F.lit(True).alias("hollow")).distinct()
+    some = held.join(held.join(hollow, "rep", "left_semi").select("value").distinct(), "value", "left_semi").join(hollow, "rep", "left")
+    rest = _stars(_held(shared(again, labels)), F.lit(True)).unionByName(_stars(some, F.coalesce("hollow", F.lit(False))))
+    labels = materialize(components(links.unionByName(_links(rest, labelled(labels), source, percent, tuning))), "labels")
 
-    named_rows = rows.join(classes, ["k1", "k2", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named_rows = rows.join(classes.drop("short"), ["k1", "k2", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     whole = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "rep", "doc_id"))
     return named_rows.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"))
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,9 +51,7 @@ def shingle_set(text):
     return frozenset(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_ngram_join(docs, nothing):
-    rows = docs.filter("doc_id IS NOT NULL").collect()
-    sets = {r.doc_id: shingle_set(r.text) for r in rows}
+def smallest_reachable(sets):
     label = {i: i for i in sets}
     changed = True
     while changed:
@@ -61,6 +60,13 @@ def test_ngram_join(docs, nothing):
             for b in sets:
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and label[a] > label[b]:
                     label[a], changed = label[b], True
+    return label
+
+
+def test_ngram_join(docs, nothing):
+    rows = docs.filter("doc_id IS NOT NULL").collect()
+    sets = {r.doc_id: shingle_set(r.text) for r in rows}
+    label = smallest_reachable(sets)
     got = ngram_join.near_duplicates(docs).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {(i, len(s), label[i]) for i, s in sets.items()}
     assert ngram_join.near_duplicates(nothing).isEmpty()
@@ -68,6 +74,32 @@ def test_ngram_join(docs, nothing):
     assert {r.doc_id for r in kept.collect()} == set(label.values()) | {None} and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("tuning", [ngram_join.TUNING, ngram_join.Tuning(crowd=2, crowded=2, common=4, slice=3000), ngram_join.Tuning(crowd=3, crowded=2, margin=-9.0, slice=40_000)])
+def test_ngram_join_equals_brute_force_however_it_is_tuned(spark, tuning):
+    """Groups around the threshold, a passage that all share, and chunk counts too low for most sets."""
+    rng = random.Random(3)
+    passage, texts = words(rng, 30), []
+    for _ in range(4):
+        base = words(rng, 90).split()
+        for _ in range(25):
+            edited = list(base)
+            for at in rng.sample(range(90), rng.randrange(1, 6)):
+                edited[at] = f"new{rng.randrange(5)}"
+            texts.append(" ".join(edited) + (" " + passage if rng.random() < 0.5 else ""))
+    texts += [words(rng, 60) + " " + passage for _ in range(30)]
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tuning=tuning)
+    assert {r.doc_id: r.component_id for r in got.collect()} == smallest_reachable(sets)
+
+
+def test_bit_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        both, one, other = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in rng.integers(1, 200, 3))
+        a, b = ngram_join.bit_sketches([np.unique(np.append(both, one)), np.unique(np.append(both, other))], 256)
+        assert np.bitwise_count(a ^ b).sum() <= len(one) + len(other)
+
+
 def test_bounds_of_the_join():
     for n in range(1, 300):
         for m in range(n, 100 * n // 75 + 1):
