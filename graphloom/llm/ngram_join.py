@@ -63,7 +63,9 @@ from .components import components
 
 PERCENT = 75
 #: Documents that a map task sketches at once.
-PIECE = 4096
+PIECE = 1024
+#: Tasks that ranges of chunk values are dealt to, at most; a task takes its ranges one at a time.
+TASKS = 1 << 15
 #: What a set adds to the weight of a slice beside its shingles.
 OVERHEAD = 500
 
@@ -268,11 +270,9 @@ def _sketch(percent: int, bits: int, tuning: Tuning, common: Broadcast | None =
                     order = np.argsort(value, kind="stable")
                     value, key = value[order], key[order]
                 part = (value >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
-                for r in range(1 << bits):
-                    a, b = cuts[r], cuts[r + 1]
-                    if a < b:
-                        kinds.append((r, 2, value[a:b].tobytes() + key[a:b].tobytes()))
+                cuts = np.flatnonzero(np.diff(part, prepend=-1, append=1 << bits))
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    kinds.append((int(part[a]), 2, value[a:b].tobytes() + key[a:b].tobytes()))
             for at in range(0, len(kinds), 32):
                 yield packed(kinds[at : at + 32])
 
@@ -304,26 +304,16 @@ def _common(percent: int, margin: float):
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups equal chunk values of each range: kind 0 candidates (set, smallest set, count), kind 1 shared values (value, set), kind 3 documents."""
+    """Groups equal chunk values of each range, which comes in one run: kind 0 candidates (set, smallest set, count), kind 1 shared values (value, set), kind 3 documents."""
 
     def rows(kind: int, *columns: np.ndarray, mask: np.ndarray | None = None) -> pa.RecordBatch:
         n = len(columns[0])
         filled = [pa.array(c, pa.int64(), mask=mask if i == 0 else None) for i, c in enumerate(columns)] + [pa.nulls(n, pa.int64())] * (4 - len(columns))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *filled], names=["kind", "a", "b", "c", "d"])
 
-    ranges: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for r, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind == 2:
-                ranges.setdefault(r, []).append(payload)
-            else:
-                found = np.frombuffer(payload, np.int64).reshape(-1, {0: 3, 1: 2, 3: 5}[kind])
-                if kind == 3:
-                    yield rows(3, *(found[:, i] for i in range(4)), mask=found[:, 4] == 0)
-                elif len(found):
-                    yield rows(kind, *(found[:, i] for i in range(found.shape[1])))
-    for r in list(ranges):
-        payloads = ranges.pop(r)
+    def ended(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if not payloads:
+            return
         value = np.concatenate([np.frombuffer(p, np.uint64, len(p) // 16) for p in payloads])
         key = np.concatenate([np.frombuffer(p, np.int64, offset=len(p) // 2) for p in payloads])
         value, key, start, size = _grouped(value, key)
@@ -335,6 +325,22 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mine.any():
             yield rows(1, value[mine].view(np.int64), key[mine])
 
+    now, payloads = -1, []
+    for batch in batches:
+        for r, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if r != now:
+                yield from ended(payloads)
+                now, payloads = r, []
+            if kind == 2:
+                payloads.append(payload.as_py())
+            else:
+                found = np.frombuffer(payload.as_py(), np.int64).reshape(-1, {0: 3, 1: 2, 3: 5}[kind])
+                if kind == 3:
+                    yield rows(3, *(found[:, i] for i in range(4)), mask=found[:, 4] == 0)
+                elif len(found):
+                    yield rows(kind, *(found[:, i] for i in range(found.shape[1])))
+    yield from ended(payloads)
+
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sets of shingles link."""
@@ -455,7 +461,7 @@ def _sketched(source: DataFrame, percent: int, tuning: Tuning, common: Broadcast
     spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, math.ceil(math.log2(max(1, size / 10 / 800_000))))  # about 800,000 chunks to a range
-    packed = source.mapInArrow(_sketch(percent, bits, tuning, common), "range int, kind int, payload binary").repartition(1 << bits, "range")
+    packed = source.mapInArrow(_sketch(percent, bits, tuning, common), "range int, kind int, payload binary").repartition(min(TASKS, 1 << bits), "range").sortWithinPartitions("range")
     path = f"{shared_dir(spark)}/sketches-{np.random.default_rng().integers(1 << 62):x}"
     packed.mapInArrow(_match, _ROWS).write.partitionBy("kind").parquet(path)
     return spark.read.schema("a long, b long, c long, d long, kind int").parquet(path)
