@@ -5,11 +5,16 @@ groups are then counted exactly and the winners, at most ``counters`` rows, are
 broadcast, so the rows of a hot group meet their winner without moving. All
 other digests are grouped by an ordinary shuffle with map-side aggregation.
 
+``exact_dedup`` drops the losers of frequent digests in the map task, and joins
+the rest against ids and digests of losers only, so texts move only if these are
+too many to broadcast.
+
 Defined cases: a null text is the empty text. Rows without an id take part and
-win only if no row of their group with as long a text has an id. Of rows that repeat an id and a
-text, all are reported as kept, and ``exact_dedup`` returns one of them.
-An empty table gives an empty result. Extra columns are carried by
-``exact_dedup`` under their own names.
+win only if no row of their group with as long a text has an id. Of rows that tie in
+id and length, the one with the smallest hash of its text stays, and of rows that
+repeat both id and text any one, but only one.
+A very long text is hashed in its own task. An empty table gives an empty result. Extra columns are carried by
+``exact_dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, fresh, materialize, text_of
+from ._common import BLANKS, fresh, materialize, maybe_broadcast, text_of
 
 
 def digest_of(text: Column) -> Column:
@@ -55,24 +60,31 @@ def frequent(rows: DataFrame, counters: int) -> DataFrame:
     return parts.groupBy("digest").agg(F.sum("low").alias("low")).filter(F.col("low") >= floor).select("digest")
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 256) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chars, digest."""
+#: Losers of infrequent digests that ``exact_dedup`` broadcasts at most; more are joined by a shuffle.
+LOSERS = 100_000
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, counters: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of frequent digests and of the others (doc_id, n_chars, hash, digest, row, best, group_size), and the winners of the frequent ones."""
     text = text_of(docs, text_col)
-    rows = materialize(docs.select(docs[id_col].alias("doc_id"), F.length(text).alias("n_chars"), digest_of(text).alias("digest")), "digests")
+    rows = docs.select(docs[id_col].alias("doc_id"), F.length(text).alias("n_chars"), F.xxhash64(text).alias("hash"), digest_of(text).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows, "digests")
     hot = materialize(frequent(rows, counters), "frequent")
-    best = F.min(F.struct((-F.col("n_chars")).alias("short"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"))).alias("best")
+    best = F.min(F.struct((-F.col("n_chars")).alias("short"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), "hash", "row")).alias("best")
     size = F.count(F.lit(1)).alias("group_size")
-
-    winners = rows.join(F.broadcast(hot), "digest", "left_semi").groupBy("digest").agg(best, size)
-    winners = materialize(winners, "winners")
-    stay = rows.join(F.broadcast(winners), "digest")
+    winners = materialize(rows.join(F.broadcast(hot), "digest", "left_semi").groupBy("digest").agg(best, size), "winners")
     rest = rows.join(F.broadcast(winners), "digest", "left_anti")
-    moved = rest.join(rest.groupBy("digest").agg(best, size), "digest")
+    return rows.join(F.broadcast(winners), "digest"), rest.join(rest.groupBy("digest").agg(best, size), "digest"), winners
+
+
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 256) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chars, digest."""
+    stay, moved, _ = _decided(docs, id_col, text_col, counters)
     return stay.unionByName(moved).select(
         "doc_id",
         F.col("best.keep_id").alias("keep_id"),
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (F.col("n_chars") == -F.col("best.short"))).alias("kept"),
+        (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         F.col("n_chars").cast("long").alias("n_chars"),
         "digest",
@@ -81,10 +93,21 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 256) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
-    key, chars = fresh(docs, "key_digest"), fresh(docs, "key_chars")
-    stays = annotate(docs, id_col, text_col, counters).filter("kept").select("doc_id", "n_chars", "digest").distinct()
-    stays = stays.select(F.col("digest").alias("d_"), F.col("n_chars").alias("n_"), F.col("doc_id").alias("i_"))
+    _, moved, winners = _decided(docs, id_col, text_col, counters)
+    key, chars, hashed, d, i, n, h, best, once = (fresh(docs, c) for c in ("key_digest", "key_chars", "key_hash", "of_digest", "of_id", "of_chars", "of_hash", "of_best", "of_once"))
     text = text_of(docs, text_col)
-    keyed = docs.withColumns({key: digest_of(text), chars: F.length(text).cast("long")})
-    on = (keyed[key] == stays["d_"]) & (keyed[chars] == stays["n_"]) & keyed[id_col].eqNullSafe(stays["i_"])
-    return keyed.join(stays, on, "left_semi").dropDuplicates([key, chars, id_col]).drop(key, chars)
+    rows = docs.withColumns({key: digest_of(text), chars: F.length(text), hashed: F.xxhash64(text)})
+    won = winners.select(F.col("digest").alias(d), F.col("best").alias(best))
+    rows = rows.join(F.broadcast(won), rows[key] == won[d], "left")
+    is_best = (F.col(chars) == -F.col(best)["short"]) & F.col(id_col).eqNullSafe(F.col(best)["keep_id"]) & (F.col(hashed) == F.col(best)["hash"])
+    frequent_rows = rows.filter(F.col(best).isNotNull() & is_best).dropDuplicates([key]).drop(d, best)
+    rows = rows.filter(F.col(best).isNull()).drop(d, best)
+
+    wins = (F.col("n_chars") == -F.col("best.short")) & F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (F.col("hash") == F.col("best.hash"))
+    odd = moved.filter("group_size > 1").groupBy("digest", "doc_id", "n_chars", "hash").agg(F.max(wins).alias("wins"), F.count(F.lit(1)).alias("times")).filter("NOT wins OR times > 1")
+    odd = materialize(odd.select(F.col("digest").alias(d), F.col("doc_id").alias(i), F.col("n_chars").alias(n), F.col("hash").alias(h), F.col("wins").alias(once)), "odd")
+    on = (rows[key] == odd[d]) & rows[id_col].eqNullSafe(odd[i]) & (rows[chars] == odd[n]) & (rows[hashed] == odd[h])
+    rows = rows.join(maybe_broadcast(odd, odd.count(), LOSERS), on, "left").drop(d, i, n, h)
+    alone = rows.filter(F.col(once).isNull())
+    repeats = rows.filter(F.col(once)).dropDuplicates([key])
+    return alone.unionByName(repeats).drop(once).unionByName(frequent_rows).drop(key, chars, hashed)
