@@ -1,32 +1,38 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear SVM.
 
 The kernel compares words by their three-letter subsequences with gaps: each
-occurrence counts ``DECAY`` to the power of its span, up to span ``SPAN``, and
-lengths are normalised away. Letters are folded first: accents go, digits and
-signs that stand for letters become them, other signs inside a word go, and
-runs of single letters are one word. So inserted signs disappear and inserted
-letters only cost a gap.
-
-Landmarks are words of the labelled sample: those that set toxic texts apart,
-and ordinary ones. The SVM is trained in numpy on the driver, in the Nyström
-feature space, on words as the parts of a labelled text: words of clean texts
-are negative, and toxic texts count through the words that set them apart.
-Training adds variants of these with letters inserted.
+occurrence counts ``DECAY`` to the power of its span, up to span ``SPAN``, and a
+word's sums are divided by a norm that follows from its length, which leaves the
+kernel positive. Characters are folded first: accents and letter forms go, digits and
+signs that stand for letters become them, letters of other scripts are one class,
+other signs inside a word go, invisible ones too, and runs of single letters are
+one word. So inserted signs disappear and inserted letters only cost a gap.
+
+The SVM is trained on labelled texts, a text being a bag of words: its decision
+is that of its worst word, and the hinge loss is on the text's label. A clean
+text asks all of its words to be negative; a toxic one asks it of its worst word,
+its witness, to be positive. Training alternates: given witnesses it solves the
+SVM in the feature space of the Nyström landmarks, then every toxic text
+chooses its witness anew, until none changes. The first witnesses are words with pieces that
+toxic texts have more often than chance gives. Witnesses are also shown with letters
+inserted. Clean words enter as they come near the margin. All of this is numpy on the driver, on a sample.
 A logistic curve fitted on a quarter of the sample turns the worst word of a
 text into its score.
 
 As the decision is linear in the kernel, landmarks and weights multiply out
 into one weight for each of the 32,768 subsequences. Tasks receive that table:
 the same decision, at a cost that doesn't depend on the number of landmarks.
+A very long text is scored in pieces, cut between two words of two letters or more.
 
 Defined cases: null and empty texts get the score of a text without words.
 Without labels of both classes every score is 0. Rows with a null id are held
 out. Repeated labels of an id count as toxic if any is. Rows are scored one by
-one, so repeated rows score alike. An empty table gives an empty result.
+one, so repeated rows score alike. An empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -43,37 +49,48 @@ from ._common import held_out, text_of
 DECAY = 0.7
 SPAN = 4
 LANDMARKS = 192
-#: Weight of the hinge loss of a clean word against the norm.
+#: Weight of the hinge loss of a text, or of a clean word, against the norm.
 COST = 20.0
+#: Turns of choosing witnesses, at most.
+ROUNDS = 8
+#: Variants of a witness with letters inserted.
+VARIANTS = 3
 BLOCK = 1 << 20
 #: Offsets of the second and third letter from the first.
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN + 1)]
-_GONE, _BETWEEN = 255, b" qq "
+#: Class of letters that no Latin letter stands behind.
+_OTHER = 27
+_GONE, _BETWEEN = 255, " qq "
+_CUT = re.compile(r"[A-Za-z]{2}[\x20\x09-\x0D]+(?=[A-Za-z]{2})")
 
 
-def _folded(byte: int) -> int:
-    """Class of a byte: 1 to 26 for letters, 0 for a blank, ``_GONE`` for what is left out."""
-    if byte in b" \t\n\x0b\x0c\r":
+def _folded(point: int) -> int:
+    """Class of a code point: 1 to 26 for letters, 0 for a blank, ``_GONE`` for what is left out."""
+    char = chr(point)
+    kind = unicodedata.category(char)
+    if char in " \t\n\x0b\x0c\r" or kind == "Zs":
         return 0
-    c = chr(byte).lower()
-    if byte >= 0x80:
-        if byte >= 0xC0:
-            return _GONE  # the first byte of a character
-        c = unicodedata.normalize("NFKD", chr(byte + 0x40).lower())[0]  # as if it followed 0xC3
-        c = {"ß": "s", "æ": "a", "ð": "d", "ø": "o", "þ": "t"}.get(c, c)
+    c = unicodedata.normalize("NFKD", char)[0].lower()[0]
+    c = {"ß": "s", "æ": "a", "ð": "d", "ø": "o", "þ": "t"}.get(c, c)
     c = dict(zip("013457@$", "oieastas", strict=True)).get(c, c)
-    return ord(c) - 96 if "a" <= c <= "z" else _GONE
+    if "a" <= c <= "z":
+        return ord(c) - 96
+    return _OTHER if kind[0] == "L" else _GONE
 
 
-_FOLD = np.array([_folded(b) for b in range(256)], np.uint8)
+#: Classes of the first two planes' code points; further ones are left out.
+_FOLD = np.full(0x20000, _GONE, np.uint8)
+for _point in [*range(0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800)]:
+    _FOLD[_point] = _folded(_point)
 
 
-def letters(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of the letters with one blank around each word, where each word's first blank is, and the byte of its first letter.
+def letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of the letters with one blank around each word, where each word's first blank is, and the place of its first letter.
 
     ``text`` starts and ends with a blank.
     """
-    c = _FOLD[np.frombuffer(text, np.uint8)]
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    c = _FOLD[np.minimum(points, len(_FOLD) - 1)]
     at = np.flatnonzero(c != _GONE)
     c = c[at]
     blank = c == 0
@@ -88,6 +105,16 @@ def letters(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c, starts, at[starts + 1]
 
 
+def _pieces(text: str, size: int) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters, cut where no run of single letters is parted."""
+    at = 0
+    while at < len(text):
+        found = _CUT.search(text, at + size) if len(text) > at + size else None
+        end = found.end() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def _scale(length: np.ndarray) -> np.ndarray:
     """Square root of a word's kernel with itself, by its length with both blanks, repeated subsequences counted apart."""
     own = sum(np.maximum(length - b, 0) * DECAY ** (2 * b) for _, b in GAPS)
@@ -133,28 +160,31 @@ class Model:
     shift: float
     floor: float  # the worst word of a text without words
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Scores of texts, in blocks of about ``BLOCK`` bytes."""
-        out, block, size, at = np.zeros(len(texts)), [], 0, 0
-        for i, text in enumerate(texts):
-            block.append(text)
-            size += len(text)
-            if size >= BLOCK or i + 1 == len(texts):
-                out[at : i + 1] = self._block(block)
-                block, size, at = [], 0, i + 1
-        return out
-
-    def _block(self, texts: list[bytes]) -> np.ndarray:
-        ends = np.cumsum([len(t) + len(_BETWEEN) for t in texts]) + 1
-        c, starts, at = letters(b" " + _BETWEEN.join(texts) + _BETWEEN)
-        sums = word_sums(c, starts, self.table)
+    def scores(self, texts: list[str], size: int = BLOCK) -> np.ndarray:
+        """Scores of texts, in blocks of about ``size`` characters."""
         worst = np.full(len(texts), self.floor)
-        np.maximum.at(worst, np.minimum(np.searchsorted(ends, at, side="right"), len(texts) - 1), sums)
+        block, owners, held = [], [], 0
+        for i, text in enumerate(texts):
+            for piece in _pieces(text, size):
+                block.append(piece)
+                owners.append(i)
+                held += len(piece)
+                if held >= size:
+                    self._block(block, owners, worst)
+                    block, owners, held = [], [], 0
+        if block:
+            self._block(block, owners, worst)
         return 1 / (1 + np.exp(-(self.slope * worst + self.shift)))
 
+    def _block(self, pieces: list[str], owners: list[int], worst: np.ndarray) -> None:
+        ends = np.cumsum([len(t) + len(_BETWEEN) for t in pieces]) + 1
+        c, starts, at = letters(" " + _BETWEEN.join(pieces) + _BETWEEN)
+        owner = np.array(owners)[np.minimum(np.searchsorted(ends, at, side="right"), len(pieces) - 1)]
+        np.maximum.at(worst, owner, word_sums(c, starts, self.table))
+
 
-def words_of(text: bytes) -> set[bytes]:
-    c, _, _ = letters(b" " + text + b" ")
+def words_of(text: str) -> set[bytes]:
+    c, _, _ = letters(" " + text + " ")
     return {w for w in c.tobytes().split(b"\0") if len(w) > 2}
 
 
@@ -166,7 +196,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     chosen = known.filter("toxic = 1").orderBy("rank", "id_").limit(per_class).unionByName(known.filter("toxic = 0").orderBy("rank", "id_").limit(2 * per_class))
     source = docs.select(docs[id_col].alias("id_"), text_of(docs, text_col).alias("text"))
     rows = source.join(F.broadcast(chosen), "id_").select("toxic", "rank", "text").toArrow().to_pylist()  # 3 * per_class ids are broadcast
-    return sorted(({**r, "text": r["text"].encode()} for r in rows), key=lambda r: (r["rank"], r["toxic"], r["text"]))[: 4 * per_class]
+    return sorted(rows, key=lambda r: (r["rank"], r["toxic"], r["text"]))[: 4 * per_class]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 800, seed: int = 5) -> Model | None:
@@ -177,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _variants(word: bytes, rng: np.random.Generator) -> list[bytes]:
     """The word with a letter inserted, and with two."""
     out = []
-    for n in (1, 1, 2):
+    for n in (1,) * (VARIANTS - 1) + (2,):
         grown = list(word)
         for _ in range(n):
             grown.insert(int(rng.integers(1, len(grown))), int(rng.integers(1, 27)))
@@ -237,23 +267,33 @@ def fitted(rows: list[dict], seed: int) -> Model:
     root = vectors[:, good] / np.sqrt(values[good])
 
     negative = [plain[i] for i in rng.choice(len(plain), min(12_000, len(plain)), replace=False)] if plain else []
-    worst = _worst_words(toxic, Counter(g for d in learn if not d[0] for g in {g for w in d[2] for g in _grams(w)})) - set(clean)
-    positive = sorted(worst)
-    cost = [COST * 4] * len(positive)
-    for w in list(positive):
-        grown = _variants(w, rng)
-        positive += grown
-        cost += [COST / 4] * len(grown)
+    first = _worst_words(toxic, Counter(g for d in learn if not d[0] for g in {g for w in d[2] for g in _grams(w)})) - set(clean)
+    bags = [sorted(words) for words in toxic if words]
+    # A toxic text without a telling word waits until there is a decision to choose by.
+    witness: list[bytes | None] = [min(first & set(bag), key=lambda w: (-seen[w], w), default=None) for bag in bags]
+    shown: dict[bytes, list[bytes]] = {}
     table, bias = np.zeros(1 << 15, np.float32), 0.0
-    for _ in range(3):  # the clean words that come nearest join the negative ones
-        if not positive or not negative:
+    for _ in range(ROUNDS):
+        texts = Counter(w for w in witness if w is not None)
+        if not texts or not negative:
             break
-        x = (_features(positive + negative, dense) @ root).astype(np.float64)
-        y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
-        w, bias = _svm(x, y, np.array(cost + [COST] * len(negative)))
+        for w in sorted(texts):
+            if w not in shown:
+                shown[w] = _variants(w, rng)
+        grown = [(v, texts[w]) for w in sorted(texts) for v in shown[w]]
+        x = [*sorted(texts), *(v for v, _ in grown), *negative]
+        # A witness counts once for each of its texts, and its variants as much together.
+        cost = [COST * texts[w] for w in sorted(texts)] + [COST * n / VARIANTS for _, n in grown] + [COST] * len(negative)
+        y = np.repeat([1.0, -1.0], [len(x) - len(negative), len(negative)])
+        w, bias = _svm((_features(x, dense) @ root).astype(np.float64), y, np.array(cost))
         table = (dense @ (root @ w)).astype(np.float32)
-        hard = np.argsort(-_sums(plain, table))[:4000]
-        negative = sorted({*negative, *(plain[i] for i in hard)})
+        near = _sums(plain, table) + bias
+        hard = [plain[i] for i in np.argsort(-near)[:4000] if near[i] > -1]
+        chosen = [bag[int(np.argmax(_sums(bag, table)))] for bag in bags]
+        settled = chosen == witness and set(hard) <= set(negative)
+        witness, negative = chosen, sorted({*negative, *hard})
+        if settled:
+            break
     top = np.array([max(_sums(sorted(d[2]), table).max(initial=-1.0), -1.0) + bias for d in check])
     slope, shift = _logistic(top, np.array([d[0] for d in check]))
     return Model(table, slope, shift + slope * bias, -1.0)
@@ -320,7 +360,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            texts = batch.column(2).to_pylist()
             found = shared.value.scores(texts) if shared.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array((found >= cut).astype(np.int32))], names=schema.names)
 
