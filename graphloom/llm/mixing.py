@@ -14,7 +14,7 @@ shards, so a hot source is spread over many tasks.
 Defined cases: a null or blank text has size 0, and none of it is taken, so its
 position is null. A null source is a source of its own and sorts last. A null id hashes like
 the empty string. Rows that repeat an id are separate documents, ordered by
-size. An empty table gives an empty result.
+size. A very long text only counts by its size. Extra columns are carried by ``mix``, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,18 +80,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int)
     return per.withColumn("target", target).select("source", "source_size", "rank", "target")
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, max_epochs: int = MAX_EPOCHS, shard_rows: int = 200_000) -> DataFrame:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per row of ``docs``, range-sorted: doc_id, source, size, source_size, target, taken, position, positions.
 
     ``positions`` has one of each copy, the part of a copy included, between 0
-    and 1 and rising; ``position`` is the first. The number of shards follows
-    the number of rows, and results don't depend on it.
+    and 1 and rising; ``position`` is the first. A source has about as many shards
+    as the largest one has documents in a shard; results don't depend on it.
     """
     size = F.regexp_count(text_of(docs, text_col), F.lit(WORD)).cast("long")
     place = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary"))
     sizes = materialize(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"), place.alias("place")), "sizes")
     digits = 1
-    while 16**digits * shard_rows < sizes.count():
+    most = sizes.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    while 16 ** (2 * digits) < most:
         digits += 1
     targets = materialize(source_targets(sizes, weights, max_epochs), "targets")
     n = targets.count()
@@ -130,9 +131,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     plan = plan_mix(docs, id_col, text_col, source_col, **options)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    plan = plan.groupBy(F.col("doc_id").alias("i_"), F.col("source").alias("s_"), F.col("size").alias("z_")).agg(F.max(F.struct(copies.alias("n"), F.col("positions").alias("at"))).alias("n_"))
-    here, place = fresh(docs, "words_here"), fresh(docs, "place_here")
+    here, place, i, s, z, n = (fresh(docs, c) for c in ("words_here", "place_here", "plan_id", "plan_source", "plan_size", "plan_copies"))
+    plan = plan.groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z)).agg(F.max(F.struct(copies.alias("n"), F.col("positions").alias("at"))).alias(n))
     sized = docs.withColumn(here, F.regexp_count(text_of(docs, text_col), F.lit(WORD)).cast("long"))
-    on = sized[id_col].eqNullSafe(plan["i_"]) & sized[source_col].eqNullSafe(plan["s_"]) & (sized[here] == plan["z_"])
-    out = sized.join(plan, on).withColumn(place, F.explode(F.when(F.col("z_") == 0, F.array(F.lit(None).cast("double"))).otherwise(F.slice("n_.at", F.lit(1), F.col("n_.n")))))
+    on = sized[id_col].eqNullSafe(plan[i]) & sized[source_col].eqNullSafe(plan[s]) & (sized[here] == plan[z])
+    out = sized.join(plan, on).withColumn(place, F.explode(F.when(F.col(z) == 0, F.array(F.lit(None).cast("double"))).otherwise(F.slice(F.col(n)["at"], F.lit(1), F.col(n)["n"]))))
     return out.orderBy(out[place].asc_nulls_last(), out[id_col]).select(*docs.columns)

@@ -5,17 +5,23 @@ histogram of at most ``capacity`` counters. The driver packs that histogram:
 around the largest length left it takes the filling with the least waste as
 often as the counters allow. Each pattern uses up a counter or lowers it below
 the pattern's need, so patterns stay few. If that packing misses the lower
-bound, it branches over the other undominated fillings, depth first. Tasks then
+bound, it branches over the other undominated fillings, depth first. The search ends after ``nodes`` branches with
+the best packing found, which holds every piece in any case; ``nodes=None`` goes
+on until the packing is proven. Tasks then
 look up the slot of each piece from its length and its rank among the pieces
-of that length; ranks come from per-shard counts, so a hot length is spread.
+of that length; ranks come from counts per shard, and a length has as many
+shards as rows in a shard, so a hot one is spread.
 
 Defined cases: a null text is the empty text, which is one piece holding only
-the closing id. Rows that repeat an id are packed as documents of their own. An
-empty table gives an empty result.
+the closing id. Rows that repeat an id are packed as documents of their own, ties
+in any order; a null id is one more value. A very long text is tokenized chunk by
+chunk in its own task, and known chunks are kept up to ``CHUNK_BYTES``. An
+empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -32,6 +38,8 @@ from ._common import materialize, text_of
 #: Tokenizers and the ids of known chunks, by file; both live as long as the Python worker.
 _LOADED: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 CHUNKS_KEPT = 900_000
+#: Longer chunks are tokenized each time, so the ones kept take bounded memory.
+CHUNK_BYTES = 64
 
 
 def default_tokenizer() -> str:
@@ -60,7 +68,7 @@ class ChunkIds(dict):
         if low != chunk:
             return self[low]
         ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) < CHUNKS_KEPT:
+        if len(self) < CHUNKS_KEPT and len(chunk) <= CHUNK_BYTES:
             self[chunk] = ids
         return ids
 
@@ -99,7 +107,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return source.mapInArrow(_cut(tokenizer or default_tokenizer(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def completion(counts: list[int], largest: int, capacity: int, nodes: int) -> dict[int, int]:
+def completion(counts: list[int], largest: int, capacity: int, nodes: float) -> dict[int, int]:
     """The first of the least-waste fillings around ``largest``: {length: how many}.
 
     Branches take a length with a multiplicity, large lengths and many copies
@@ -231,7 +239,7 @@ def best_fit(counts: list[int], capacity: int) -> list[tuple[dict[int, int], int
     return [x for group in open_bins.values() for x in group]
 
 
-def packed(histogram: dict[int, int], capacity: int = 2048, nodes: int = 2000) -> list[tuple[dict[int, int], int]]:
+def packed(histogram: dict[int, int], capacity: int = 2048, nodes: int | None = 2000) -> list[tuple[dict[int, int], int]]:
     """Patterns and how often each is used; together they use up the histogram.
 
     The first descent takes the least-waste filling as often as it goes; it or
@@ -241,6 +249,7 @@ def packed(histogram: dict[int, int], capacity: int = 2048, nodes: int = 2000) -
     the incumbent. It ends when it has met the bound or seen all, which proves
     the packing, or after ``nodes`` branches.
     """
+    nodes = float("inf") if nodes is None else nodes
     counts = [0] * (capacity + 1)
     for n, c in histogram.items():
         counts[n] = c
@@ -331,14 +340,14 @@ def _place(table: dict[int, np.ndarray]):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None, nodes: int = 2000, shard_rows: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None, nodes: int | None = 2000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     rows = materialize(pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
-    shards = max(1, -(-rows.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    shards = F.from_json(F.lit(str([math.isqrt(histogram.get(n, 0)) + 1 for n in range(capacity + 1)])), "array<int>")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.get(shards, F.col("length").cast("int"))).cast("int"))
     sums = rows.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
     base = sums.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     table = {n: np.array(v, np.int64) for n, v in slots(packed(histogram, capacity, nodes)).items()}
     rank = F.row_number().over(W.partitionBy("length", "shard").orderBy("doc_id", "piece")) - 1
     ranked = rows.withColumn("rank", rank).join(base, ["length", "shard"]).withColumn("rank", (F.col("rank") + F.col("base")).cast("long"))
