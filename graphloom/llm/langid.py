@@ -6,7 +6,7 @@ maps the mean to languages. Both layers are trained together by stochastic
 gradient descent in numpy on the driver, on a sample of at most ``per_lang``
 documents of each language and two snippets of each. A temperature fitted on a
 fifth of the sample calibrates the score, and a text is rejected if its score
-is below 0.85 times the ``REJECT_RATE`` quantile of the correct ones there. Texts
+is below ``MARGIN`` times the ``REJECT_RATE`` quantile of the correct ones there. Texts
 of fewer than ``LONG`` bytes are held against the short snippets and texts
 there, others against the longer ones.
 
@@ -14,7 +14,7 @@ At prediction, the layers are multiplied out into one table of ``BUCKETS``
 times languages, which is what tasks receive: its size doesn't depend on the
 corpus. Texts are read whole, long ones in overlapping blocks.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0
+Defined cases: a null text, or one without a letter (Unicode category L, so superscripts and fractions are none), is ``und`` with score 0
 and is rejected. Without labelled rows, every text is ``und`` with score 0, and none is rejected for its score. Rows with a null id
 are held out. Repeated rows are predicted alike. An empty table gives an empty
 result. Extra columns don't matter.
@@ -38,10 +38,11 @@ BUCKETS = 1 << 15
 WIDTH = 16
 EPOCHS = 12
 REJECT_RATE = 0.001
+#: Room below that quantile for texts unlike the sample.
+MARGIN = 0.85
 LONG = 120
 BLOCK = 1 << 20
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
-_LETTER = re.compile(r"[^\W\d_]")
 
 #: Bytes as subwords see them: letters in lower case, anything else in ASCII as the end of a word.
 _FOLD = np.array([c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint32)
@@ -92,7 +93,7 @@ class Model:
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_ASCII_LETTER.search(text) or _LETTER.search(text.decode()))
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode()))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +170,7 @@ def fitted(rows: list[dict], seed: int) -> Model:
     top = z.max(axis=1) / z.sum(axis=1)
     right, short = logits.argmax(axis=1) == truth, np.array([x[4] for x in check])
     alike = [top[right & (short == s)] for s in (True, False)]
-    short_level, long_level = (0.85 * float(np.quantile(x, REJECT_RATE)) if len(x) else 0.0 for x in alike)
+    short_level, long_level = (MARGIN * float(np.quantile(x, REJECT_RATE)) if len(x) else 0.0 for x in alike)
     return Model(langs, table, bias, t, (short_level, long_level))
 
 
