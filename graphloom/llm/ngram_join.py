@@ -57,12 +57,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize, maybe_broadcast, shared_dir, text_of
+from ._common import materialize, maybe_broadcast, shared_dir, small_batches, text_of
 from ._shingles import mix, shingles
 from .components import components
 
 PERCENT = 75
-#: Documents that a map task sketches at once.
+#: Documents that a task has in hand at once.
 PIECE = 1024
 #: Tasks that ranges of chunk values are dealt to, at most; a task takes its ranges one at a time.
 TASKS = 1 << 15
@@ -235,7 +235,7 @@ def _sketch(percent: int, bits: int, tuning: Tuning, common: Broadcast | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, known, turn = Sketcher(percent, tuning.margin), set(), 0
-        for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
+        for batch in batches:
             rows, values, keys = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 found = shingles(text.as_py())
@@ -249,6 +249,8 @@ def _sketch(percent: int, bits: int, tuning: Tuning, common: Broadcast | None =
                     known.add(k1)
                     values.append(sent)
                     keys.append(np.full(len(sent), k1, np.int64))
+            if not rows:
+                continue
             turn += 1
             side = (turn * 7919 + rows[0][0]) % (1 << bits)
             kinds = [(side, 3, np.array(rows, np.int64).tobytes())]
@@ -489,6 +491,11 @@ def _stars(held: DataFrame, lead: Column) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tuning: Tuning = TUNING) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
+    with small_batches(docs.sparkSession, PIECE):
+        return _components_of(docs, id_col, text_col, percent, tuning)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, percent: int, tuning: Tuning) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("id_"), text_of(docs, text_col).alias("text"))
     stored = _sketched(source, percent, tuning)
