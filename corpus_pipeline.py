@@ -15,29 +15,44 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import exact_dedup, langid, mixing, ngram_join, packing
 from graphloom.llm._common import materialize
 
+#: Rows that a stage hands to Python at a time: with whole texts, batches of the default size take hundreds of MB of an executor.
+ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the memory of batches, for this application's session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, min(ROWS, now) if now > 0 else ROWS)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified (6); the model learns from the labelled rows of ``docs``."""
+    prepare(spark)
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text (8)."""
+    prepare(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (2)."""
+    prepare(spark)
     return ngram_join.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them (5)."""
+    prepare(spark)
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens (9)."""
+    prepare(spark)
     return packing.pack(docs)
 
 

@@ -462,7 +462,7 @@ def _sketched(source: DataFrame, percent: int, tuning: Tuning, common: Broadcast
     """What ``_match`` finds in ``source`` (id_, text), written by kind."""
     spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(5, math.ceil(math.log2(max(1, size / 10 / 800_000))))  # about 800,000 chunks to a range
+    bits = max(5, math.ceil(math.log2(max(1, size / 10 / 400_000))))  # about 400,000 chunks to a range
     packed = source.mapInArrow(_sketch(percent, bits, tuning, common), "range int, kind int, payload binary").repartition(min(TASKS, 1 << bits), "range").sortWithinPartitions("range")
     path = f"{shared_dir(spark)}/sketches-{np.random.default_rng().integers(1 << 62):x}"
     packed.mapInArrow(_match, _ROWS).write.partitionBy("kind").parquet(path)

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize, text_of
+from ._common import materialize, small_batches, text_of
 
 #: Tokenizers and the ids of known chunks, by file; both live as long as the Python worker.
 _LOADED: dict[str, tuple[object, dict[bytes, bytes]]] = {}
-CHUNKS_KEPT = 900_000
+CHUNKS_KEPT = 500_000
 #: Longer chunks are tokenized each time, so the ones kept take bounded memory.
 CHUNK_BYTES = 64
 
@@ -342,7 +342,8 @@ def _place(table: dict[int, np.ndarray]):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None, nodes: int | None = 2000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
-    rows = materialize(pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
+    with small_batches(docs.sparkSession):
+        rows = materialize(pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     shards = F.from_json(F.lit(str([math.isqrt(histogram.get(n, 0)) + 1 for n in range(capacity + 1)])), "array<int>")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.get(shards, F.col("length").cast("int"))).cast("int"))
