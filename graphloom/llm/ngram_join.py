@@ -32,7 +32,7 @@ No pair leaves a task before it is known to link. The sets that share a value
 meet in the star of the smallest of them; a star is cut into slices of bounded
 size, and each two slices make a block, which is a task's unit. Inside it the Hamming distances of
 bit sketches rule out most pairs, exact intersections decide the others, and
-pairs that are already connected are passed over, so a block gives fewer links than it has sets.
+pairs that are already connected are passed over, so a block gives fewer pairs of labels than it has sets.
 
 Chunk counts leave room for chance (``margin`` standard deviations). A set that
 nevertheless fills too few chunks is compared with every document, in blocks of such sets.
@@ -360,13 +360,12 @@ def bit_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def block_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between ``first`` and ``second`` (flags) that connect different labels: enough to connect all that link, no more."""
+    """Pairs of labels that links between ``first`` and ``second`` (flags) connect, each label with the smallest it reaches."""
     size = np.array([len(x) for x in sets])
     order = np.argsort(size, kind="stable")
-    sets, first, second, size = [sets[i] for i in order], first[order], second[order], size[order]
-    root = np.unique(label[order], return_inverse=True)[1]
+    sets, first, second, label, size = [sets[i] for i in order], first[order], second[order], label[order], size[order]
+    root = label.copy()
     sketch = bit_sketches(sets, 1 << min(15, max(6, int(8 * np.median(size)).bit_length())))
-    out = []
     for x in np.flatnonzero(first):
         low, high = np.searchsorted(size, (-(-percent * size[x] // 100), 100 * size[x] // percent + 1))
         near = low + np.flatnonzero(second[low:high] & (root[low:high] != root[x]))
@@ -376,30 +375,30 @@ def block_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, l
         may = np.flatnonzero(apart <= most)
         for y in near[may[np.argsort(apart[may], kind="stable")]]:
             if root[x] != root[y] and linked(sets[x], sets[y], percent):
-                out.append((int(order[x]), int(order[y])))
-                root[root == root[y]] = root[x]
-    return out
+                old, new = max(root[x], root[y]), min(root[x], root[y])
+                root[root == old] = new
+    return sorted({(int(a), int(b)) for a, b in zip(label, root, strict=True) if a != b})
 
 
 def _blocks(percent: int):
-    """Links (a, b) of sorted blocks of hub, i, j, slice, member, lead, label, text."""
+    """Labels (a, b) that are connected by links in sorted blocks of hub, i, j, slice, lead, label, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ended(key: tuple[int, int, int], rows: list[tuple]) -> pa.RecordBatch:
-            part, member, lead, label = (np.array(c) for c in zip(*(r[:4] for r in rows), strict=True))
+            part, lead, label = (np.array(c) for c in zip(*(r[:3] for r in rows), strict=True))
             first, second = lead & (part == key[1]), part == key[2]
-            found = block_links([r[4] for r in rows], first, second, label, percent)
-            return pa.RecordBatch.from_arrays([pa.array([int(member[p[k]]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = block_links([r[3] for r in rows], first, second, label, percent)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         block, rows = None, []
         for batch in batches:
             fixed = [c.to_pylist() for c in batch.columns[:-1]]
-            for hub, i, j, part, member, lead, label, text in zip(*fixed, batch.column(7).cast(pa.binary()), strict=True):
+            for hub, i, j, part, lead, label, text in zip(*fixed, batch.column(6).cast(pa.binary()), strict=True):
                 if (hub, i, j) != block:
                     if len(rows) > 1:
                         yield ended(block, rows)
                     block, rows = (hub, i, j), []
-                rows.append((part, member, lead, label, shingles(text.as_py())))
+                rows.append((part, lead, label, shingles(text.as_py())))
         if len(rows) > 1:
             yield ended(block, rows)
 
@@ -407,7 +406,7 @@ def _blocks(percent: int):
 
 
 def _links(stars: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, tuning: Tuning) -> DataFrame:
-    """Links (a, b) that connect the sets of each star: its leading members with all others.
+    """Labels (a, b) that links connect, in each star those of its leading members with all others.
 
     ``stars``: hub, member, lead. ``sets``: member, n, label. The leading
     members of a star are cut into slices by weight, and the others into further
@@ -424,7 +423,7 @@ def _links(stars: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, tun
     placed = stars.join(maybe_broadcast(per, per.count(), 500_000), "hub").withColumn("slice", at.cast("long")).withColumn("other", F.explode(others))
     placed = placed.select("hub", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "member", "lead", "label")
     texts = _texts_of(docs, stars.select(F.col("member").alias("id_"))).withColumnRenamed("id_", "member")
-    rows = placed.join(texts, "member").select("hub", "i", "j", "slice", "member", "lead", "label", "text")
+    rows = placed.join(texts, "member").select("hub", "i", "j", "slice", "lead", "label", "text")
     rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     return materialize(rows.mapInArrow(_blocks(percent), "a long, b long"), "links")
 

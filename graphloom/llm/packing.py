@@ -37,7 +37,7 @@ from ._common import materialize, small_batches, text_of
 
 #: Tokenizers and the ids of known chunks, by file; both live as long as the Python worker.
 _LOADED: dict[str, tuple[object, dict[bytes, bytes]]] = {}
-CHUNKS_KEPT = 500_000
+CHUNKS_KEPT = 300_000
 #: Longer chunks are tokenized each time, so the ones kept take bounded memory.
 CHUNK_BYTES = 64
 
