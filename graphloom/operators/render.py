@@ -47,7 +47,7 @@ def state_diagram(machines: DataFrame) -> DataFrame:
     line = F.concat(F.lit("    "), sanitize_id(F.col("source")), F.lit(" --> "), sanitize_id(F.col("target")))
     body = machines.groupBy("key", "enum", "states").agg(F.array_join(F.sort_array(F.collect_set(line)), "\n").alias("body"))
     first = F.concat(F.lit("    [*] --> "), sanitize_id(F.substring_index("states", ",", 1)))
-    return body.select("key", "enum", F.concat_ws("\n", F.lit("stateDiagram-v2"), F.concat(F.lit('    note "FSM: '), "enum", F.lit('"')), first, "body").alias("value"))
+    return body.select("key", "enum", F.concat_ws("\n", F.lit("stateDiagram-v2"), F.concat(F.lit('    note "FSM: '), "enum", F.lit('"')), first, F.nullif("body", F.lit(""))).alias("value"))
 
 
 def module_graph(edges: DataFrame, most: int = 20) -> DataFrame:
