@@ -13,10 +13,10 @@ from .graph import impact
 
 
 def structural_hash(deps: Column, *arrays: Column) -> Column:
-    """Twelve hex digits over the sorted arrays and target:type pairs; risk and place don't count."""
-    pairs = F.sort_array(F.transform(deps, lambda d: F.concat_ws(":", d["target"], d["type"])))
-    parts = [F.array_join(F.sort_array(a), "\x1f") for a in arrays]
-    return F.substring(F.sha2(F.concat_ws("\x1e", *parts, F.array_join(pairs, "\x1f")), 256), 1, 12)
+    """Twelve hex digits over the sorted arrays and target:type pairs; risk and place don't count. A null array is an empty one."""
+    pairs = F.transform(deps, lambda d: F.concat_ws(":", d["target"], d["type"]))
+    parts = [F.coalesce(F.array_join(F.sort_array(a), "\x1f"), F.lit("")) for a in (*arrays, pairs)]
+    return F.substring(F.sha2(F.concat_ws("\x1e", *parts), 256), 1, 12)
 
 
 def dep_map(deps: DataFrame) -> DataFrame:
@@ -41,20 +41,42 @@ def diff_deps(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def diff_classes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """name, change, interfaces_added, interfaces_removed, risk_change of snapshots with a ``hash``.
+    """name, change, interfaces_added, interfaces_removed, dep_changes, risk_change, file_change of snapshots with a ``hash``.
 
     Common names with equal hashes aren't reported, even if risk or place
-    differ; a risk change needs both risks.
+    differ. Those with other hashes are if their interfaces, dependencies, risk
+    or file changed, so a change of attributes or bases alone isn't reported. A
+    risk change needs both risks. ``dep_changes`` holds (target, change,
+    old_type, new_type) in the order of targets. Snapshots may lack ``deps`` and ``file``.
     """
-    a = old.select("name", *[F.col(c).alias(f"o_{c}") for c in ("interfaces", "risk", "hash")])
-    b = new.select("name", *[F.col(c).alias(f"n_{c}") for c in ("interfaces", "risk", "hash")])
-    j = a.join(b, "name", "full_outer").filter("NOT (o_hash <=> n_hash)")
-    none = F.array().cast("array<string>")
-    change = F.when(F.col("o_hash").isNull(), "added").when(F.col("n_hash").isNull(), "removed").otherwise("modified")
+    none, no_deps = F.array().cast("array<string>"), F.array().cast("array<struct<target:string,change:string,old_type:string,new_type:string>>")
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        place = F.col("file") if "file" in df.columns else F.lit(None).cast("string")
+        return df.select("name", F.coalesce("interfaces", none).alias(f"{mark}_interfaces"), F.col("risk").alias(f"{mark}_risk"), F.col("hash").alias(f"{mark}_hash"), place.alias(f"{mark}_file"))
+
+    def targets(df: DataFrame) -> DataFrame:
+        deps = F.col("deps") if "deps" in df.columns else F.array().cast("array<struct<target:string,type:string>>")
+        rows = df.select("name", F.posexplode(deps).alias("pos", "dep"))
+        return dep_map(rows.select("name", "dep.target", "dep.type", "pos"))
+
+    moved = diff_deps(targets(old), targets(new)).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("target", "change", "old_type", "new_type"))).alias("dep_changes"))
+    j = side(old, "o").join(side(new, "n"), "name", "full_outer").filter("NOT (o_hash <=> n_hash)").join(moved, "name", "left")
     both = F.col("o_hash").isNotNull() & F.col("n_hash").isNotNull()
+    change = F.when(F.col("o_hash").isNull(), "added").when(F.col("n_hash").isNull(), "removed").otherwise("modified")
     risky = both & (F.col("o_risk") != "") & (F.col("n_risk") != "") & (F.col("o_risk") != F.col("n_risk"))
+    elsewhere = both & ~F.col("o_file").eqNullSafe(F.col("n_file"))
     delta = lambda x, y: F.when(both, F.sort_array(F.array_except(x, y))).otherwise(none)
-    return j.select("name", change.alias("change"), delta(F.col("n_interfaces"), F.col("o_interfaces")).alias("interfaces_added"), delta(F.col("o_interfaces"), F.col("n_interfaces")).alias("interfaces_removed"), F.when(risky, F.concat_ws("->", "o_risk", "n_risk")).alias("risk_change"))
+    out = j.select(
+        "name",
+        change.alias("change"),
+        delta("n_interfaces", "o_interfaces").alias("interfaces_added"),
+        delta("o_interfaces", "n_interfaces").alias("interfaces_removed"),
+        F.when(both, F.coalesce("dep_changes", no_deps)).otherwise(no_deps).alias("dep_changes"),
+        F.when(risky, F.concat_ws("->", "o_risk", "n_risk")).alias("risk_change"),
+        F.when(elsewhere, F.concat(F.coalesce("o_file", F.lit("")), F.lit("->"), F.coalesce("n_file", F.lit("")))).alias("file_change"),
+    )
+    return out.filter("change <> 'modified' OR size(interfaces_added) + size(interfaces_removed) + size(dep_changes) > 0 OR risk_change IS NOT NULL OR file_change IS NOT NULL")
 
 
 def diff_modules(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -70,13 +92,16 @@ def diff_modules(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def change_record(meta: dict[str, str], classes: DataFrame, modules: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame | None:
-    """One row that records a change: commit, counts by kind, names, module names and impact; None if nothing changed."""
+    """One row that records a change: commit, names of classes and modules by kind, and impact of all changed classes; None if nothing changed.
+
+    The row holds every changed name, so it is for a report; ``classes`` and ``modules`` are its tables at any size.
+    """
     if classes.isEmpty() and modules.isEmpty():
         return None
     names = lambda df, key, kind: df.filter(F.col("change") == kind).agg(F.sort_array(F.collect_list(key)).alias(f"{key}s_{kind}"))
-    touched = impact(classes.filter("change <> 'added'").select("name"), edges, max_hops)
+    touched = impact(classes.select("name"), edges, max_hops)
     hit = touched.groupBy().agg(F.sort_array(F.collect_list(F.when(F.col("kind") == "direct", F.col("name")))).alias("impact_direct"), F.sort_array(F.collect_list(F.when(F.col("kind") == "indirect", F.col("name")))).alias("impact_indirect"))
-    out = classes.sparkSession.range(1).select(*[F.lit(meta.get(k, "unknown")).alias(k) for k in ("commit", "author", "date", "message")])
+    out = classes.sparkSession.range(1).select(*[F.lit(meta.get(k, "unknown")).alias(k) for k in ("commit", "author")], *[F.lit(meta.get(k, other)).alias(k) for k, other in (("email", ""), ("date", "unknown"), ("message", ""), ("index_file", "blueprint_index.json"))])
     for part in (*(names(classes, "name", k) for k in ("added", "removed", "modified")), *(names(modules, "module", k) for k in ("added", "removed", "modified")), hit):
         out = out.join(F.broadcast(part))  # one row each
     return out

@@ -13,9 +13,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.naming import expand_camel
+
 #: Fixed value: a CJK or kana character, or a word of two or more.
 TOKEN = "(?U)[一-鿿぀-ヿ]|\\b\\w\\w+\\b"
 MAX_QUERY, MAX_TOP_K = 1000, 50
+#: What else a class is searched by, for its whole name or else the first that it ends in.
+ALIASES = {
+    "DiskManager": "磁碟 讀寫 I/O 讀取 寫入 磁碟管理 disk read write block lba storage io",
+    "NVMeController": "NVMe 提交 佇列 完成 控制 控制器 submit queue completion poll drive",
+    "BufferPool": "記憶體 緩衝區 分配 釋放 緩衝池 memory buffer allocate release dma pool",
+    "CacheManager": "快取 緩存 key value 存取 查詢 cache lookup store evict lru",
+    "NVMeDriver": "硬體 驅動程式 初始化 驅動 NVMe硬體 hardware driver init dma nvme device",
+    "EventHandler": "事件 通知 訂閱 處理 事件處理 event listener subscribe callback dispatch handler",
+    "RequestFactory": "工廠 物件 實例 產生 建立 請求 factory create instance new make request object",
+    "TaskScheduler": "任務 排程 優先 佇列 優先佇列 task schedule background priority queue scheduling",
+    "DataSerializer": "序列化 反序列化 資料結構 轉換 二進位 serialize deserialize binary format convert",
+    "ResourceManager": "元件 生命週期 資源 釋放 資源管理 lifecycle resource release manage component",
+    "Manager": "管理 管理器 管理類 manage lifecycle",
+    "Handler": "處理 處理器 handle event listener callback",
+    "Factory": "工廠 產生 實例 建立 create new instance make",
+    "Scheduler": "排程 排程器 schedule task background priority",
+    "Driver": "驅動 驅動程式 驅動器 hardware init driver device",
+    "Serializer": "序列化 反序列化 serialize deserialize binary format",
+    "Pool": "緩衝池 儲存池 分配 allocate release buffer pool",
+    "Controller": "控制 控制器 submit queue control",
+    "Cache": "快取 緩存 cache lookup key value",
+}
 
 
 def tokenized(text: Column) -> Column:
@@ -27,6 +51,56 @@ def spaced_cjk(text: Column) -> Column:
     return F.regexp_replace(text, "([一-鿿぀-ヿ])", " $1 ")
 
 
+def aliases(name: Column, table: dict[str, str] = ALIASES) -> Column:
+    """The aliases of a class name: those of the whole name, else of the first key that it ends in, else null."""
+    found = [F.when(name == key, F.lit(said)) for key, said in table.items()] + [F.when(name.endswith(key), F.lit(said)) for key, said in table.items()]
+    return F.coalesce(*found)
+
+
+#: The columns that ``entry_text`` reads, each optional but the name.
+ENTRY = {
+    "namespace": "string", "responsibility": "string", "attributes": "array<string>", "interfaces": "array<string>", "methods": "array<struct<signature:string,used_types:array<string>>>",
+    "bases": "array<string>", "deps": "array<struct<target:string,type:string>>", "template_params": "array<string>",
+}
+
+
+def entry_text(entries: DataFrame, name: str = "name") -> Column:
+    """The searchable text of an entry, its name five times; missing columns and nulls add nothing."""
+    col = {c: (F.col(c) if c in entries.columns else F.lit(None)).cast(t) for c, t in ENTRY.items()}
+    own = F.coalesce(F.col(name), F.lit(""))
+    spaced = lambda c: F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")
+    plain = lambda c: F.regexp_replace(c, r"[()<>,*&]", " ")
+    one = lambda c: F.array(F.nullif(c, F.lit("")))
+    each = lambda c, f: F.flatten(F.transform(col[c], f))
+    other = aliases(own)
+    parts = (
+        F.array_repeat(F.nullif(own, F.lit("")), 5),
+        F.array(F.when(spaced(own) != own, spaced(own)), other, F.regexp_replace(other, "([一-鿿぀-ヿ])", " $1 ")),
+        one(F.replace(col["namespace"], F.lit("::"), F.lit(" "))),
+        one(col["responsibility"]),
+        F.transform(col["attributes"], lambda a: F.regexp_replace(a, r"[()<>,*&+\-#]", " ")),
+        each("interfaces", lambda i: F.array(plain(i), F.nullif(expand_camel(F.regexp_extract(i, r"(\w+)\s*\(", 1)), F.lit("")))),
+        each("methods", lambda m: F.concat(one(plain(m["signature"])), F.flatten(F.transform(F.coalesce(m["used_types"], F.array().cast("array<string>")), lambda t: F.array(F.substring_index(t, "::", -1), expand_camel(F.substring_index(t, "::", -1))))))),
+        each("bases", lambda b: F.array(b, spaced(b))),
+        each("deps", lambda d: F.when(d["target"] != "", F.array(d["target"], spaced(d["target"]), d["type"])).otherwise(F.array().cast("array<string>"))),
+        col["template_params"],
+    )
+    none = F.array().cast("array<string>")
+    return F.array_join(F.flatten(F.array(*[F.coalesce(p, none) for p in parts])), " ")
+
+
+def matched_methods(methods: Column, words: Column) -> Column:
+    """Signatures of the methods (signature, used_types) that share a word with a query's ``words``, why an entry was found."""
+    short = lambda t: F.substring_index(t, "::", -1)
+
+    def words_of(m: Column) -> Column:
+        used = F.coalesce(m["used_types"], F.array().cast("array<string>"))
+        types = F.flatten(F.transform(used, lambda t: F.concat(F.array(F.lower(short(t))), F.regexp_extract_all(expand_camel(short(t)), F.lit("[a-z]+"), F.lit(0)))))
+        return F.concat(tokenized(F.coalesce(m["signature"], F.lit(""))), types)
+
+    return F.transform(F.filter(methods, lambda m: F.arrays_overlap(words_of(m), words)), lambda m: m["signature"])
+
+
 def term_counts(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """doc, term, n: words and pairs of neighbouring words."""
     rows = docs.select(F.col(doc).alias("doc"), tokenized(F.col(text)).alias("t"))

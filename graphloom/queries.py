@@ -293,18 +293,24 @@ def _(s, d):
     return incremental.cache_stats(table(s, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("entries")))
 
 
-SNAP = """snap AS (SELECT o_custkey, o_orderpriority, o_orderstatus, o_orderdate < TIMESTAMP '1998-01-01' AS early FROM orders),
-old AS (SELECT o_custkey AS name, list_sort(list(DISTINCT o_orderpriority)) AS i, CASE WHEN count(*) >= 10 THEN 'high' ELSE 'low' END AS risk, list_sort(list(DISTINCT o_orderstatus)) AS a FROM snap WHERE early AND o_custkey % 10 <> 3 GROUP BY 1),
-new AS (SELECT o_custkey AS name, list_sort(list(DISTINCT o_orderpriority)) AS i, CASE WHEN count(*) >= 10 THEN 'high' ELSE 'low' END AS risk, list_sort(list(DISTINCT o_orderstatus)) AS a FROM snap WHERE o_custkey % 10 <> 4 GROUP BY 1)"""
+SNAP = """snap AS (SELECT o_custkey AS name, o_orderpriority, o_orderstatus, year(o_orderdate)::VARCHAR AS y, o_orderdate < TIMESTAMP '1998-01-01' AS early FROM orders),
+old_rows AS (SELECT * FROM snap WHERE early AND name % 10 <> 3), new_rows AS (SELECT * FROM snap WHERE name % 10 <> 4),
+old AS (SELECT name, list_sort(list(DISTINCT o_orderpriority)) AS i, CASE WHEN count(*) >= 10 THEN 'high' ELSE 'low' END AS risk, list_sort(list(DISTINCT y)) AS a, 'f' || count(*) % 3 AS file FROM old_rows GROUP BY 1),
+new AS (SELECT name, list_sort(list(DISTINCT o_orderpriority)) AS i, CASE WHEN count(*) >= 10 THEN 'high' ELSE 'low' END AS risk, list_sort(list(DISTINCT y)) AS a, 'f' || count(*) % 3 AS file FROM new_rows GROUP BY 1),
+old_deps AS (SELECT name, o_orderstatus AS target, max(o_orderpriority) AS type FROM old_rows GROUP BY 1, 2),
+new_deps AS (SELECT name, o_orderstatus AS target, max(o_orderpriority) AS type FROM new_rows GROUP BY 1, 2),
+dep_changes AS (SELECT coalesce(o.name, n.name) AS name, string_agg(coalesce(o.target, n.target) || ' ' || CASE WHEN o.type IS NULL THEN 'added' WHEN n.type IS NULL THEN 'removed' ELSE 'retyped' END || ' ' || coalesce(o.type, '') || '>' || coalesce(n.type, ''), ',' ORDER BY coalesce(o.target, n.target)) AS deps FROM old_deps o FULL JOIN new_deps n ON o.name = n.name AND o.target = n.target WHERE o.type IS DISTINCT FROM n.type GROUP BY 1)"""
 
 
 def _snapshots(s, d):
     o = table(s, d, "orders").withColumn("early", F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"))
 
     def snap(rows):
-        g = rows.groupBy(F.col("o_custkey").alias("name")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("interfaces"), F.sort_array(F.collect_set("o_orderstatus")).alias("attributes"), F.when(F.count(F.lit(1)) >= 10, "high").otherwise("low").alias("risk"))
-        none = F.array().cast("array<struct<target:string,type:string>>")
-        return g.withColumn("hash", diff.structural_hash(none, F.col("interfaces"), F.col("attributes")))
+        deps = rows.groupBy(F.col("o_custkey").alias("name"), F.col("o_orderstatus").alias("target")).agg(F.max("o_orderpriority").alias("type"))
+        deps = deps.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("target", "type"))).alias("deps"))
+        file = F.concat(F.lit("f"), (F.count(F.lit(1)) % 3).cast("string"))
+        g = rows.groupBy(F.col("o_custkey").alias("name")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("interfaces"), F.sort_array(F.collect_set(F.year("o_orderdate").cast("string"))).alias("attributes"), F.when(F.count(F.lit(1)) >= 10, "high").otherwise("low").alias("risk"), file.alias("file"))
+        return g.join(deps, "name").withColumn("hash", diff.structural_hash(F.col("deps"), F.col("interfaces"), F.col("attributes")))
 
     return snap(o.filter("early AND o_custkey % 10 <> 3")), snap(o.filter("o_custkey % 10 <> 4"))
 
@@ -314,14 +320,19 @@ def _(s, d):
     return diff.diff_names(*_snapshots(s, d))
 
 
-@query("G4_diff_classes", f"""WITH {SNAP} SELECT coalesce(o.name, n.name) AS name, CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' ELSE 'modified' END AS change,
+@query("G4_diff_classes", f"""WITH {SNAP}, j AS (SELECT coalesce(o.name, n.name) AS name, CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' ELSE 'modified' END AS change,
 CASE WHEN o.name IS NULL OR n.name IS NULL THEN '' ELSE array_to_string(list_filter(n.i, lambda x: NOT list_contains(o.i, x)), ',') END AS interfaces_added,
 CASE WHEN o.name IS NULL OR n.name IS NULL THEN '' ELSE array_to_string(list_filter(o.i, lambda x: NOT list_contains(n.i, x)), ',') END AS interfaces_removed,
-CASE WHEN o.risk <> n.risk THEN o.risk || '->' || n.risk END AS risk_change
-FROM old o FULL JOIN new n ON o.name = n.name WHERE o.name IS NULL OR n.name IS NULL OR o.i <> n.i OR o.a <> n.a""")
+CASE WHEN o.name IS NULL OR n.name IS NULL THEN '' ELSE coalesce(d.deps, '') END AS dep_changes,
+CASE WHEN o.risk <> n.risk THEN o.risk || '->' || n.risk END AS risk_change, CASE WHEN o.file <> n.file THEN o.file || '->' || n.file END AS file_change,
+coalesce(o.i <> n.i OR o.a <> n.a OR d.deps IS NOT NULL, true) AS other_hash
+FROM old o FULL JOIN new n ON o.name = n.name LEFT JOIN dep_changes d ON d.name = coalesce(o.name, n.name))
+SELECT name, change, interfaces_added, interfaces_removed, dep_changes, risk_change, file_change FROM j
+WHERE change <> 'modified' OR other_hash AND (interfaces_added || interfaces_removed || dep_changes <> '' OR risk_change IS NOT NULL OR file_change IS NOT NULL)""")
 def _(s, d):
     out = diff.diff_classes(*_snapshots(s, d))
-    return out.withColumns({c: joined(c) for c in ("interfaces_added", "interfaces_removed")})
+    deps = F.transform("dep_changes", lambda x: F.concat(x["target"], F.lit(" "), x["change"], F.lit(" "), F.coalesce(x["old_type"], F.lit("")), F.lit(">"), F.coalesce(x["new_type"], F.lit(""))))
+    return out.withColumns({c: joined(c) for c in ("interfaces_added", "interfaces_removed")}).withColumn("dep_changes", F.array_join(deps, ","))
 
 
 DEPMAP = "dm AS (SELECT src AS name, dst AS target, type FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY pos DESC, type DESC) AS r FROM edges) WHERE r = 1)"
@@ -375,7 +386,7 @@ def _(s, d):
     return graph.neighbourhood(s.createDataFrame([("N1",)], "name string"), layered_edges(s, d), 2)
 
 
-CALLS = f"{STEPS}, calls AS (SELECT DISTINCT class AS src, owner AS dst FROM resolved WHERE kind = 'call' AND step <= 3)"
+CALLS = f"{STEPS}, calls AS (SELECT DISTINCT class AS src, owner AS dst FROM resolved WHERE kind = 'call')"
 
 
 def _calls(s, d):
@@ -448,7 +459,7 @@ def _(s, d):
     return graph.truncated_steps(call_steps(s, d), 40)
 
 
-@query("J22_explain_chain", f"WITH {STEPS} SELECT class, step, CASE WHEN target = '_self_' THEN CASE WHEN is_write THEN 'writes field `' ELSE 'reads field `' END || member || '`' ELSE CASE WHEN kind = 'call' THEN 'calls `' WHEN is_write THEN 'writes `' ELSE 'reads `' END || target || '::' || member || '`' END AS said FROM steps WHERE step <= 5")
+@query("J22_explain_chain", f"WITH {STEPS} SELECT class, step, CASE WHEN target = '_self_' THEN CASE WHEN is_write THEN 'writes field `' ELSE 'reads field `' END || member || '`' ELSE CASE WHEN kind = 'call' THEN 'calls `' WHEN is_write THEN 'writes `' ELSE 'reads `' END || target || '::' || member || '`' END AS said FROM steps")
 def _(s, d):
     c = call_steps(s, d)
     return c.select("class", F.col("step").cast("long").alias("step"), naming.explain_step(F.col("target"), F.col("member"), F.col("kind"), F.col("is_write")).alias("said"))
@@ -554,7 +565,7 @@ def _(s, d):
     return trace.adjacent(table(s, d, "conversations"), "conv_id", "turn", "role")
 
 
-@query("J4_J5_backtrace", f"WITH {STEPS}, f AS (SELECT class AS trace, step, 'N' || target || '::' || member AS n FROM steps WHERE step <= 4) SELECT trace, -(step - 1) AS pos, lead_n AS caller, n AS callee, 'a=' || step AS args FROM (SELECT *, lead(n) OVER (PARTITION BY trace ORDER BY step) AS lead_n FROM f) WHERE lead_n IS NOT NULL")
+@query("J4_J5_backtrace", f"WITH {STEPS}, f AS (SELECT class AS trace, step, 'N' || target || '::' || member AS n FROM steps) SELECT trace, -(step - 1) AS pos, lead_n AS caller, n AS callee, 'a=' || step AS args FROM (SELECT *, lead(n) OVER (PARTITION BY trace ORDER BY step) AS lead_n FROM f) WHERE lead_n IS NOT NULL")
 def _(s, d):
     c = call_steps(s, d)
     line = F.concat(F.lit("#"), (F.col("step") - 1).cast("string"), F.lit("  0x1f in N"), "target", F.lit("::"), "member", F.lit(" (this=0x2, a="), F.col("step").cast("string"), F.lit(") at a/b.cpp:5"))
@@ -605,10 +616,10 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", naming.method_role(names).alias("role"))
 
 
-TYPES = "CASE p_size % 6 WHEN 0 THEN 'std::unique_ptr<Disk>' WHEN 1 THEN 'std::shared_ptr<const Disk>' WHEN 2 THEN 'std::vector<Disk*>' WHEN 3 THEN 'std::map<int, Disk>' WHEN 4 THEN 'const Disk &' ELSE 'int' END"
+TYPES = "CASE p_size % 7 WHEN 0 THEN 'std::unique_ptr<Disk>' WHEN 1 THEN 'std::shared_ptr<const Disk>' WHEN 2 THEN 'std::vector<Disk*>' WHEN 3 THEN 'std::map<int, Disk>' WHEN 4 THEN 'const Disk &' WHEN 5 THEN 'int' ELSE 'std::shared_ptr<Disk>' END"
 
 
-@query("X2_X3_X9_field_types", "SELECT p_partkey, CASE WHEN p_size % 6 = 5 THEN NULL ELSE CASE WHEN p_size % 6 = 1 THEN 'const' ELSE 'Disk' END END AS target, CASE p_size % 6 WHEN 0 THEN 'composition' WHEN 5 THEN NULL ELSE 'aggregation' END AS type, CASE WHEN p_size % 6 IN (2, 3) THEN '1..*' END AS cardinality FROM part WHERE p_size % 6 <> 1")
+@query("X2_X3_X9_field_types", "SELECT p_partkey, CASE WHEN p_size % 7 NOT IN (1, 5) THEN 'Disk' END AS target, CASE WHEN p_size % 7 = 0 THEN 'composition' WHEN p_size % 7 NOT IN (1, 5) THEN 'aggregation' END AS type, CASE WHEN p_size % 7 IN (2, 3) THEN '1..*' END AS cardinality FROM part")
 def _(s, d):
     p = table(s, d, "part").select("p_partkey", F.expr(TYPES).alias("t"))
     dep = extraction.field_dependency(F.col("t"))
@@ -628,6 +639,39 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", joined(extraction.known_flags(extraction.compiler_arguments(args, F.lit("a.cpp")))).alias("arguments"))
 
 
+NAMES = "CASE p_size % 4 WHEN 0 THEN 'DiskManager' WHEN 1 THEN 'MyBufferPool' WHEN 2 THEN 'EventLoop' ELSE p_brand END"
+
+
+def _spaced(sql: str) -> str:
+    return f"regexp_replace({sql}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
+
+
+@query("I1_D11_entry_text", f"""WITH p AS (SELECT *, {NAMES} AS n FROM part),
+a AS (SELECT *, CASE p_size % 4 WHEN 0 THEN '{text.ALIASES["DiskManager"]}' WHEN 1 THEN '{text.ALIASES["BufferPool"]}' END AS said FROM p)
+SELECT p_partkey, concat_ws(' ', n, n, n, n, n, CASE WHEN {_spaced("n")} <> n THEN {_spaced("n")} END, said, regexp_replace(said, '([一-鿿぀-ヿ])', ' \\1 ', 'g'), 'a ' || p_size, p_name, p_type || ' int  x', 'void readBlock  ' || p_type || '   n ', 'read block', 'BaseThing', 'Base Thing', p_name, {_spaced("p_name")}, 'aggregation', 'T') AS text FROM a""")
+def _(s, d):
+    p = table(s, d, "part").withColumns({
+        "name": F.expr(NAMES),
+        "namespace": F.concat(F.lit("a::"), "p_size"),
+        "responsibility": F.col("p_name"),
+        "attributes": F.array(F.concat("p_type", F.lit("<int> x"))),
+        "interfaces": F.array(F.concat(F.lit("void readBlock( "), "p_type", F.lit(" & n)"))),
+        "bases": F.array(F.lit("BaseThing")),
+        "deps": F.array(F.struct(F.col("p_name").alias("target"), F.lit("aggregation").alias("type"))),
+        "template_params": F.array(F.lit("T")),
+    })
+    return p.select("p_partkey", text.entry_text(p).alias("text"))
+
+
+@query("I7_matched_methods", "SELECT p_partkey, array_to_string(list_filter(['void read' || p_type || '(int n)', 'int size()', 'bool open(Path p)'], lambda m: CASE WHEN m LIKE 'void%' THEN p_size % 3 = 0 WHEN m LIKE 'int%' THEN p_size % 3 = 1 ELSE p_size % 3 <> 2 END), ';') AS methods FROM part")
+def _(s, d):
+    method = lambda sig, *used: F.struct(sig.alias("signature"), F.array(*map(F.lit, used)).cast("array<string>").alias("used_types"))
+    methods = F.array(method(F.concat(F.lit("void read"), "p_type", F.lit("(int n)"))), method(F.lit("int size()")), method(F.lit("bool open(Path p)"), "fs::DiskPath"))
+    k = F.col("p_size") % 3
+    asked = F.when(k == 0, F.concat(F.lit("Read"), "p_type", F.lit(" on disk"))).when(k == 1, F.lit("size of diskpath")).otherwise(F.lit("nothing here"))
+    return table(s, d, "part").select("p_partkey", F.array_join(text.matched_methods(methods, text.tokenized(asked)), ";").alias("methods"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom import queries
 from graphloom.functions import extraction, naming
-from graphloom.operators import diff, filters, flows, graph, grouping, text, trace
+from graphloom.operators import diff, filters, flows, graph, grouping, render, text, trace
 from graphloom.sources import files, incremental
 
 
@@ -84,6 +84,48 @@ def test_state_machine(spark):
     assert [(r.enum, r.states, r.source, r.target) for r in rows] == [("S", "A,B", "A", "B")]
 
 
+def test_state_machines_of_several_blocks(spark):
+    enums = "enum E { One = 1, Two, bad value, }; enum class F { Three };"
+    quiet = "switch (x) { case Two: return; default: break; }"
+    nested = "switch(m.mode) {case 1:} switch (f) { case F::Three : { if (f == Four) { f=F::Four; } this->f = Three; } case Five: f = g(); ff = Six; f = ns::Seven ; }"
+    unknown = "switch (k) { case Ten: k = Ten; k = Eleven; }"
+    df = spark.createDataFrame([("a", enums + quiet + nested), ("b", unknown + " switch (open) { case X: "), ("c", None), ("d", "switch (e) { }")], "file string, text string")
+    machines = trace.state_machines(df)
+    rows = [(r.key, r.enum, r.states, r.source, r.target) for r in machines.collect()]
+    assert sorted(rows, key=str) == sorted([("a", "E", "One,Two", None, None), ("a", "F", "Three", "Three", "Four"), ("a", "F", "Three", "Five", "Seven"), ("b", "k", "Ten", "Ten", "Eleven")], key=str)
+    shown = {r.enum: r.value for r in render.state_diagram(machines).collect()}
+    assert shown["E"].endswith("[*] --> One") and "Ten --> Eleven" in shown["k"]
+
+
+def test_class_changes(spark):
+    def snap(rows):
+        df = spark.createDataFrame(rows, "name string, interfaces array<string>, attributes array<string>, deps array<struct<target:string,type:string>>, risk string, file string")
+        return df.withColumn("hash", diff.structural_hash(F.col("deps"), F.col("interfaces"), F.col("attributes")))
+
+    base = (["i"], ["a"], [("T", "x")], "low", "f")
+    old = snap([(n, *base) for n in ("same", "attribute", "dependency", "moved", "both", "gone")] + [("none", None, ["a"], None, "", None)])
+    new = snap([
+        ("same", *base), ("attribute", ["i"], ["b"], *base[2:]), ("dependency", ["i"], ["a"], [("T", "y"), ("T", "z"), ("U", "x")], "low", "f"),
+        ("moved", *base[:3], "high", "g"), ("both", ["i"], ["b"], [("T", "x")], "high", "g"), ("new", *base), ("none", ["a"], None, None, "high", None),
+    ])
+    rows = {r.name: r for r in diff.diff_classes(old, new).collect()}
+    assert set(rows) == {"dependency", "both", "gone", "new", "none"}
+    assert [tuple(x) for x in rows["dependency"].dep_changes] == [("T", "retyped", "x", "z"), ("U", "added", None, "x")]
+    assert (rows["both"].risk_change, rows["both"].file_change) == ("low->high", "f->g")
+    assert (rows["none"].interfaces_added, rows["none"].risk_change, rows["none"].file_change) == (["a"], None, None)
+    assert {n: r.change for n, r in rows.items() if r.change != "modified"} == {"gone": "removed", "new": "added"}
+
+
+def test_entry_text(spark):
+    df = spark.createDataFrame([("DiskManager", "core::io", ["void readBlock(int n)"], [("void go(DiskPath p)", ["fs::DiskPath"])]), (None, None, None, None)], "name string, namespace string, interfaces array<string>, methods array<struct<signature:string,used_types:array<string>>>")
+    first, empty = (r.t for r in df.select(text.entry_text(df).alias("t")).collect())
+    assert first.startswith("DiskManager " * 5 + "Disk Manager " + text.ALIASES["DiskManager"]) and " 磁 " in first
+    assert first.endswith("core io void readBlock int n  read block void go DiskPath p  DiskPath disk path") and empty == ""
+    names = ["MyDiskManager", "XManager", "Poolside", "Cache"]
+    said = spark.createDataFrame([(n,) for n in names], "n string").select(text.aliases(F.col("n")).alias("a")).collect()
+    assert [r.a for r in said] == [text.ALIASES["DiskManager"], text.ALIASES["Manager"], None, text.ALIASES["Cache"]]
+
+
 def test_search_and_limits(spark):
     docs = spark.createDataFrame([(1, "disk manager reads blocks"), (2, "event handler"), (3, "提交 queue")], "doc long, text string")
     index = text.build_index(docs)
