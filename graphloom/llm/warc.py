@@ -39,6 +39,10 @@ from pyspark.sql import functions as F
 from ._common import materialize, maybe_broadcast, shared_dir
 
 MIN_REVISIT = 1000
+#: Pages from which a shared payload is always broadcast; there are fewer of them than pages divided by this.
+HOT = 100_000
+#: Index files at most: the driver and every lookup task hold a line for each.
+MOST_FILES = 20_000
 BLOCK_LINES = 512
 NO_ID = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -207,8 +211,24 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     return pages.select(surt(pages[url_col]).alias("key"), F.coalesce(pages[id_col].cast("long"), F.lit(NO_ID)).alias("page"), F.sha1(html.cast("binary")).alias("digest"))
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", index_rows: int = 50_000) -> CaptureStore:
-    """Writes a record per page, and the index of all of them."""
+def _with_verdicts(rows: DataFrame, shared: DataFrame, most: int) -> DataFrame:
+    """``rows`` with refers, the page that holds their payload if others share it.
+
+    Past ``most`` shared payloads, those of ``HOT`` pages and more are broadcast, a bounded number, small payloads
+    pass, and only the rest moves by digest.
+    """
+    if (n := shared.count()) <= most:
+        return rows.join(maybe_broadcast(shared.drop("n"), n, most), rows["digest"] == shared["d_"], "left")
+    hot = shared.filter(F.col("n") >= HOT).drop("n")
+    rest = shared.filter(F.col("n") < HOT).drop("n")
+    tried = rows.join(F.broadcast(hot), rows["digest"] == hot["d_"], "left")
+    settled = F.col("d_").isNotNull() | (F.octet_length("html") < MIN_REVISIT)
+    moved = tried.filter(~settled).drop("d_", "refers")
+    return tried.filter(settled).unionByName(moved.join(rest, moved["digest"] == rest["d_"], "left"))
+
+
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", index_rows: int = 50_000, broadcast_rows: int = 200_000) -> CaptureStore:
+    """Writes a record per page, and the index of all of them: files of about ``index_rows`` captures, larger ones past ``MOST_FILES``."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     system, path = _store(folder)
@@ -217,12 +237,13 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     rows = pages.select(surt(pages[url_col]).alias("key"), pages[id_col].cast("long").alias("page"), pages[url_col].cast("string").alias("url"), F.sha1(html.cast("binary")).alias("digest"), html.alias("html"))
     sizes = materialize(rows.select("page", "digest", F.octet_length("html").alias("size")), "payloads")
     shared = sizes.filter(f"size >= {MIN_REVISIT}").groupBy("digest").agg(F.max("page").alias("refers"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND refers IS NOT NULL")
-    shared = materialize(shared.select(F.col("digest").alias("d_"), "refers"), "shared")
-    joined = rows.join(maybe_broadcast(shared, shared.count(), 200_000), rows["digest"] == shared["d_"], "left")
+    shared = materialize(shared.select(F.col("digest").alias("d_"), "refers", "n"), "shared")
+    joined = _with_verdicts(rows, shared, broadcast_rows)
     refers = F.when(~F.col("page").eqNullSafe(F.col("refers")), F.col("refers"))
     found = joined.select("key", "page", "url", "digest", refers.alias("refers"), "html").mapInArrow(_write_archives(folder), _CAPTURES)
     index = materialize(found, "captures")
     n = index.count()
-    parts = index.repartitionByRange(max(1, -(-n // index_rows)), "key", "page", "digest").sortWithinPartitions("key", "page", "digest")
+    files = min(MOST_FILES, max(1, -(-n // index_rows)))
+    parts = index.repartitionByRange(files, "key", "page", "digest").sortWithinPartitions("key", "page", "digest")
     top = materialize(parts.mapInArrow(_write_index(folder), _CAPTURES), "directory")
-    return CaptureStore(folder, sorted((tuple(r) for r in top.collect()), key=_place))  # a row for each index file
+    return CaptureStore(folder, sorted((tuple(r) for r in top.collect()), key=_place))  # a row for each index file, ``MOST_FILES`` at most

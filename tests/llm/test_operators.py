@@ -318,6 +318,8 @@ def test_warc(spark):
     assert (rows[1].record_type, rows[1].refers_to, rows[1].payload_bytes) == ("revisit", 2, 1200)
     assert rows[2].record_type == rows[3].record_type == rows[4].record_type == "response"
     assert rows[5].payload_bytes == 0 and rows[3].payload_digest == hashlib.sha1(b"short").hexdigest()
+    again = {r.page_id: r for r in warc.write(pages, broadcast_rows=0, index_rows=1).lookup(warc.captures(pages)).collect()}
+    assert again == rows
     none = warc.write(pages.limit(0))
     assert none.lookup(warc.captures(pages)).isEmpty()
     assert {r.key for r in warc.captures(pages).collect()} >= {"com,b,a)/x?y", ")", "c)"}
