@@ -129,15 +129,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, int(min(1.0, 1.2 * per_lang / n) * (1 << 30))).otherwise(limit)
     sample = known.filter(F.col("rank") < limit).select("lang", "rank", "text")
-    rows = sample.mapInArrow(_bags, "lang string, rank long, part int, short boolean, found array<long>, share array<double>").toArrow().to_pylist()
+    table = sample.mapInArrow(_bags, "lang string, rank long, part int, short boolean, found array<long>, share array<double>").toArrow()
+    found, share = (_split(table.column(c)) for c in ("found", "share"))
+    rows = [dict(zip(("lang", "rank", "part", "short", "found", "share"), r, strict=True)) for r in zip(*(table.column(i).to_pylist() for i in range(4)), found, share, strict=True)]
     kept = {lang: set(sorted({r["rank"] for r in rows if r["lang"] == lang})[:per_lang]) for lang in counts}
     rows = sorted((r for r in rows if r["rank"] in kept[r["lang"]]), key=lambda r: (r["lang"], r["rank"], r["part"], len(r["found"])))
     return fitted(rows, seed) if rows else None
 
 
+def _split(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists as views of one array: as Python numbers they would take ten times the memory."""
+    whole = lists.combine_chunks()
+    if not len(whole):
+        return []
+    values, edges = whole.values.to_numpy(), whole.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def fitted(rows: list[dict], seed: int) -> Model:
     langs = sorted({r["lang"] for r in rows})
-    bags = [(np.array(r["found"]), np.array(r["share"]), langs.index(r["lang"]), r["rank"] % 5 == 0, r["short"]) for r in rows]
+    bags = [(r["found"], r["share"], langs.index(r["lang"]), r["rank"] % 5 == 0, r["short"]) for r in rows]
     learn = [x for x in bags if not x[3]] or bags
     check = [x for x in bags if x[3]] or bags
     rng = np.random.default_rng(seed)
