@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker keeps from task to task, by name.
+CACHES: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    return CACHES.setdefault(name, {})
+
+
+def drop_caches(but: str | None) -> None:
+    for name, held in CACHES.items():
+        if name != but:
+            held.clear()
+
+
+def give_back() -> None:
+    """Return memory that was freed: Spark reuses its Python workers, and an idle one would go on holding what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches], keeps: str | None = None) -> Callable[[Batches], Batches]:
+    """``run`` as a task that first drops the caches of other operators in its worker, but for ``keeps``, and gives back memory at its end."""
+
+    def task(batches: Batches) -> Batches:
+        drop_caches(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """What runs inside hands Python ``rows`` rows at a time, or fewer if the session says so."""

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, fresh, materialize, maybe_broadcast, text_of
+from ._common import BLANKS, fresh, materialize, maybe_broadcast, text_of, tidy
 
 
 def digest_of(text: Column) -> Column:
@@ -56,7 +56,7 @@ def frequent(rows: DataFrame, counters: int) -> DataFrame:
     most, so no more than ``counters`` digests can reach the floor.
     """
     floor = max(2, rows.count() // counters)
-    parts = rows.select("digest").mapInArrow(_summary(counters), "digest binary, low long")
+    parts = rows.select("digest").mapInArrow(tidy(_summary(counters)), "digest binary, low long")
     return parts.groupBy("digest").agg(F.sum("low").alias("low")).filter(F.col("low") >= floor).select("digest")
 
 

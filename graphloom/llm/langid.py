@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, text_of
+from ._common import held_out, text_of, tidy
 
 BUCKETS = 1 << 15
 WIDTH = 16
@@ -129,7 +129,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, int(min(1.0, 1.2 * per_lang / n) * (1 << 30))).otherwise(limit)
     sample = known.filter(F.col("rank") < limit).select("lang", "rank", "text")
-    table = sample.mapInArrow(_bags, "lang string, rank long, part int, short boolean, found array<long>, share array<double>").toArrow()
+    table = sample.mapInArrow(tidy(_bags), "lang string, rank long, part int, short boolean, found array<long>, share array<double>").toArrow()
     found, share = (_split(table.column(c)) for c in ("found", "share"))
     rows = [dict(zip(("lang", "rank", "part", "short", "found", "share"), r, strict=True)) for r in zip(*(table.column(i).to_pylist() for i in range(4)), found, share, strict=True)]
     kept = {lang: set(sorted({r["rank"] for r in rows if r["lang"] == lang})[:per_lang]) for lang in counts}
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             langs, scores, kept = _labels(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -220,4 +220,4 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
         for batch in batches:
             yield batch.filter(pa.array(_labels(shared.value, batch.column(at))[2], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -57,7 +57,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize, maybe_broadcast, shared_dir, small_batches, text_of
+from ._common import materialize, maybe_broadcast, shared_dir, small_batches, text_of, tidy
 from ._shingles import mix, shingles
 from .components import components
 
@@ -425,7 +425,7 @@ def _links(stars: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, tun
     texts = _texts_of(docs, stars.select(F.col("member").alias("id_"))).withColumnRenamed("id_", "member")
     rows = placed.join(texts, "member").select("hub", "i", "j", "slice", "lead", "label", "text")
     rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    return materialize(rows.mapInArrow(_blocks(percent), "a long, b long"), "links")
+    return materialize(rows.mapInArrow(tidy(_blocks(percent)), "a long, b long"), "links")
 
 
 def _against(queries: Broadcast, percent: int):
@@ -453,7 +453,7 @@ def _short_links(short: DataFrame, docs: DataFrame, percent: int, tuning: Tuning
     for k in range(blocks):
         part = _texts_of(docs, short.filter(F.pmod(F.xxhash64("id_"), F.lit(blocks)) == k))
         queries = spark.sparkContext.broadcast([(r.id_, shingles(bytes(r.text))) for r in part.select("id_", F.encode("text", "UTF-8").alias("text")).collect()])
-        out = out.unionByName(materialize(docs.mapInArrow(_against(queries, percent), "a long, b long").filter("a <> b").distinct(), "short"))
+        out = out.unionByName(materialize(docs.mapInArrow(tidy(_against(queries, percent)), "a long, b long").filter("a <> b").distinct(), "short"))
     return out
 
 
@@ -462,9 +462,9 @@ def _sketched(source: DataFrame, percent: int, tuning: Tuning, common: Broadcast
     spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, math.ceil(math.log2(max(1, size / 10 / 400_000))))  # about 400,000 chunks to a range
-    packed = source.mapInArrow(_sketch(percent, bits, tuning, common), "range int, kind int, payload binary").repartition(min(TASKS, 1 << bits), "range").sortWithinPartitions("range")
+    packed = source.mapInArrow(tidy(_sketch(percent, bits, tuning, common)), "range int, kind int, payload binary").repartition(min(TASKS, 1 << bits), "range").sortWithinPartitions("range")
     path = f"{shared_dir(spark)}/sketches-{np.random.default_rng().integers(1 << 62):x}"
-    packed.mapInArrow(_match, _ROWS).write.partitionBy("kind").parquet(path)
+    packed.mapInArrow(tidy(_match), _ROWS).write.partitionBy("kind").parquet(path)
     return spark.read.schema("a long, b long, c long, d long, kind int").parquet(path)
 
 
@@ -526,7 +526,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, percent: int, tu
     crowd = first.select("value", "label").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("labels")).filter(F.col("labels") >= tuning.crowded)
     listed = first.join(crowd, "value").groupBy("value").agg(F.min("rep").alias("id_"), F.max("labels").alias("labels")).orderBy(F.desc("labels"), "value").limit(tuning.common // 4)
     listed = materialize(listed.groupBy("id_").agg(F.collect_list("value").alias("wanted")), "listed")
-    behind = listed.join(_texts_of(source, listed), "id_").select("wanted", "text").mapInArrow(_common(percent, tuning.margin), "shingle long")
+    behind = listed.join(_texts_of(source, listed), "id_").select("wanted", "text").mapInArrow(tidy(_common(percent, tuning.margin)), "shingle long")
     behind = behind.distinct().limit(tuning.common).toPandas()["shingle"].to_numpy(np.int64)  # so many numbers at most
     common = spark.sparkContext.broadcast(np.sort(behind.view(np.uint64)))
     again = _sketched(_texts_of(source, held.select(F.col("rep").alias("id_"))), percent, tuning, common)

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches, text_of
+from ._common import cache, materialize, small_batches, text_of, tidy
 
-#: Tokenizers and the ids of known chunks, by file; both live as long as the Python worker.
-_LOADED: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: Tokenizers and the ids of known chunks, by file; a Python worker keeps both until it runs another operator's task.
+_LOADED: dict[str, ChunkIds] = cache("chunks")
 CHUNKS_KEPT = 500_000
 #: Longer chunks are tokenized each time, so the ones kept take bounded memory.
 CHUNK_BYTES = 64
@@ -104,7 +104,7 @@ def _cut(path: str, capacity: int):
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, closed by id 0, cut only where longer than ``capacity``."""
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return source.mapInArrow(_cut(tokenizer or default_tokenizer(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(tidy(_cut(tokenizer or default_tokenizer(), capacity), "chunks"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def completion(counts: list[int], largest: int, capacity: int, nodes: float) -> dict[int, int]:
@@ -353,4 +353,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     rank = F.row_number().over(W.partitionBy("length", "shard").orderBy("doc_id", "piece")) - 1
     ranked = rows.withColumn("rank", rank).join(base, ["length", "shard"]).withColumn("rank", (F.col("rank") + F.col("base")).cast("long"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(_place(table), "chunks"), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, text_of
+from ._common import held_out, text_of, tidy
 
 DECAY = 0.7
 SPAN = 4
@@ -364,4 +364,4 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             found = shared.value.scores(texts) if shared.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array((found >= cut).astype(np.int32))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

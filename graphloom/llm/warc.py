@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, maybe_broadcast, shared_dir
+from ._common import materialize, maybe_broadcast, shared_dir, tidy
 
 MIN_REVISIT = 1000
 #: Pages from which a shared payload is always broadcast; there are fewer of them than pages divided by this.
@@ -202,7 +202,7 @@ class CaptureStore:
         if not self.top:
             return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
         ordered = queries.select("key", "page", "digest").repartitionByRange(max(len(self.top), spark.sparkContext.defaultParallelism), "key", "page", "digest").sortWithinPartitions("key", "page", "digest")
-        return ordered.mapInArrow(_lookup(self.folder, self.top), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        return ordered.mapInArrow(tidy(_lookup(self.folder, self.top)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -240,10 +240,10 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     shared = materialize(shared.select(F.col("digest").alias("d_"), "refers", "n"), "shared")
     joined = _with_verdicts(rows, shared, broadcast_rows)
     refers = F.when(~F.col("page").eqNullSafe(F.col("refers")), F.col("refers"))
-    found = joined.select("key", "page", "url", "digest", refers.alias("refers"), "html").mapInArrow(_write_archives(folder), _CAPTURES)
+    found = joined.select("key", "page", "url", "digest", refers.alias("refers"), "html").mapInArrow(tidy(_write_archives(folder)), _CAPTURES)
     index = materialize(found, "captures")
     n = index.count()
     files = min(MOST_FILES, max(1, -(-n // index_rows)))
     parts = index.repartitionByRange(files, "key", "page", "digest").sortWithinPartitions("key", "page", "digest")
-    top = materialize(parts.mapInArrow(_write_index(folder), _CAPTURES), "directory")
+    top = materialize(parts.mapInArrow(tidy(_write_index(folder)), _CAPTURES), "directory")
     return CaptureStore(folder, sorted((tuple(r) for r in top.collect()), key=_place))  # a row for each index file, ``MOST_FILES`` at most
