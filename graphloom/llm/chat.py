@@ -2,9 +2,10 @@
 
 Every root-to-leaf path of a tree is one candidate conversation. Paths are
 enumerated by iterated self-joins that double: after round k each node knows
-its last 2**k ancestors, so a tree of depth d takes log2(d) joins. The
-branches of a tree are ranked by their mean score, and each chosen one is
-formatted as a whole.
+its ancestor 2**k above. Leaves then climb by these, the farthest first, and
+each step of their paths climbs on, so a tree of depth d takes 2 * log2(d)
+joins and only the steps of its paths are written. The branches of a tree are
+ranked by their mean score, and each chosen one is formatted as a whole.
 
 The template opens a turn with ``<|role|>`` and a newline and closes it with
 ``<|end|>``. Inside roles and texts, ``&``, ``<`` and ``[`` are written as
@@ -56,25 +57,34 @@ def chains(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", rol
 
 def branches(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """tree, leaf, rank, path: root-to-leaf paths as arrays of nodes, ranked by mean score, then by leaf; the ``best`` of each tree."""
-    links = materialize(nodes.select("tree", "node", "parent", "score"), "nodes")
-    known = links.select(F.col("tree").alias("t_"), F.col("node").alias("n_")).distinct()
-    on = links["tree"].eqNullSafe(known["t_"]) & (links["parent"] == known["n_"])
-    parent = F.when(F.col("n_").isNotNull(), F.col("parent"))
-    state = materialize(links.join(known, on, "left").select("tree", "node", parent.alias("above"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).alias("total")), "paths")
-    rounds = max(1, links.count()).bit_length() + 1
-    done, open_ = state.filter("above IS NULL"), state.filter("above IS NOT NULL")
-    while rounds and not open_.isEmpty():
-        rounds -= 1
-        known = done.unionByName(open_)
-        upper = known.select(F.col("tree").alias("t_"), F.col("node").alias("n_"), F.col("above").alias("above_"), F.col("path").alias("path_"), F.col("total").alias("total_"))
-        joined = open_.join(upper, open_["tree"].eqNullSafe(upper["t_"]) & (open_["above"] == upper["n_"]))
-        state = materialize(joined.select("tree", "node", F.col("above_").alias("above"), F.concat("path_", "path").alias("path"), (F.col("total") + F.col("total_")).alias("total")), "paths")
-        done, open_ = done.unionByName(state.filter("above IS NULL")), state.filter("above IS NOT NULL")
-    state = done
+    links = materialize(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
+
+    def at(rows: DataFrame, column: str, found: DataFrame) -> Column:
+        return rows["tree"].eqNullSafe(found["t_"]) & (rows[column] == found["n_"])
+
+    named = lambda rows, *more: rows.select(F.col("tree").alias("t_"), F.col("node").alias("n_"), *more)
+    known = named(links).distinct()
+    up = materialize(links.join(known, at(links, "parent", known)).select("tree", "node", F.col("parent").alias("above")), "above")
+    levels, most = [], links.count().bit_length()
+    while len(levels) <= most and not up.isEmpty():
+        levels.append(up)
+        far = named(up, F.col("above").alias("above_"))
+        up = materialize(up.join(far, at(up, "above", far)).select("tree", "node", F.col("above_").alias("above")), "above")
+
     replied = links.filter("parent IS NOT NULL").select(F.col("tree").alias("t_"), F.col("parent").alias("n_")).distinct()
-    leaves = state.join(replied, state["tree"].eqNullSafe(replied["t_"]) & (state["node"] == replied["n_"]), "left_anti")
-    rank = F.row_number().over(W.partitionBy("tree").orderBy((F.col("total") / F.size("path")).desc(), "node"))
-    ranked = leaves.select("tree", F.col("node").alias("leaf"), rank.alias("rank"), "path")
+    leaves = links.join(replied, at(links, "node", replied), "left_anti")
+    if len(levels) > most:  # what still has an ancestor comes from a cycle
+        endless = named(up)
+        leaves = leaves.join(endless, at(leaves, "node", endless), "left_anti")
+    steps = materialize(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "steps")
+    for k in range(len(levels) - 1, -1, -1):
+        far = named(levels[k], "above")
+        found = steps.join(far, at(steps, "node", far)).select("tree", "leaf", F.col("above").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        steps = steps.unionByName(materialize(found, "steps"))
+    scores = named(links, "score")
+    turns = steps.join(scores, at(steps, "node", scores)).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "node", "score"))).alias("turns"))
+    mean = F.aggregate("turns", F.lit(0.0), lambda total, x: total + x["score"]) / F.size("turns")
+    ranked = turns.select("tree", "leaf", F.row_number().over(W.partitionBy("tree").orderBy(mean.desc(), "leaf")).alias("rank"), F.col("turns.node").alias("path"))
     return ranked if best is None else ranked.filter(F.col("rank") <= best)
 
 

@@ -334,6 +334,30 @@ def test_chat_tree(spark):
     assert chat.branches(nodes, best=1).count() == 2
 
 
+def test_chat_paths_equal_brute_force(spark):
+    """Random trees with a long chain, a missing parent, cycles, leaves below them, a null tree and ties in score."""
+    rng = random.Random(10)
+    rows = [(tree, i, rng.randrange(i) if i else None, float(rng.randrange(3))) for tree in (1, 2, None) for i in range(25)]
+    rows += [(3, i, i - 1 if i else None, None) for i in range(70)] + [(4, 1, 99, 1.0), (4, 2, 1, 2.0)]
+    rows += [(5, 1, 2, 0.0), (5, 2, 1, 0.0), (5, 3, 2, 0.0), (5, 4, 3, 0.0), (5, 5, 5, 0.0), (5, 6, None, 0.0)]
+    above = {(t, n): p for t, n, p, _ in rows}
+    score = {(t, n): s or 0.0 for t, n, _, s in rows}
+    want = {}
+    for t, n in above:
+        path, now = [], n
+        while (t, now) in above and len(path) <= len(rows):
+            path.insert(0, now)
+            now = above[t, now]
+        if len(path) <= len(rows) and n not in {p for (x, _), p in above.items() if x == t}:
+            want.setdefault(t, []).append((-sum(score[t, x] for x in path) / len(path), n, path))
+    nodes = spark.createDataFrame([(*r, "user", "x") for r in rows], "tree long, node long, parent long, score double, role string, text string")
+    got = {}
+    for r in chat.branches(nodes).orderBy("rank").collect():
+        got.setdefault(r.tree, []).append((r.leaf, r.path))
+    assert got == {t: [(n, path) for _, n, path in sorted(found)] for t, found in want.items()}
+    assert chat.format_conversations(nodes.limit(0)).isEmpty()
+
+
 def test_winnowing(docs, nothing):
     rows = {r.doc_id: r for r in winnowing.compared(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
     texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id is not None}
