@@ -270,6 +270,17 @@ def _(s, d):
     return incremental.merged(o.filter(~new), o.filter(new), ["key"]).select("key", "ordinal")
 
 
+@query("B8_incremental_scan", "WITH f AS (SELECT doc_id::VARCHAR AS path, 'K' || doc_id % 97 AS name, lang IS NULL OR n_chars % 2 = 0 AS fresh FROM documents WHERE text IS NOT NULL) SELECT name, path AS location FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY fresh DESC, path DESC) AS r FROM f) WHERE r = 1")
+def _(s, d):
+    """Files without a language are new in the second scan, those of even length changed."""
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "doc_id", "lang", "n_chars")
+    parse = lambda files: files.select(F.col("path").alias("location"), F.lit(0).cast("long").alias("ordinal"), F.concat(F.lit("K"), (F.col("doc_id") % 97).cast("string")).alias("name"))
+    none = s.createDataFrame([], incremental.state_schema(parse(docs).schema))
+    _, state = incremental.scan(none, docs.filter("lang IS NOT NULL"), parse, ["name"], graph.keep)
+    changed = docs.withColumn("content", F.when(F.col("n_chars") % 2 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return incremental.scan(state, changed, parse, ["name"], graph.keep)[0].select("name", "location")
+
+
 @query("A8_merge_units", "WITH e AS (SELECT o_custkey AS key, year(o_orderdate) AS unit, o_orderpriority AS signature, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS steps FROM orders GROUP BY 1, 2, 3), f AS (SELECT *, max(unit) OVER (PARTITION BY key) AS top, last_value(steps IGNORE NULLS) OVER (PARTITION BY key, signature ORDER BY unit) AS kept FROM e) SELECT key, signature, kept AS step FROM f WHERE unit = top")
 def _(s, d):
     o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("key"), F.year("o_orderdate").alias("unit"), F.col("o_orderpriority").alias("signature")).agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("k"))

@@ -274,3 +274,35 @@ def test_suggestions_name_frequent_targets(spark):
     found = [tuple(r) for r in flows.suggestions(visible, members, module_edges, entries, deps, 6).collect()]
     assert found == [("module", "o", 2), ("entry", "f", 5), ("target", "d", 3), ("target", "e", 2)]
     assert [tuple(r) for r in flows.suggestions(visible, members, module_edges, entries, deps).collect()] == found[:3]
+
+
+def test_incremental_scan(spark, tmp_path):
+    """A second scan without changes parses no file, one changed file is the only one parsed, and lost files go."""
+    from graphloom.sources import incremental
+
+    schema = "location string, ordinal long, name string"
+    entry = spark.createDataFrame([], schema).schema
+    stored, folder, seen = incremental.state_schema(entry), f"file://{tmp_path}/state", []
+
+    def parse(files):
+        rows = sorted(files.collect())
+        seen.append([r.path for r in rows])
+        return spark.createDataFrame([(r.path.removeprefix("/p/"), i, name) for r in rows for i, name in enumerate(r.content.split())] + [("", 9, "Lost")], schema)
+
+    def scan(files):
+        save = lambda df: incremental.save_state(df, folder) if "entries" in df.columns else spark.createDataFrame(df.collect(), df.schema)
+        found, _ = incremental.scan(incremental.load_state(spark, folder, stored), spark.createDataFrame(files, "path string, content string"), parse, ["name"], save)
+        return {(r.name, r.location) for r in found.collect()}
+
+    files = [("/p/a.h", "A B"), ("/p/b.h", "C"), ("/p/c/a.h", "D B"), ("/p/d.h", None), ("/p/e.h", "")]
+    first = {("A", "a.h"), ("B", "c/a.h"), ("C", "b.h"), ("D", "c/a.h"), ("Lost", "")}
+    assert scan(files) == first and seen.pop() == ["/p/a.h", "/p/b.h", "/p/c/a.h", "/p/e.h"]
+    assert scan(files) == first and seen.pop() == []
+    files[0] = ("/p/a.h", "B E")
+    assert scan(files) == (first - {("A", "a.h"), ("B", "c/a.h")}) | {("B", "a.h"), ("E", "a.h")} and seen.pop() == ["/p/a.h"]
+    assert scan(files[:1]) == {("B", "a.h"), ("E", "a.h"), ("Lost", "")} and seen.pop() == []
+    state = incremental.load_state(spark, folder, stored)
+    assert [r.path for r in state.collect()] == ["/p/a.h"] and incremental.cache_stats(state).first().entries == 2
+    incremental.invalidate(spark, folder, stored)
+    assert scan(files[:1]) and seen.pop() == ["/p/a.h"]
+    assert incremental.load_state(spark, folder, incremental.state_schema(spark.createDataFrame([], "x int").schema)).isEmpty()
