@@ -15,8 +15,9 @@ _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _random = np.random.default_rng(20240607)
 #: A random value for each byte, A-Z as a-z.
 _VALUE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
+CASED = _VALUE.copy()
 _VALUE[65:91] = _VALUE[97:123]
-_PLACE = _random.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
+_PLACE = _random.integers(0, 1 << 64, 8, dtype=np.uint64) | np.uint64(1)
 _BASE, _INVERSE = 0x9E3779B97F4A7C17, pow(0x9E3779B97F4A7C17, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -38,7 +39,7 @@ def _grown(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _blocks(text: bytes) -> Iterator[bytes]:
+def pieces(text: bytes) -> Iterator[bytes]:
     """The text in pieces that end at a blank."""
     at = 0
     while at < len(text):
@@ -48,10 +49,10 @@ def _blocks(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A hash for each word of the text, in order."""
+def word_hashes(text: bytes, value: np.ndarray = _VALUE) -> np.ndarray:
+    """A hash for each word of the text, in order; with ``CASED``, A-Z aren't a-z."""
     out = []
-    for part in _blocks(text):
+    for part in pieces(text):
         b = np.frombuffer(part, np.uint8)
         blank = _BLANK[b]
         edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
@@ -59,7 +60,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         if len(starts):
             up, down = _grown(len(b))
             total = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(_VALUE[b] * up[: len(b)], out=total[1:])
+            np.cumsum(value[b] * up[: len(b)], out=total[1:])
             out.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -70,8 +71,12 @@ def shingles(text: bytes) -> np.ndarray:
     n = len(w)
     if not n:
         return w
-    size = min(n, WORDS)
-    total = np.full(n - size + 1, size, np.uint64)
+    return np.unique(spread_windows(w, min(n, WORDS)))
+
+
+def spread_windows(w: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each window of ``size`` hashes."""
+    total = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
-        total += w[k : n - size + 1 + k] * _PLACE[k]
-    return np.unique(mix(total))
+        total += w[k : len(w) - size + 1 + k] * _PLACE[k]
+    return mix(total)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, toxicity, warc, winnowing
+from . import chat, exact_dedup, hard_negatives, langid, line_dedup, mixing, ngram_join, packing, quality, toxicity, variants, warc, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality.judge(docs, quality.train(docs, trusted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_ngram_join, op3_warc, op4_chat_format, op5_mix_sources, op6_language_id, op7_winnowing, op8_exact_dedup, op9_bin_packing, op10_toxicity]
+    found = [op1_line_dedup, op2_ngram_join, op3_warc, op4_chat_format, op5_mix_sources, op6_language_id, op7_winnowing, op8_exact_dedup, op9_bin_packing, op10_toxicity, op11_spelling_variants, op12_hard_negatives, op13_quality_rules]
     return {f.__name__: f for f in found}
 
 
@@ -165,5 +181,99 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i::BIGINT, 0, i::BIGINT FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS by_byte FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+spelled AS (
+  SELECT run, times, by_byte, flatten(list_transform(string_split(id || ':' || run, ''),
+         lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END)) AS bytes
+  FROM counted, crc_table),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, b: xor(a >> 8, by_byte[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM spelled),
+typed AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, times
+  FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+shorter AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word),
+near_rows AS (
+  SELECT p.word, count(*) AS n_near FROM pairs p GROUP BY p.word),
+best AS (
+  SELECT p.word, p.near AS form, f.n AS form_n FROM pairs p JOIN words w ON p.word = w.word JOIN words f ON p.near = f.word
+  WHERE f.n >= 5 * w.n QUALIFY row_number() OVER (PARTITION BY p.word ORDER BY f.n DESC, p.near) = 1),
+chains(word, reached, steps) AS (
+  SELECT word, word, 0 FROM words
+  UNION ALL SELECT c.word, b.form, c.steps + 1 FROM chains c JOIN best b ON c.reached = b.word),
+ends AS (SELECT word, max_by(reached, steps) AS root FROM chains GROUP BY word)
+SELECT w.word, b.form, e.root, w.n, coalesce(r.n_near, 0)::BIGINT AS n_near, b.form_n
+FROM words w LEFT JOIN best b ON w.word = b.word LEFT JOIN near_rows r ON w.word = r.word JOIN ends e ON w.word = e.word
+"""
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank,
+       s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) <= 10
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS trusted
+  FROM documents),
+places AS (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM d),
+windows AS (SELECT row, i, array_to_string(w[i:i + 7], ' ') AS win FROM places),
+again AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, win) > 1),
+covered AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM again, range(8) AS r(k) GROUP BY row),
+lines AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+spaced AS (SELECT row, trusted, string_split(' ' || array_to_string(w, ' ') || ' ', '') AS c FROM d WHERE len(w) > 0),
+chars AS (SELECT row, trusted, unnest(list_transform(c, lambda x: unicode(x)::BIGINT)) AS a, unnest(range(1, len(c) + 1)) AS i FROM spaced),
+grams AS (
+  SELECT row, trusted, ((a * 1000003 + lead(a) OVER (PARTITION BY row ORDER BY i)) * 1000003 + lead(a, 2) OVER (PARTITION BY row ORDER BY i)) % 2147483647 % 65536 AS bucket
+  FROM chars),
+per AS (SELECT row, trusted, bucket, count(*) AS n FROM grams WHERE bucket IS NOT NULL GROUP BY ALL),
+totals AS (SELECT sum(n) AS raw, coalesce(sum(n) FILTER (WHERE trusted), 0) AS target FROM per),
+weights AS (
+  SELECT bucket, CASE WHEN t.target = 0 THEN 0 ELSE round(1000 * ln(((coalesce(sum(n) FILTER (WHERE trusted), 0) + 1)::DOUBLE / (t.target + 65536)::DOUBLE) / ((sum(n) + 1)::DOUBLE / (t.raw + 65536)::DOUBLE)))::BIGINT END AS weight
+  FROM per, totals t GROUP BY bucket, t.raw, t.target),
+ratio AS (SELECT row, sum(n)::BIGINT AS n_grams, sum(n * weight)::BIGINT AS ratio_sum FROM per JOIN weights USING (bucket) GROUP BY row),
+counts AS (
+  SELECT row, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols
+  FROM d),
+judged AS (
+  SELECT c.*, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
+         coalesce(n_grams, 0)::BIGINT AS n_grams, coalesce(ratio_sum, 0)::BIGINT AS ratio_sum
+  FROM counts c LEFT JOIN dup USING (row) LEFT JOIN covered USING (row) LEFT JOIN ratio USING (row))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ratio_sum >= -300 * n_grams AS kept, n_grams, ratio_sum
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_chat_format": OP4_SQL, "op5_mix_sources": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op11_spelling_variants": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_quality_rules": OP13_SQL, "op1_line_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_chat_format": OP4_SQL, "op5_mix_sources": OP5_SQL, "op8_exact_dedup": OP8_SQL}
