@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import impact
+from ..sources.snapshots import UNKNOWN, Store
+from .graph import impact, keep
 
 
 def structural_hash(deps: Column, *arrays: Column) -> Column:
@@ -91,6 +92,60 @@ def diff_modules(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("module", change.alias("change"), plus.alias("classes_added"), minus.alias("classes_removed")).filter("change <> 'modified' OR size(classes_added) + size(classes_removed) > 0")
 
 
+#: The columns of ``change_rows`` and their types.
+CHANGE = {
+    "section": "string", "name": "string", "file": "string", "pattern": "string", "risk": "string", "interfaces_added": "array<string>", "interfaces_removed": "array<string>",
+    "dep_changes": "array<struct<target:string,change:string,old_type:string,new_type:string>>", "risk_change": "string", "file_change": "string", "classes_added": "array<string>", "classes_removed": "array<string>",
+}
+
+
+def change_rows(old: DataFrame, new: DataFrame, classes: DataFrame, modules: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
+    """section, name and what there is to say: a row for each class and module that changed and each class that this reaches.
+
+    Sections are added, removed, modified, modules_added, modules_removed, modules_modified, impact_direct, impact_indirect.
+    Added classes have file, pattern and risk, removed ones their file, as the snapshots have them.
+    """
+    place = lambda df: df.select("name", *((F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in ("file", "pattern", "risk")))
+
+    def rows(df: DataFrame, section: Column) -> DataFrame:
+        df = df.withColumn("section", section)
+        return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in CHANGE.items()))
+
+    kind = F.col("change")
+    names = lambda what: classes.filter(kind == what).select("name")
+    hit = impact(classes.select("name"), edges, max_hops)
+    parts = (
+        rows(names("added").join(place(new), "name"), F.lit("added")),
+        rows(names("removed").join(place(old).drop("pattern", "risk"), "name"), F.lit("removed")),
+        rows(classes.filter(kind == "modified"), F.lit("modified")),
+        rows(modules.withColumnRenamed("module", "name"), F.concat(F.lit("modules_"), kind)),
+        rows(hit.select("name", "kind"), F.concat(F.lit("impact_"), F.col("kind"))),
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def diff_refs(store: Store, old_ref: str, new_ref: str, max_hops: int = 3) -> DataFrame | None:
+    """``change_rows`` between two refs of a store, with the new one's commit, author, email, date and message; None if either is missing or nothing changed.
+
+    A ref holds classes (a snapshot with ``hash``), modules (module, class_names) and edges (src, dst); the latter two may be missing.
+    """
+    old, new = store.load(old_ref), store.load(new_ref)
+    if old is None or new is None:
+        return None
+    spark = store.spark
+    no_modules, no_edges = spark.createDataFrame([], "module string, class_names array<string>"), spark.createDataFrame([], "src string, dst string")
+    classes = keep(diff_classes(old["classes"], new["classes"]))
+    modules = keep(diff_modules(old.get("modules", no_modules), new.get("modules", no_modules)))
+    if classes.isEmpty() and modules.isEmpty():
+        return None
+    said = store.meta(new_ref)
+    found = change_rows(old["classes"], new["classes"], classes, modules, new.get("edges", no_edges), max_hops)
+    return found.select(*(F.lit(said[k]).alias(k) for k in UNKNOWN), *CHANGE)
+
+
 def change_record(meta: dict[str, str], classes: DataFrame, modules: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame | None:
     """One row that records a change: commit, names of classes and modules by kind, and impact of all changed classes; None if nothing changed.
 
@@ -101,7 +156,7 @@ def change_record(meta: dict[str, str], classes: DataFrame, modules: DataFrame,
     names = lambda df, key, kind: df.filter(F.col("change") == kind).agg(F.sort_array(F.collect_list(key)).alias(f"{key}s_{kind}"))
     touched = impact(classes.select("name"), edges, max_hops)
     hit = touched.groupBy().agg(F.sort_array(F.collect_list(F.when(F.col("kind") == "direct", F.col("name")))).alias("impact_direct"), F.sort_array(F.collect_list(F.when(F.col("kind") == "indirect", F.col("name")))).alias("impact_indirect"))
-    out = classes.sparkSession.range(1).select(*[F.lit(meta.get(k, "unknown")).alias(k) for k in ("commit", "author")], *[F.lit(meta.get(k, other)).alias(k) for k, other in (("email", ""), ("date", "unknown"), ("message", ""), ("index_file", "blueprint_index.json"))])
+    out = classes.sparkSession.range(1).select(*[F.lit(meta.get(k, "unknown")).alias(k) for k in ("commit", "author")], *[F.lit(meta.get(k, other)).alias(k) for k, other in (("email", ""), ("date", "unknown"), ("message", ""), ("index_file", ""))])
     for part in (*(names(classes, "name", k) for k in ("added", "removed", "modified")), *(names(modules, "module", k) for k in ("added", "removed", "modified")), hit):
         out = out.join(F.broadcast(part))  # one row each
     return out

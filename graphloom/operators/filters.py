@@ -109,15 +109,3 @@ def excluded(path: Column, patterns: list[str]) -> Column:
 
 def _some_part(path: Column, pattern: str) -> Column:
     return F.exists(F.split(path, "/"), lambda c: c.rlike(pattern))
-
-
-def anchors(logs: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
-    """log, name: up to ``limit`` names that share a token with a log, either one inside the other; tokens have 4 letters or more.
-
-    Names are few beside logs: the nested loop of the containment test broadcasts them only within Spark's own size threshold.
-    """
-    words = logs.select("log", F.explode(F.array_distinct(F.filter(F.split("text", "[^a-zA-Z0-9_:]+"), lambda w: F.length(w) >= 4))).alias("w"))
-    distinct = words.select("w").distinct()
-    hit = distinct.join(nodes.select("name", "ord").distinct(), F.col("name").contains(F.col("w")) | F.col("w").contains(F.col("name")))
-    found = words.join(hit, "w").select("log", "name", "ord").distinct()
-    return found.withColumn("r", F.row_number().over(W.partitionBy("log").orderBy("ord", "name"))).filter(F.col("r") <= limit).select("log", "name")

@@ -7,23 +7,37 @@ lineage doesn't grow and a lost executor costs no earlier hop.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read back."""
-    spark = df.sparkSession
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder if driver and executors are one process, else a ValueError: no other folder is known to be shared.
+    """
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}/step-{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+    return f"{base.rstrip('/')}/graphloom-{app}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder in spark.checkpoint.dir and read back."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reverse_deps(edges: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import method_queries
 from .functions import extraction, naming
-from .operators import diff, filters, flows, graph, grouping, render, text, trace
+from .operators import contain, diff, filters, flows, graph, grouping, render, text, trace
 from .plans.adapters import call_steps, callers, layered_edges, nodes, supply_edges, table
 from .sources import incremental
 
@@ -207,12 +208,6 @@ def _(s, d):
     return filters.as_of(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), starts, "user_id", "ts", "signup").select("event_id", "signup")
 
 
-@query("C9_anchors", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9_:]{4,}')) AS w FROM documents), n AS (SELECT DISTINCT event_type AS name FROM events), f AS (SELECT DISTINCT doc_id AS log, name FROM w JOIN n ON contains(name, w) OR contains(w, name)) SELECT log, name FROM (SELECT *, row_number() OVER (PARTITION BY log ORDER BY name) AS r FROM f) WHERE r <= 10")
-def _(s, d):
-    names = table(s, d, "events").select(F.col("event_type").alias("name"), F.lit(1).alias("ord")).distinct()
-    return filters.anchors(table(s, d, "documents").select(F.col("doc_id").alias("log"), "text"), names)
-
-
 @query("A2_excluded", "SELECT page_id, (regexp_matches(p, '(^|/)fr(/|$)') OR regexp_matches(p, '7(/|$)')) AS excluded FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[#?].*$', '') AS p FROM pages)")
 def _(s, d):
     p = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "[#?].*$", "")
@@ -522,8 +517,8 @@ def _(s, d):
 @query("I13_hit_rate", SEARCH + ", truth AS (SELECT item_id AS query, min(doc_id) AS expected FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN r.rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN r.rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3 FROM truth t LEFT JOIN ranked r ON r.query = t.query AND r.doc = t.expected AND r.rank <= 5")
 def _(s, d):
     b, docs = table(s, d, "benchmark"), table(s, d, "documents")
-    # The benchmark is a small fixed set, the side that Spark may broadcast.
-    truth = docs.join(b.select("item_id", F.col("text").alias("t")), F.col("text").contains(F.col("t"))).groupBy(F.col("item_id").alias("query")).agg(F.min("doc_id").alias("expected"))
+    found = contain.containing(b.select("item_id", F.col("text").alias("needle")), docs.select("doc_id", F.col("text").alias("hay")), 12)
+    truth = found.groupBy(F.col("item_id").alias("query")).agg(F.min("doc_id").alias("expected"))
     q = b.select(F.col("item_id").alias("query"), "text")
     return text.hit_rate(text.search(_index(s, d), q, 5), truth)
 
@@ -684,8 +679,12 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import index_queries
+
+    return _QUERIES | method_queries.QUERIES | index_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import index_queries
+
+    return _SQL | method_queries.SQL | index_queries.SQL
