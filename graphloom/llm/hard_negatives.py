@@ -122,7 +122,8 @@ class Block:
         """The length below which no vector counts for any search."""
         long = np.maximum(self.lengths[self.owner], 1e-300)
         live = self.floor <= self.ceiling
-        return float(np.min(self.floor[live] / long[live], initial=np.inf)) * (1 - 1e-9)
+        with np.errstate(over="ignore"):  # an anchor of length 0 may need any or no row
+            return float(np.min(self.floor[live] / long[live], initial=np.inf)) * (1 - 1e-9)
 
 
 def _products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
@@ -133,6 +134,11 @@ def _products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
+def _percent(score: np.ndarray, percent: int) -> np.ndarray:
+    """``percent`` of each score, rounded down; a product with the whole score might not fit 64 bits."""
+    return percent * (score // 100) + percent * (score % 100) // 100
+
+
 def _best(search: np.ndarray, score: np.ndarray, other: np.ndarray, wanted: int) -> np.ndarray:
     """Places of the first ``wanted`` of each search."""
     order = np.lexsort((other, -score, search))
@@ -241,8 +247,8 @@ def _mined(packed: DataFrame, parts: int, anchors: DataFrame, mining: Mining) ->
     block = Block(ids, labels, vectors, lengths, np.arange(n), np.full(n, _LEAST), np.full(n, top), True, mining.positives)
     positives = _search(packed, parts, block).orderBy("search", "rank").toPandas()
     score = positives["score"].to_numpy(np.int64)
-    floor = -(-mining.low * score // 100)
-    block = Block(ids, labels, vectors, lengths, positives["search"].to_numpy(np.int64), floor, mining.high * score // 100, False, mining.negatives)
+    floor = -_percent(-score, mining.low)
+    block = Block(ids, labels, vectors, lengths, positives["search"].to_numpy(np.int64), floor, _percent(score, mining.high), False, mining.negatives)
     owners = spark.createDataFrame(list(zip(range(len(score)), ids[block.owner].tolist(), positives["other"].tolist(), score.tolist(), strict=True)), "search long, anchor_id long, positive_id long, positive_score long")
     negatives = _search(packed, parts, block).withColumnsRenamed({"other": "negative_id", "score": "negative_score"})
     return negatives.join(F.broadcast(owners), "search").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
