@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,13 +18,22 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """This application's folder in the one that driver and executors share, spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder if they are one process, else a ValueError: no other folder is known to be shared.
+    """
+    app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+    return f"{found.rstrip('/')}/graphloom-{app}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

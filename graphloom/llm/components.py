@@ -7,25 +7,34 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
+#: Links that one task may hold, if they all are one node's.
+ONE_TASK = 1_000_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: for each node of ``links`` (a, b) the smallest node it reaches.
 
-    Each step is a grouped minimum with map-side aggregation and a join, so a
-    node with many links is spread; the rounds grow with the logarithm of the
-    number of nodes. Every round is written to the shared folder.
+    Each step is a grouped minimum with map-side aggregation and a join. The links
+    of a node meet its minimum in one task, unless there are more than
+    ``ONE_TASK`` links in all: then minima are written first, so that both sides of the join
+    are plain shuffles, whose large partitions Spark splits. The rounds grow with
+    the logarithm of the number of nodes. Every round is written to the shared folder.
     """
+
+    def least(rows: DataFrame, low: DataFrame) -> DataFrame:
+        return rows.join(materialize(low, "minima") if many else low, "a")
+
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, many = None, edges.count() > ONE_TASK
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = least(both, low).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = least(large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = materialize(small.filter("a <> b").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
-        before = now
+        before, many = now, now[0] > ONE_TASK
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
