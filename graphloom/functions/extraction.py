@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Types that are no dependency.
-BUILTIN = "void bool char short int long float double unsigned signed size_t uint8_t uint16_t uint32_t uint64_t int8_t int16_t int32_t int64_t ptrdiff_t nullptr_t string wstring u16string u32string auto decltype".split()
-LIBRARY = r"^(std|__gnu_cxx|__cxx11|boost|absl)::"
+#: Types that are no dependency, and namespaces whose types are none.
+BUILTIN = (
+    "void", "bool", "char", "short", "int", "long", "float", "double", "unsigned", "signed", "size_t", "uint8_t", "uint16_t", "uint32_t", "uint64_t",
+    "int8_t", "int16_t", "int32_t", "int64_t", "ptrdiff_t", "nullptr_t", "string", "wstring", "u16string", "u32string", "auto", "decltype",
+)
+LIBRARIES = ("std::", "__gnu_cxx::", "__cxx11::", "boost::", "absl::")
 #: Flags that only one compiler knows.
 FOREIGN_FLAGS = r"^-(?:Werror=stringop-overflow|Werror=stringop-truncation|Werror=implicit-fallthrough=\d*|fstack-protector-strong|fstack-clash-protection|fcf-protection(?:=\w+)?|fno-semantic-interposition|mno-omit-leaf-frame-pointer|Wno-error=deprecated-declarations|fvar-tracking-assignments)$"
 #: Responsibilities by name, the first that matches.
@@ -36,24 +41,63 @@ def canonical(type_: Column) -> Column:
 
 def trivial(type_: Column) -> Column:
     plain = F.trim(F.substring_index(F.regexp_replace(type_, "^:+", ""), "<", 1))
-    return plain.isin(*BUILTIN) | plain.rlike(LIBRARY)
+    known = plain.isin(*BUILTIN)
+    for name in LIBRARIES:
+        known = known | plain.startswith(name)
+    return known
+
+
+#: Containers whose first argument is what they hold, and those whose second one is.
+HOLDS_FIRST, HOLDS_SECOND = "vector|list|deque|set|unordered_set", "map|unordered_map|multimap"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _held(type_: Column, depth: int = 3) -> Column:
+    """What a container holds, or the container in it, down to ``depth`` levels; other types as they are."""
+    from .signatures import template_arguments
+
+    if not depth:
+        return type_
+
+    def inner(t: Column) -> Column:
+        nth = F.when(t.rlike(rf"^(?:std::)?(?:{HOLDS_FIRST})\s*<"), 0).when(t.rlike(rf"^(?:std::)?(?:{HOLDS_SECOND})\s*<"), 1)
+        found = F.when(nth.isNotNull(), F.get(template_arguments(t), nth))
+        return let(found, lambda x: F.when(F.coalesce(x, F.lit("")) == "", t).otherwise(_held(x, depth - 1)))
+
+    return let(type_, inner)
 
 
 def field_dependency(type_: Column) -> Column:
-    """Struct (target, type, cardinality) that a field's type stands for; null if it is trivial."""
-    inner = lambda pattern: bare(F.regexp_extract(type_, pattern, 1))
-    unique, shared = inner(r"unique_ptr\s*<\s*([^,>\s]+)"), inner(r"(?:shared_ptr|weak_ptr)\s*<\s*([^,>\s]+)")
-    many = inner(r"(?:vector|list|deque|set|unordered_set)\s*<\s*([^,>\s]+)")
-    mapped = inner(r"(?:map|unordered_map|multimap)\s*<\s*[^,>]+,\s*([^,>\s]+)")
-    dep = lambda t, kind, card=None: F.when(~trivial(t) & (t != ""), F.struct(t.alias("target"), F.lit(kind).alias("type"), F.lit(card).cast("string").alias("cardinality")))
-    return (
-        F.when(type_.rlike(r"unique_ptr\s*<"), dep(unique, "composition"))
-        .when(type_.rlike(r"(shared_ptr|weak_ptr)\s*<"), dep(shared, "aggregation"))
-        .when(many != "", dep(many, "aggregation", "1..*"))
-        .when(mapped != "", dep(mapped, "aggregation", "1..*"))
-        .when(type_.rlike(r"[*&]\s*$"), dep(canonical(type_), "aggregation"))
-        .otherwise(dep(canonical(type_), "composition"))
-    )
+    """Struct (target, type, cardinality) that a field's type stands for; null if it is trivial.
+
+    Arguments of templates are told by their brackets, so one with arguments of its own stays whole.
+    """
+    from .signatures import template_arguments
+
+    def nth(t: Column, pattern: str, n: int) -> Column:
+        found = F.get(template_arguments(F.regexp_extract(t, rf"(?s)(?:{pattern})\s*(<.*)$", 1)), n)
+        # One without brackets ends at its first blank, so a const argument tells nothing.
+        return let(F.coalesce(found, F.lit("")), lambda a: bare(F.when(a.rlike(r"[<(]"), a).otherwise(F.regexp_extract(a, r"^(\S+)", 1))))
+
+    def dep(target: Column, kind: str, card: str | None = None) -> Column:
+        return let(target, lambda t: F.when(~trivial(t) & (t != ""), F.struct(t.alias("target"), F.lit(kind).alias("type"), F.lit(card).cast("string").alias("cardinality"))))
+
+    def of(t: Column) -> Column:
+        many = let(bare(_held(nth(t, HOLDS_FIRST, 0))), lambda x: F.when(x != "", x))
+        mapped = let(bare(_held(nth(t, HOLDS_SECOND, 1))), lambda x: F.when(x != "", x))
+        held = F.coalesce(many, mapped)
+        plain = F.when(t.rlike(r"[*&]\s*$"), dep(canonical(t), "aggregation")).otherwise(dep(canonical(t), "composition"))
+        return (
+            F.when(t.rlike(r"unique_ptr\s*<"), dep(nth(t, "unique_ptr", 0), "composition"))
+            .when(t.rlike(r"(shared_ptr|weak_ptr)\s*<"), dep(nth(t, "shared_ptr|weak_ptr", 0), "aggregation"))
+            .otherwise(let(held, lambda x: F.when(x.isNotNull(), dep(x, "aggregation", "1..*")).otherwise(plain)))
+        )
+
+    return let(type_, of)
 
 
 def alias_dependency(canonical_type: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import grouping, methods
+from .operators import flows, grouping, methods
 from .operators.graph import keep
 from .plans import adapters
+from .queries import ENTRIES
 
 ASSEMBLY = r"""parts AS (
   SELECT p_partkey AS k, p_size AS z, replace(lower(p_brand), '#', '_') AS brand,
@@ -135,10 +136,37 @@ def method_flows(s, d):
     return methods.flows(starts, classes, held, steps, _members(s, d))
 
 
+def _class_edges(classes: DataFrame, steps: DataFrame) -> DataFrame:
+    """src, dst, type: which class calls which."""
+    called = steps.filter("kind = 'call' AND target <> '_self_' AND target <> '_meta_'")
+    found = called.join(methods.class_index(classes).select(F.col("key").alias("target"), F.col("class").alias("dst")), "target")
+    return keep(found.select(F.col("class").alias("src"), "dst", F.lit("association").alias("type")).distinct())
+
+
+def exploration_path(s, d):
+    classes, _, steps = _assembly(s, d)
+    nodes, edges = classes.select(F.col("class").alias("name"), "ord"), _class_edges(classes, steps)
+    members = classes.select(F.col("class").alias("name"), "ord", F.col("namespace").alias("module"))
+    found = flows.exploration_path(grouping.module_edges(members, edges), grouping.entry_points(nodes, edges), members)
+    return s.createDataFrame(list(enumerate(found)), "place long, module string")
+
+
+PATH = f"""WITH RECURSIVE {ASSEMBLY}, {CALLED},
+edges AS (SELECT DISTINCT s.class AS src, o.class AS dst FROM steps s JOIN owners o ON o.key = s.target WHERE s.kind = 'call' AND s.target <> '_self_'),
+nodes AS (SELECT class AS name, k AS ord, brand AS module FROM parts),
+{ENTRIES},
+module_edges AS (SELECT a.module AS source, b.module AS target, count(*) AS weight FROM edges JOIN nodes a ON a.name = src JOIN nodes b ON b.name = dst WHERE a.module <> b.module GROUP BY 1, 2),
+begun AS (SELECT module FROM entries JOIN nodes USING (name) ORDER BY CASE kind WHEN 'hub' THEN 1 ELSE 3 END, ord LIMIT 1),
+way AS (
+  SELECT module, [module] AS path FROM begun
+  UNION ALL
+  SELECT e.target, list_append(w.path, e.target) FROM way w, LATERAL (SELECT target FROM module_edges m WHERE m.source = w.module AND NOT list_contains(w.path, m.target) ORDER BY weight DESC, target LIMIT 1) e WHERE len(w.path) < 5)
+SELECT len(path) - 1 AS place, module FROM way"""
+
+
 def key_flows(s, d):
     classes, held, steps = _assembly(s, d)
-    called = steps.filter("kind = 'call' AND target <> '_self_' AND target <> '_meta_'")
-    edges = called.join(methods.class_index(classes).select(F.col("key").alias("target"), F.col("class").alias("dst")), "target").select(F.col("class").alias("src"), "dst").distinct()
+    edges = _class_edges(classes, steps)
     found = keep(grouping.entry_points(classes.withColumnRenamed("class", "name"), edges))
     entries = found.select(F.col("name").alias("class"), "kind", (-F.col("degree")).alias("ord"))
     return methods.key_flows(entries, classes, held, steps, _members(s, d))
@@ -153,6 +181,6 @@ def flow_query(s, d):
 
 QUERIES = {
     "H4_method_call_tree": call_tree, "H5_method_caller_tree": caller_tree, "H6_method_flows": method_flows, "H7_method_key_flows": key_flows, "H8_flow_query": flow_query,
-    "H13_method_field_accessors": field_accessors, "H14_type_usage_rows": type_usage, "H15_focal_chain": focal_chain,
+    "H13_method_field_accessors": field_accessors, "H14_type_usage_rows": type_usage, "H15_focal_chain": focal_chain, "H9_exploration_path": exploration_path,
 }
-SQL = {"H4_method_call_tree": CALL_TREE, "H5_method_caller_tree": CALLER_TREE, "H13_method_field_accessors": ACCESSORS, "H14_type_usage_rows": USAGE, "H15_focal_chain": CHAIN}
+SQL = {"H4_method_call_tree": CALL_TREE, "H5_method_caller_tree": CALLER_TREE, "H13_method_field_accessors": ACCESSORS, "H14_type_usage_rows": USAGE, "H15_focal_chain": CHAIN, "H9_exploration_path": PATH}

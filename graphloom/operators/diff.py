@@ -52,17 +52,22 @@ def diff_classes(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     none, no_deps = F.array().cast("array<string>"), F.array().cast("array<struct<target:string,change:string,old_type:string,new_type:string>>")
 
+    kinds = "array<struct<target:string,type:string>>"
+
     def side(df: DataFrame, mark: str) -> DataFrame:
         place = F.col("file") if "file" in df.columns else F.lit(None).cast("string")
-        return df.select("name", F.coalesce("interfaces", none).alias(f"{mark}_interfaces"), F.col("risk").alias(f"{mark}_risk"), F.col("hash").alias(f"{mark}_hash"), place.alias(f"{mark}_file"))
+        deps = F.transform("deps", lambda d: F.struct(d["target"].alias("target"), d["type"].alias("type"))) if "deps" in df.columns else F.array()
+        return df.select("name", F.coalesce("interfaces", none).alias(f"{mark}_interfaces"), F.col("risk").alias(f"{mark}_risk"), F.col("hash").alias(f"{mark}_hash"), place.alias(f"{mark}_file"), deps.cast(kinds).alias(f"{mark}_deps"))
+
+    # Dependencies are taken apart only of names whose hashes differ.
+    j = keep(side(old, "o").join(side(new, "n"), "name", "full_outer").filter("NOT (o_hash <=> n_hash)"))
 
-    def targets(df: DataFrame) -> DataFrame:
-        deps = F.col("deps") if "deps" in df.columns else F.array().cast("array<struct<target:string,type:string>>")
-        rows = df.select("name", F.posexplode(deps).alias("pos", "dep"))
+    def targets(deps: str) -> DataFrame:
+        rows = j.filter("o_hash IS NOT NULL AND n_hash IS NOT NULL").select("name", F.posexplode(deps).alias("pos", "dep"))
         return dep_map(rows.select("name", "dep.target", "dep.type", "pos"))
 
-    moved = diff_deps(targets(old), targets(new)).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("target", "change", "old_type", "new_type"))).alias("dep_changes"))
-    j = side(old, "o").join(side(new, "n"), "name", "full_outer").filter("NOT (o_hash <=> n_hash)").join(moved, "name", "left")
+    moved = diff_deps(targets("o_deps"), targets("n_deps")).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("target", "change", "old_type", "new_type"))).alias("dep_changes"))
+    j = j.join(moved, "name", "left")
     both = F.col("o_hash").isNotNull() & F.col("n_hash").isNotNull()
     change = F.when(F.col("o_hash").isNull(), "added").when(F.col("n_hash").isNull(), "removed").otherwise("modified")
     risky = both & (F.col("o_risk") != "") & (F.col("n_risk") != "") & (F.col("o_risk") != F.col("n_risk"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import reach
+from .graph import keep, reach
 
 
 def _reachable(starts: list[str], calls: DataFrame, max_depth: int, most: int) -> dict[str, list[str]]:
@@ -75,6 +75,7 @@ def exploration_path(edges: DataFrame, entries: DataFrame, members: DataFrame, m
 
     The start is the module of a main, hub, server or root, in this order, else the largest module.
     """
+    edges = keep(edges.select("source", "target", "weight"))  # one row for two modules, read once for each step
     rank = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(("main", "hub", "server", "root"))])
     first = entries.join(members, "name").orderBy(rank, "ord").select("module").first() or members.groupBy("module").count().orderBy(F.desc("count"), "module").first()
     path = [first["module"]] if first else []

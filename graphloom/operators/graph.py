@@ -14,7 +14,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Folders of local sessions that name none, by application.
 _OWN: dict[str, str] = {}
 
@@ -54,18 +53,23 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("name").join(into, "name", "left").join(out, "name", "left").select("name", F.coalesce("in_degree", zero).alias("in_degree"), F.coalesce("out_degree", zero).alias("out_degree"))
 
 
+#: Names of a frontier that are broadcast at most; more meet the edges by a shuffle.
+FRONTIER = 100_000
+
+
 def reach(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """name, hop: what the seeds (name) reach along edges (src, dst), at its smallest hop; seeds are hop 0."""
-    steps = edges.select("src", "dst").distinct()
+    steps = keep(edges.select("src", "dst").distinct())
     known = keep(seeds.select("name").distinct().withColumn("hop", F.lit(0)))
-    frontier, hop = known, 0
-    while max_hops is None or hop < max_hops:
+    frontier, hop, many = known, 0, known.count()
+    while many and (max_hops is None or hop < max_hops):
         hop += 1
-        found = frontier.join(steps, frontier["name"] == steps["src"]).select(F.col("dst").alias("name")).distinct()
+        ahead = frontier.select(F.col("name").alias("src"))
+        found = steps.join(F.broadcast(ahead) if many <= FRONTIER else ahead, "src").select(F.col("dst").alias("name")).distinct()
         frontier = keep(found.join(known, "name", "left_anti").withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
+        many = frontier.count()
+        if many:
+            known = known.unionByName(frontier)
     return known
 
 
@@ -76,10 +80,11 @@ def impact(seeds: DataFrame, edges: DataFrame, max_hops: int | None = 3) -> Data
     return found.withColumn("kind", F.when(F.col("hop") == 1, "direct").otherwise("indirect"))
 
 
-def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """name, hop within ``hops`` steps along edges in both directions."""
+def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int, known: DataFrame | None = None) -> DataFrame:
+    """name, hop within ``hops`` steps along edges in both directions, bases among them; with ``known`` (name), of its names only."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return reach(seeds, both, hops)
+    found = reach(seeds, both, hops)
+    return found if known is None else found.join(known.select("name").distinct(), "name", "left_semi")
 
 
 def call_paths(start: DataFrame, calls: DataFrame, max_depth: int = 10) -> DataFrame:

@@ -1,7 +1,6 @@
 """Ranked retrieval: tokens, uni- and bigram TF-IDF, cosine, top k.
 
-An index is three tables: postings (doc, term, w), idf (term, idf) and the
-documents' names. Weights: tf = 1 + ln(count), idf = ln((1 + N) / (1 + df)) + 1,
+An index is three tables: weights (doc, term, w), norms (doc, norm) and idf (term, idf). Weights: tf = 1 + ln(count), idf = ln((1 + N) / (1 + df)) + 1,
 vectors scaled to length 1; the vocabulary keeps the most frequent terms.
 """
 
@@ -14,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.naming import expand_camel
+from .graph import keep
 
 #: Fixed value: a CJK or kana character, or a word of two or more.
 TOKEN = "(?U)[一-鿿぀-ヿ]|\\b\\w\\w+\\b"
@@ -111,25 +111,41 @@ def term_counts(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFr
 
 @dataclass
 class Index:
-    postings: DataFrame
+    """weights (doc, term, w) of known terms, the length (norm) of each document's vector, and idf."""
+
+    weights: DataFrame
+    norms: DataFrame
     idf: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """doc, term, w: weights of vectors scaled to length 1."""
+        return self.weights.join(self.norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+
     def save(self, path: str) -> None:
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        self.idf.write.mode("overwrite").parquet(f"{path}/idf")
+        for name in ("weights", "norms", "idf"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/idf"))
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("weights", "norms", "idf")))
+
+
+#: Rows of idf or of queries' terms that are broadcast at most; more are joined by a shuffle.
+TERMS = 200_000
 
 
 def build_index(docs: DataFrame, doc: str = "doc", text: str = "text", max_features: int = 50_000) -> Index:
-    counts = term_counts(docs, doc, text)
+    """The index of ``docs``. Counts are made once and written; weights follow from them and the broadcast idf without a shuffle."""
+    counts = keep(term_counts(docs, doc, text))
     n = docs.select(F.col(doc)).distinct().agg(F.count(F.lit(1)).alias("docs"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
     df = df.orderBy(F.desc("total"), "term").limit(max_features)
-    idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    return Index(scaled(counts, idf), idf)
+    idf = keep(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))  # n is one row
+    known = F.broadcast(idf) if max_features <= TERMS else idf
+    weights = counts.join(known, "term").select("doc", "term", ((1 + F.log("n")) * F.col("idf")).alias("w"))
+    norms = keep(weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+    return Index(weights, norms, idf)
 
 
 def scaled(counts: DataFrame, idf: DataFrame) -> DataFrame:
@@ -143,8 +159,11 @@ def search(index: Index, queries: DataFrame, top_k: int = 5, query: str = "query
     """query, doc, score, rank: the best ``top_k`` documents of each query; ties go to the smaller document."""
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
-    q = scaled(term_counts(queries, query, text), index.idf).select(F.col("doc").alias("query"), "term", F.col("w").alias("wq"))
-    scores = index.postings.join(q, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    q = keep(scaled(term_counts(queries, query, text), index.idf).select(F.col("doc").alias("query"), "term", F.col("w").alias("wq")))
+    few = F.broadcast(q) if q.count() <= TERMS else q
+    # Only terms of queries count, so they meet the weights first, and lengths what is left.
+    sums = index.weights.join(few, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("wq")).alias("sum"))
+    scores = sums.join(index.norms, "doc").select("query", "doc", F.round(F.col("sum") / F.col("norm"), 6).alias("score"))
     ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc")))
     return ranked.filter((F.col("rank") <= top_k) & (F.col("score") > 0))
 

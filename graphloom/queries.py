@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import method_queries
 from .functions import extraction, naming
 from .operators import contain, diff, filters, flows, graph, grouping, render, text, trace
 from .plans.adapters import call_steps, callers, layered_edges, nodes, supply_edges, table
@@ -124,12 +123,12 @@ def _(s, d):
     return grouping.entry_points(nodes(s, d), supply_edges(s, d))
 
 
-@query("E9_entry_kinds", "WITH n AS (SELECT DISTINCT p_type AS t FROM part), k AS (SELECT replace(t, ' ', '') || CASE WHEN t LIKE '%BRASS' THEN 'Server' WHEN t LIKE '%TIN' THEN 'handler' WHEN t LIKE '%STEEL' THEN 'Serve' ELSE '' END AS name, t FROM n) SELECT name, CASE WHEN t LIKE '%NICKEL' THEN 'main' ELSE 'server' END AS kind, 0 AS degree FROM k WHERE t LIKE '%BRASS' OR t LIKE '%TIN' OR t LIKE '%NICKEL'")
+@query("E9_entry_kinds", "WITH n AS (SELECT DISTINCT p_name AS t FROM part), k AS (SELECT replace(t, ' ', '') || CASE WHEN t LIKE '%ring' THEN 'Server' WHEN t LIKE '%bolt' THEN 'handler' WHEN t LIKE '%gear' THEN 'Serve' ELSE '' END AS name, t FROM n) SELECT name, CASE WHEN t LIKE '%anvil' THEN 'main' ELSE 'server' END AS kind, 0 AS degree FROM k WHERE t LIKE '%ring' OR t LIKE '%bolt' OR t LIKE '%anvil'")
 def _(s, d):
-    t = table(s, d, "part").select(F.col("p_type").alias("t")).distinct()
-    name = F.concat(F.replace("t", F.lit(" "), F.lit("")), F.when(F.col("t").endswith("BRASS"), "Server").when(F.col("t").endswith("TIN"), "handler").when(F.col("t").endswith("STEEL"), "Serve").otherwise(""))
+    t = table(s, d, "part").select(F.col("p_name").alias("t")).distinct()
+    name = F.concat(F.replace("t", F.lit(" "), F.lit("")), F.when(F.col("t").endswith("ring"), "Server").when(F.col("t").endswith("bolt"), "handler").when(F.col("t").endswith("gear"), "Serve").otherwise(""))
     n = t.select(name.alias("name"), F.lit(1).alias("ord"), "t")
-    main = n.filter("t LIKE '%NICKEL'").select("name", F.lit("int main(int argc)").alias("signature"))
+    main = n.filter("t LIKE '%anvil'").select("name", F.lit("int main(int argc)").alias("signature"))
     none = s.createDataFrame([], "src string, dst string, type string, pos long")
     return grouping.entry_points(n.select("name", "ord"), none, signatures=main)
 
@@ -430,14 +429,6 @@ def _(s, d):
     return s.createDataFrame([(i, " ".join(f)) for i, f in enumerate(found)], "place long, flow string")
 
 
-@query("H9_exploration_path")
-def _(s, d):
-    n, e = nodes(s, d), supply_edges(s, d)
-    m = grouping.with_module(n)
-    found = flows.exploration_path(grouping.module_edges(m, e), grouping.entry_points(n, e), m)
-    return s.createDataFrame(list(enumerate(found)), "place long, module string")
-
-
 @query("H10_suggestions")
 def _(s, d):
     n, e = nodes(s, d), supply_edges(s, d)
@@ -523,10 +514,10 @@ def _(s, d):
     return text.hit_rate(text.search(_index(s, d), q, 5), truth)
 
 
-@query("I8_relevance", f"WITH {STEPS} SELECT p_partkey, round(len(list_filter(['brass', 'steel', 'tin'], lambda q: contains(lower(p_type), q))) / 3.0, 6) AS score FROM part WHERE len(list_filter(['brass', 'steel', 'tin'], lambda q: contains(lower(p_type), q))) > 0")
+@query("I8_relevance", "SELECT p_partkey, round(len(list_filter(['ring', 'bolt', 'gear', 'new'], lambda q: contains(p_name, q))) / 4.0, 6) AS score FROM part WHERE len(list_filter(['ring', 'bolt', 'gear', 'new'], lambda q: contains(p_name, q))) > 0")
 def _(s, d):
-    q = naming.tokens(F.lit("Brass Steel,Tin brass"))
-    own = naming.tokens(F.col("p_type"))
+    q = naming.tokens(F.lit("Ring Bolt,Gear ringNew"))
+    own = naming.tokens(F.col("p_name"))
     hit = F.size(F.filter(q, lambda t: F.exists(own, lambda e: e.contains(t) | t.contains(e))))
     p = table(s, d, "part").select("p_partkey", F.round(hit / F.size(q), 6).alias("score"))
     return p.filter("score > 0")
@@ -679,12 +670,12 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import index_queries
+    from . import index_queries, method_queries, summary_queries, text_queries
 
-    return _QUERIES | method_queries.QUERIES | index_queries.QUERIES
+    return _QUERIES | method_queries.QUERIES | index_queries.QUERIES | text_queries.QUERIES | summary_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import index_queries
+    from . import index_queries, method_queries, summary_queries, text_queries
 
-    return _SQL | method_queries.SQL | index_queries.SQL
+    return _SQL | method_queries.SQL | index_queries.SQL | text_queries.SQL | summary_queries.SQL

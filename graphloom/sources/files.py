@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.extraction import compiler_arguments
+from ..functions.signatures import absolute, shell_words
 from ..operators.filters import excluded
 
 #: Suffixes of source files.
@@ -54,11 +55,16 @@ def ignore_patterns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compile_commands(spark: SparkSession, path: str) -> DataFrame:
-    """file, arguments: ``arguments`` is preferred to ``command``; output options, the file and objects are left out."""
+    """file, arguments: ``arguments`` is preferred to ``command``, which is split as a shell does; output options, the file and objects are left out.
+
+    A relative file lies in its directory. Entries without a file are left out; a command with an open quote has no arguments.
+    """
     raw = spark.read.schema("file string, directory string, command string, arguments array<string>").option("multiLine", True).json(path)
-    words = F.filter(F.split(F.coalesce("command", F.lit("")), r"\s+"), lambda w: w != "")
-    given = F.when(F.size(F.coalesce("arguments", F.array().cast("array<string>"))) > 0, F.col("arguments")).otherwise(words)
-    return raw.select("file", compiler_arguments(given, F.col("file")).alias("arguments"))
+    none = F.array().cast("array<string>")
+    words = F.coalesce(shell_words(F.coalesce("command", F.lit(""))), none)
+    given = F.when(F.size(F.coalesce("arguments", none)) > 0, F.col("arguments")).otherwise(words)
+    rows = raw.filter("file <> ''").select(absolute(F.coalesce("directory", F.lit("")), F.col("file")).alias("file"), given.alias("given"))
+    return rows.select("file", compiler_arguments(F.col("given"), F.col("file")).alias("arguments"))
 
 
 def check_compile_commands(spark: SparkSession, path: str) -> DataFrame:

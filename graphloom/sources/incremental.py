@@ -102,16 +102,29 @@ def _versions(spark: SparkSession, folder: str) -> list[str]:
     return sorted(x.getPath().getParent().toString() for x in found)
 
 
-def save_state(state: DataFrame, folder: str) -> DataFrame:
-    """``state`` as a new version in ``folder``, read back from there. A version counts once it is whole, so a lost job leaves the one before."""
+def save_state(state: DataFrame, folder: str, number: int | None = None) -> DataFrame:
+    """``state`` as a new version in ``folder``, the next one if it has no ``number``, read back from there. A version counts once it is whole, so a lost job leaves the one before."""
     spark = state.sparkSession
-    known = _versions(spark, folder)
-    number = int(known[-1].rpartition("=")[2]) + 1 if known else 0
+    if number is None:
+        known = _versions(spark, folder)
+        number = _number(known[-1]) + 1 if known else 0
     path = f"{folder}/version={number:09d}"
     state.write.mode("overwrite").parquet(path)
     return spark.read.schema(state.schema).parquet(path)
 
 
+def _number(version: str) -> int:
+    return int(version.rpartition("=")[2])
+
+
+def state_before(spark: SparkSession, folder: str, number: int, schema: StructType, exactly: int | None = None) -> DataFrame | None:
+    """The newest whole version below ``number``, an empty state if there is none; with ``exactly``, that version or None."""
+    known = [v for v in _versions(spark, folder) if _number(v) < number and exactly in (None, _number(v))]
+    if not known:
+        return spark.createDataFrame([], schema) if exactly is None else None
+    return spark.read.schema(schema).parquet(known[-1])
+
+
 def load_state(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """The newest whole version in ``folder``; an empty state if there is none, or if it has another schema."""
     known = _versions(spark, folder)
