@@ -10,14 +10,15 @@ one word. So inserted signs disappear and inserted letters only cost a gap.
 
 The SVM is trained on labelled texts, a text being a bag of words: its decision
 is that of its worst word, and the hinge loss is on the text's label. A clean
-text asks all of its words to be negative; a toxic one asks it of its worst word,
-its witness, to be positive. Training alternates: given witnesses it solves the
-SVM in the feature space of the Nyström landmarks, then every toxic text
-chooses its witness anew, until none changes. The first witnesses are words with pieces that
-toxic texts have more often than chance gives. Witnesses are also shown with letters
+text asks all of its words to be negative; a toxic one asks its witnesses to be
+positive. These are its words with pieces that toxic texts have more often than chance
+gives, each of them, so that an insult is learned beside others too; or else its worst
+word. Training alternates: given witnesses it solves the SVM in the feature space of
+the Nyström landmarks, then every toxic text without a telling word chooses its worst
+one anew, until none changes. Witnesses are also shown with letters
 inserted. Clean words enter as they come near the margin. All of this is numpy on the driver, on a sample.
-A logistic curve fitted on a quarter of the sample turns the worst word of a
-text into its score.
+A rising curve, the shares of toxic texts in a quarter of the sample, turns the worst
+word of a text into its score.
 
 As the decision is linear in the kernel, landmarks and weights multiply out
 into one weight for each of the 32,768 subsequences. Tasks receive that table:
@@ -26,7 +27,7 @@ A very long text is scored in pieces, cut between two words of two letters or mo
 
 Defined cases: null and empty texts get the score of a text without words.
 Without labels of both classes every score is 0. Rows with a null id are held
-out. Repeated labels of an id count as toxic if any is. Rows are scored one by
+out. Repeated labels of an id count as toxic if any is; of rows that repeat an id, the smallest text is learned from. Rows are scored one by
 one, so repeated rows score alike. An empty table gives an empty result. Extra columns don't matter.
 """
 
@@ -54,7 +55,7 @@ COST = 20.0
 #: Turns of choosing witnesses, at most.
 ROUNDS = 8
 #: Variants of a witness with letters inserted.
-VARIANTS = 3
+VARIANTS = 8
 BLOCK = 1 << 20
 #: Offsets of the second and third letter from the first.
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN + 1)]
@@ -156,8 +157,8 @@ def subsequences(word: bytes) -> tuple[list[int], list[float]]:
 @dataclass
 class Model:
     table: np.ndarray  # a weight for each subsequence
-    slope: float
-    shift: float
+    at: np.ndarray  # worst words, rising, and the scores at them
+    share: np.ndarray
     floor: float  # the worst word of a text without words
 
     def scores(self, texts: list[str], size: int = BLOCK) -> np.ndarray:
@@ -174,7 +175,7 @@ class Model:
                     block, owners, held = [], [], 0
         if block:
             self._block(block, owners, worst)
-        return 1 / (1 + np.exp(-(self.slope * worst + self.shift)))
+        return np.interp(worst, self.at, self.share)
 
     def _block(self, pieces: list[str], owners: list[int], worst: np.ndarray) -> None:
         ends = np.cumsum([len(t) + len(_BETWEEN) for t in pieces]) + 1
@@ -185,7 +186,7 @@ class Model:
 
 def words_of(text: str) -> set[bytes]:
     c, _, _ = letters(" " + text + " ")
-    return {w for w in c.tobytes().split(b"\0") if len(w) > 2}
+    return {w for w in c.tobytes().split(b"\0") if w}
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, seed: int) -> list[dict]:
@@ -195,8 +196,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     known = known.withColumn("rank", F.pmod(F.xxhash64(F.col("id_").cast("string"), F.lit(seed)), F.lit(1 << 30)))
     chosen = known.filter("toxic = 1").orderBy("rank", "id_").limit(per_class).unionByName(known.filter("toxic = 0").orderBy("rank", "id_").limit(2 * per_class))
     source = docs.select(docs[id_col].alias("id_"), text_of(docs, text_col).alias("text"))
-    rows = source.join(F.broadcast(chosen), "id_").select("toxic", "rank", "text").toArrow().to_pylist()  # 3 * per_class ids are broadcast
-    return sorted(rows, key=lambda r: (r["rank"], r["toxic"], r["text"]))[: 4 * per_class]
+    rows = source.join(F.broadcast(chosen), "id_")  # 3 * per_class ids
+    rows = rows.groupBy("id_", "toxic", "rank").agg(F.min("text").alias("text")).select("toxic", "rank", "text").toArrow().to_pylist()  # a row for each of them
+    return sorted(rows, key=lambda r: (r["rank"], r["toxic"], r["text"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 800, seed: int = 5) -> Model | None:
@@ -205,9 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _variants(word: bytes, rng: np.random.Generator) -> list[bytes]:
-    """The word with a letter inserted, and with two."""
+    """The word with a letter inserted, and with two each fourth time."""
     out = []
-    for n in (1,) * (VARIANTS - 1) + (2,):
+    for n in [1, 1, 1, 2] * (VARIANTS // 4):
         grown = list(word)
         for _ in range(n):
             grown.insert(int(rng.integers(1, len(grown))), int(rng.integers(1, 27)))
@@ -251,8 +253,9 @@ def fitted(rows: list[dict], seed: int) -> Model:
     rng = np.random.default_rng(seed)
     docs = [(r["toxic"], r["rank"] % 4 == 0, words_of(r["text"])) for r in rows]
     learn = [d for d in docs if not d[1]] if {d[0] for d in docs if not d[1]} >= {0, 1} else docs
-    check = [d for d in docs if d[1]] if {d[0] for d in docs if d[1]} >= {0, 1} else docs
-    toxic = [d[2] for d in learn if d[0]]
+    check = [d for d in docs if d[1]]
+    check = check if {d[0] for d in check} >= {0, 1} else docs
+    toxic = _distinct([d[2] for d in learn if d[0]])  # copies would make any of their words tell
     clean = Counter(w for d in learn if not d[0] for w in d[2])
     seen = Counter(w for words in toxic for w in words)
     telling = sorted((w for w in seen if not clean[w]), key=lambda w: (-seen[w], w))
@@ -268,13 +271,14 @@ def fitted(rows: list[dict], seed: int) -> Model:
 
     negative = [plain[i] for i in rng.choice(len(plain), min(12_000, len(plain)), replace=False)] if plain else []
     first = _worst_words(toxic, Counter(g for d in learn if not d[0] for g in {g for w in d[2] for g in _grams(w)})) - set(clean)
-    bags = [sorted(words) for words in toxic if words]
-    # A toxic text without a telling word waits until there is a decision to choose by.
-    witness: list[bytes | None] = [min(first & set(bag), key=lambda w: (-seen[w], w), default=None) for bag in bags]
+    bags = [found for words in toxic if (found := sorted(w for w in words if len(w) > 2))]
+    # All telling words of a toxic text are witnesses; one without any waits until there is a decision to choose by.
+    known = [sorted(first & set(bag)) for bag in bags]
+    witness = known
     shown: dict[bytes, list[bytes]] = {}
     table, bias = np.zeros(1 << 15, np.float32), 0.0
     for _ in range(ROUNDS):
-        texts = Counter(w for w in witness if w is not None)
+        texts = Counter(w for found in witness for w in found)
         if not texts or not negative:
             break
         for w in sorted(texts):
@@ -282,21 +286,21 @@ def fitted(rows: list[dict], seed: int) -> Model:
                 shown[w] = _variants(w, rng)
         grown = [(v, texts[w]) for w in sorted(texts) for v in shown[w]]
         x = [*sorted(texts), *(v for v, _ in grown), *negative]
-        # A witness counts once for each of its texts, and its variants as much together.
-        cost = [COST * texts[w] for w in sorted(texts)] + [COST * n / VARIANTS for _, n in grown] + [COST] * len(negative)
+        # A word counts once for each of its texts, and a witness's variants as much together.
+        cost = [COST * texts[w] for w in sorted(texts)] + [COST * n / VARIANTS for _, n in grown] + [COST * clean[w] for w in negative]
         y = np.repeat([1.0, -1.0], [len(x) - len(negative), len(negative)])
         w, bias = _svm((_features(x, dense) @ root).astype(np.float64), y, np.array(cost))
         table = (dense @ (root @ w)).astype(np.float32)
         near = _sums(plain, table) + bias
         hard = [plain[i] for i in np.argsort(-near)[:4000] if near[i] > -1]
-        chosen = [bag[int(np.argmax(_sums(bag, table)))] for bag in bags]
+        chosen = [told or [bag[int(np.argmax(_sums(bag, table)))]] for bag, told in zip(bags, known, strict=True)]
         settled = chosen == witness and set(hard) <= set(negative)
         witness, negative = chosen, sorted({*negative, *hard})
         if settled:
             break
     top = np.array([max(_sums(sorted(d[2]), table).max(initial=-1.0), -1.0) + bias for d in check])
-    slope, shift = _logistic(top, np.array([d[0] for d in check]))
-    return Model(table, slope, shift + slope * bias, -1.0)
+    at, share = _curve(top, np.array([d[0] for d in check]))
+    return Model(table, at - bias, share, -1.0)
 
 
 def _sums(words: list[bytes], table: np.ndarray) -> np.ndarray:
@@ -316,40 +320,46 @@ def _distinct(texts: list[set[bytes]]) -> list[set[bytes]]:
 
 
 def _worst_words(toxic: list[set[bytes]], tame: Counter) -> set[bytes]:
-    """Words that explain toxic texts: those with a piece that hardly a clean text has (``tame``) and more toxic ones than chance would give.
+    """Words that explain toxic texts, no two of them copies: those with a piece that hardly a clean text has (``tame``) and more toxic ones than chance would give.
 
     With twice as many clean texts, a neutral piece of n texts is in toxic ones
     alone with a chance of 3 ** -n, so n follows from how many pieces there are.
     """
-    texts = _distinct(toxic)
-    pieces = [{g for w in words for g in _grams(w)} for words in texts]
+    pieces = [{g for w in words for g in _grams(w)} for words in toxic]
     held = Counter(g for found in pieces for g in found)
     need = 3
-    while need < len(texts) and sum(3.0**-n for n in held.values() if n >= need) > 1:
+    while need < len(toxic) and sum(3.0**-n for n in held.values() if n >= need) > 1:
         need += 1
     telling = {g for g, n in held.items() if n >= need and tame[g] <= 0.1 * n}
     words: dict[bytes, Counter] = {}
-    for text in texts:
+    for text in toxic:
         for w in text:
             for g in _grams(w) & telling:
                 words.setdefault(g, Counter())[w] += 1
     return {w for g in words for w, _ in sorted(words[g].items(), key=lambda x: (-x[1], x[0]))[:25]}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's method, with the targets drawn in a little as Platt does."""
-    up, down = (y == 1).sum(), (y == 0).sum()
-    t = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    centre, spread = x.mean(), x.std() or 1.0
-    z = np.column_stack(((x - centre) / spread, np.ones(len(x))))
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z.T * (p * (1 - p) + 1e-6)) @ z + 1e-3 * np.eye(2), z.T @ (t - p) - 1e-3 * w)
-        w += step
-        if abs(step).max() < 1e-8:
-            break
-    return float(w[0] / spread), float(w[1] - w[0] * centre / spread)
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decisions and shares of toxic texts at them, rising: neighbours are pooled until none is out of order.
+
+    Some labels have other reasons than words, so no logistic curve fits: it would be flattened for all.
+    """
+    blocks: list[list[float]] = []  # first and last decision, toxic texts, texts
+    for value in np.unique(x):
+        here = x == value
+        blocks.append([float(value), float(value), float((y[here] == 1).sum()), float(here.sum())])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, end, toxic, texts = blocks.pop()
+            blocks[-1] = [blocks[-1][0], end, blocks[-1][2] + toxic, blocks[-1][3] + texts]
+    # Most are toxic from the margin on, 1, whichever the check's first toxic text behind its last clean one is.
+    at, end = [], -np.inf
+    for first, last, toxic, texts in blocks:
+        if 2 * toxic > texts and not any(2 * b[2] > b[3] for b in blocks if b[1] < first):
+            first = min(max(end, 1.0), last)
+        at.append((first, last))
+        end = last
+    share = np.maximum.accumulate([(toxic + 0.5) / (texts + 1) for _, _, toxic, texts in blocks])
+    return np.concatenate(at), np.repeat(share, 2)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -244,6 +245,17 @@ def test_toxicity(spark, nothing):
     rows = toxicity.score(docs, model).join(labels, "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.toxic for r in rows) >= 0.94 * len(rows)
     assert sum(r.predicted > r.toxic for r in rows) <= 0.005 * len(rows)
+    words = lambda text: set(re.sub("[^a-z]", " ", text.lower()).split())
+    known = docs.join(labels, "doc_id").withColumn("out", F.expr("crc32(CAST(CAST(doc_id AS string) AS binary)) % 3 = 1")).collect()
+    seen = {t: Counter(w for r in known if r.toxic == t and not r.out for w in words(r.text or "")) for t in (0, 1)}
+    insults = [w for w, n in seen[1].items() if n >= 50 and not seen[0][w]]
+    assert len(insults) >= 8
+    for w in insults:
+        assert min(model.scores([f"anly {w} hend", f"anly {w[:2]}*{w[2:]} hend"])) >= 0.7, w
+    grown = [f"anly {w[:i]}{c}{w[i:]} hend" for w in insults for i in range(1, len(w)) for c in "xek"]
+    assert np.mean(model.scores(grown) >= 0.7) >= 0.8
+    by_rule = {r.doc_id for r in known if r.out and r.toxic and words(r.text or "") & set(insults)}
+    assert sum(r.predicted and r.toxic for r in rows) >= len(by_rule)
     plain = model.scores(["anly scum hend"])[0]
     assert plain > 0.7
     for sign in (".", "-", "*", "\u2022", "\u2019", "\u200b", "\u0301", " "):
