@@ -670,12 +670,12 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import index_queries, method_queries, summary_queries, text_queries
+    from . import document_queries, index_queries, method_queries, summary_queries, text_queries
 
-    return _QUERIES | method_queries.QUERIES | index_queries.QUERIES | text_queries.QUERIES | summary_queries.QUERIES
+    return _QUERIES | method_queries.QUERIES | index_queries.QUERIES | text_queries.QUERIES | summary_queries.QUERIES | document_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import index_queries, method_queries, summary_queries, text_queries
+    from . import document_queries, index_queries, method_queries, summary_queries, text_queries
 
-    return _SQL | method_queries.SQL | index_queries.SQL | text_queries.SQL | summary_queries.SQL
+    return _SQL | method_queries.SQL | index_queries.SQL | text_queries.SQL | summary_queries.SQL | document_queries.SQL

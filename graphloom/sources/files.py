@@ -97,10 +97,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(entries: DataFrame, path: str, version: int = 4) -> None:
-    """One JSON document with all entries in order, for tools that want a file; tables stay parquet."""
+    """One JSON document with all entries in order, for tools that want a file; tables stay parquet.
+
+    Entries are lines that one task sorts and writes, none of them held with the others in memory.
+    """
     cols = [c for c in entries.columns if c != "ordinal"]
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.to_json(F.struct(*cols)).alias("j")))), lambda x: x["j"])
-    entries.agg(F.concat(F.lit(f'{{"version":{version},"classes":['), F.array_join(rows, ","), F.lit("]}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    first = entries.agg(F.min("ordinal").alias("first"))  # one row
+    body = entries.join(F.broadcast(first)).select(F.lit(1).alias("section"), "ordinal", F.concat(F.when(F.col("ordinal") == F.col("first"), "").otherwise(","), F.to_json(F.struct(*cols))).alias("value"))
+    ends = entries.sparkSession.createDataFrame([(0, 0, f'{{"version":{version},"classes":['), (2, 0, "]}")], "section int, ordinal long, value string")
+    body.unionByName(ends).repartition(1).sortWithinPartitions("section", "ordinal").select("value").write.mode("overwrite").text(path)
 
 
 def append_change(record: DataFrame | None, path: str) -> None:
