@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import extraction, signatures
-from .operators import aliases
+from .operators import aliases, free_functions
 from .plans.adapters import table
 
 _WORDS = "upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS u, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS t"
@@ -105,5 +105,45 @@ SELECT p_partkey, CASE z % 2 WHEN 0 THEN '/work/src/' ELSE '/abs/' END || p_part
 CASE z % 3 WHEN 0 THEN 'cc|-DA B=' || t || '|-DX=\\ y|a b.cpp|-o|' || p_partkey || '.o' WHEN 1 THEN 'g++|-I|-DQ=say "' || u || '" \\n|-MF|dep|x.o' END AS words,
 CASE z % 3 WHEN 0 THEN '-DA B=' || t || '|-DX=\\ y|a b.cpp' WHEN 1 THEN '-I|-DQ=say "' || u || '" \\n' END AS arguments FROM p"""
 
-QUERIES = {"X10_X11_method_types": method_types, "X2_nested_fields": nested_fields, "X4_dependencies": first_dependencies, "D10_X9_alias_fields": alias_fields, "A4_commands": commands}
-SQL = {"X10_X11_method_types": METHOD_TYPES, "X2_nested_fields": NESTED_FIELDS, "X4_dependencies": FIRST_DEPENDENCIES, "D10_X9_alias_fields": ALIAS_FIELDS, "A4_commands": COMMANDS.replace("\\\\", "\\")}
+def _functions(s, d) -> DataFrame:
+    z, k = F.col("p_size"), F.col("p_partkey")
+    name = F.when(z % 9 == 0, "main").otherwise(F.concat(F.lower("u"), F.when(z % 5 == 0, "_parse_").when(z % 5 == 1, "_util_").otherwise("_"), F.lower("t")))
+    signature = F.concat(F.lit("void "), name, F.lit("("), "t", F.lit(" * t, "), "u", F.lit(" u)"))
+    space = F.when(z % 4 == 0, F.concat_ws("::", F.lit("make"), "u"))
+    return _parts(s, d).select(k.alias("ord"), F.concat(F.lit("/src/"), "u", F.lit("/"), "t", F.lit(".v"), (z % 3).cast("string"), F.lit(".cpp")).alias("file"), space.alias("namespace"), name.alias("name"), signature.alias("signature"), z.alias("line"), signatures.used_types(signature).alias("param_types"))
+
+
+def synthetic(s, d):
+    out = free_functions.synthetic(_functions(s, d))
+
+    def told(rows: DataFrame, column: str, name: str) -> DataFrame:
+        ordered = F.sort_array(F.collect_list(F.struct("nth", F.col(column).alias("x"))))
+        return rows.groupBy("key").agg(F.array_join(F.transform(ordered, lambda r: r["x"]), ";").alias(name))
+
+    return out.entries.join(told(out.methods, "signature", "methods"), "key").join(told(out.dependencies, "target", "targets"), "key")
+
+
+SYNTHETIC = f"""WITH p AS (SELECT p_partkey AS k, p_size AS z, {_WORDS} FROM part),
+f AS (SELECT k, z, u, t, '/src/' || u || '/' || t || '.v' || z % 3 || '.cpp' AS file, CASE WHEN z % 4 = 0 THEN 'make::' || u ELSE '' END AS ns, CASE WHEN z % 9 = 0 THEN 'main' ELSE lower(u) || CASE z % 5 WHEN 0 THEN '_parse_' WHEN 1 THEN '_util_' ELSE '_' END || lower(t) END AS name FROM p),
+g AS (SELECT *, CASE WHEN name = 'main' THEN '__entrypoint__' || file WHEN ns <> '' THEN ns ELSE '__file__' || file END AS key, CASE WHEN name = 'main' THEN 'main@' || t || '.v' || z % 3 WHEN ns <> '' THEN ns ELSE t || '.v' || z % 3 END AS shown, 'void ' || name || '(' || t || ' * t, ' || u || ' u)' AS signature FROM f),
+e AS (SELECT key, arg_min(shown, k) AS name, arg_min(ns, k) AS namespace, arg_min(file, k) AS file, arg_min(z, k) AS line, CASE WHEN bool_or(g.name = 'main') THEN 'Program Entry Point' WHEN bool_or(lower(signature) LIKE '%util%') THEN 'Utility Helpers' WHEN bool_or(lower(signature) LIKE '%parse%') THEN 'Data Transformation' ELSE 'Free Functions' END AS responsibility FROM g GROUP BY key),
+m AS (SELECT key, string_agg(signature, ';' ORDER BY k, signature) AS methods FROM (SELECT key, signature, min(k) AS k FROM g GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT key, string_agg(target, ';' ORDER BY k, i, target) AS targets FROM (SELECT key, target, min(k) AS k, arg_min(i, k) AS i FROM (SELECT key, t AS target, k, 0 AS i FROM g UNION ALL SELECT key, u, k, 1 FROM g) GROUP BY 1, 2) GROUP BY 1)
+SELECT * FROM e JOIN m USING (key) JOIN d USING (key)"""
+
+
+def accesses(s, d):
+    """What accesses of parts write, and what calls of them are told by."""
+    z = F.col("p_size")
+    parent = F.when(z % 4 == 0, "unary").when(z % 4 == 1, "assignment").when(z % 4 == 2, "member").otherwise("other")
+    method = F.when(z % 3 == 0, "push_back").when(z % 3 == 1, "reset").otherwise(F.lower("u"))
+    function = F.when(z % 5 < 2, "ioctl").when(z % 5 == 2, "mmap").otherwise(F.lower("t"))
+    arguments = F.when(z % 7 == 0, F.array(F.lit("fd"))).otherwise(F.array(F.lit("fd"), F.upper("t")))
+    return _parts(s, d).select("p_partkey", free_functions.is_write(parent, z % 2, method).alias("is_write"), free_functions.annotation(function, arguments).alias("annotation"))
+
+
+ACCESSES = f"""SELECT p_partkey, p_size % 4 = 0 OR (p_size % 4 = 1 AND p_size % 2 = 0) OR (p_size % 4 = 2 AND p_size % 3 < 2) AS is_write,
+CASE WHEN p_size % 7 <> 0 AND p_size % 5 < 3 THEN CASE WHEN p_size % 5 < 2 THEN 'ioctl' ELSE 'mmap' END || ' @ ' || upper(t) END AS annotation FROM (SELECT *, {_WORDS} FROM part)"""
+
+QUERIES = {"X10_X11_method_types": method_types, "X2_nested_fields": nested_fields, "X4_dependencies": first_dependencies, "D10_X9_alias_fields": alias_fields, "A4_commands": commands, "X16_synthetic_classes": synthetic, "X14_X15_accesses": accesses}
+SQL = {"X10_X11_method_types": METHOD_TYPES, "X2_nested_fields": NESTED_FIELDS, "X4_dependencies": FIRST_DEPENDENCIES, "D10_X9_alias_fields": ALIAS_FIELDS, "A4_commands": COMMANDS, "X16_synthetic_classes": SYNTHETIC, "X14_X15_accesses": ACCESSES}

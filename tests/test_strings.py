@@ -123,3 +123,25 @@ def test_exclusion_of_slashes(spark):
     cases = [("a/build/x.c", ["build"], True), ("a/build/x.c", ["build/"], False), ("a\\build\\x.c", ["build"], True), ("src/gen/x.c", ["src\\gen\\*.c"], True), ("third/x.c", ["third/**"], True)]
     for path, patterns, want in cases:
         assert values(spark, [path], lambda p, patterns=patterns: filters.excluded(p, patterns)) == [want]
+
+
+def test_free_functions_become_entries(spark):
+    from graphloom.operators import free_functions
+
+    rows = [
+        (1, "/s/a.cpp", "", "main", "int main()", 3, []), (2, "/s/b.cpp", "", "main", "int main()", 4, ["X"]), (3, "/s/a.cpp", None, "go", "void go(Foo)", 5, ["Foo", "Bar"]), (4, "/s/a.cpp", "", "go", "void go(Foo)", 9, ["Baz"]),
+        (5, "/s/a.cpp", "n::m", "parse_it", "int parse_it()", 6, []), (6, "/t/c.d.h", "n::m", "helper", "int helper()", 7, ["Bar"]), (7, "/t/c.d.h", "", "raid", "int raid(Foo)", 8, ["Foo"]),
+    ]
+    df = spark.createDataFrame(rows, "ord int, file string, namespace string, name string, signature string, line int, param_types array<string>")
+    out = free_functions.synthetic(df)
+    got = {r["key"]: tuple(r)[1:] for r in out.entries.collect()}
+    assert got == {
+        "__entrypoint__/s/a.cpp": ("main@a", "", "/s/a.cpp", 3, "Program Entry Point"), "__entrypoint__/s/b.cpp": ("main@b", "", "/s/b.cpp", 4, "Program Entry Point"),
+        "__file__/s/a.cpp": ("a", "", "/s/a.cpp", 5, "Free Functions"), "n::m": ("n::m", "n::m", "/s/a.cpp", 6, "Utility Helpers"), "__file__/t/c.d.h": ("c.d", "", "/t/c.d.h", 8, "Storage / IO Helpers"),
+    }
+    assert sorted(tuple(r) for r in out.methods.filter("key = '__file__/s/a.cpp' OR key = 'n::m'").collect()) == [("__file__/s/a.cpp", 1, "void go(Foo)", 5), ("n::m", 1, "int parse_it()", 6), ("n::m", 2, "int helper()", 7)]
+    assert sorted(tuple(r)[1:3] for r in out.dependencies.filter("key = '__file__/s/a.cpp'").collect()) == [(1, "Foo"), (2, "Bar"), (3, "Baz")]
+    w = spark.createDataFrame([("unary", 3, None, True), ("assignment", 0, None, True), ("assignment", 1, None, False), ("compound", 0, "x", True), ("member", 0, "push_back", True), ("member", 0, "size", False), (None, 0, "clear", False), ("member", 0, None, False)], "p string, o int, m string, want boolean")
+    assert all(r[0] == r[1] for r in w.select(free_functions.is_write(F.col("p"), F.col("o"), F.col("m")), "want").collect())
+    a = spark.createDataFrame([("ioctl", ["fd", "CMD"], "ioctl @ CMD"), ("ioctl", ["fd"], None), ("open", ["a", "b"], None), ("mmap", ["a", ""], None), ("fcntl", None, None)], "f string, a array<string>, want string")
+    assert [r[0] for r in a.select(free_functions.annotation(F.col("f"), F.col("a"))).collect()] == [r["want"] for r in a.collect()]
