@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.extraction import compiler_arguments
 from ..functions.signatures import absolute, shell_words
+from ..operators import trace
 from ..operators.filters import excluded
 
 #: Suffixes of source files.
@@ -117,3 +118,16 @@ def append_change(record: DataFrame | None, path: str) -> None:
 def write_text(lines: DataFrame, path: str) -> None:
     """Rendered text (value) as one file."""
     lines.select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_calls(spark: SparkSession, call_graph: str | None = None, backtraces: str | None = None) -> DataFrame:
+    """group, pos, caller, callee, args, returns: calls of a JSON file, one group, or of backtrace texts, a group for each file. Exactly one of both is given."""
+    if (call_graph is None) == (backtraces is None):
+        raise ValueError("give either a call graph or backtraces")
+    if call_graph is not None:
+        raw = spark.read.text(call_graph, wholetext=True)
+        calls = F.from_json("value", "array<struct<caller:string,callee:string,args:string,return:string>>")
+        rows = raw.select(F.lit("calls").alias("group"), F.posexplode(calls).alias("pos", "c"))
+        return rows.select("group", F.col("pos").cast("long").alias("pos"), *(F.coalesce(F.col("c")[f], F.lit("")).alias(n) for f, n in (("caller", "caller"), ("callee", "callee"), ("args", "args"), ("return", "returns"))))
+    texts = spark.read.text(backtraces, wholetext=True).select(F.col("_metadata.file_name").alias("group"), F.col("value").alias("text"))
+    return trace.call_edges(trace.frames(texts, "group")).withColumnRenamed("trace", "group").withColumn("pos", F.col("pos").cast("long")).withColumn("returns", F.lit(""))

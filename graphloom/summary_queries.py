@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import queries as base
 from .method_queries import ASSEMBLY
-from .operators import grouping, summaries
+from .operators import grouping, lookups, summaries
 from .plans import adapters
 
 
@@ -86,5 +86,81 @@ def chains(s, d):
 CHAINS = f"""WITH {ASSEMBLY} SELECT class, signature, string_agg(CASE WHEN target = '_self_' THEN CASE WHEN coalesce(is_write, false) THEN 'writes field `' ELSE 'reads field `' END || member || '`'
 ELSE CASE WHEN kind = 'call' THEN 'calls `' WHEN coalesce(is_write, false) THEN 'writes `' ELSE 'reads `' END || target || '::' || member || '`' END, ' → ' ORDER BY step) AS text FROM steps GROUP BY 1, 2"""
 
-QUERIES = {"J20_J21_class_summaries": class_summaries, "J24_module_summaries": module_summaries, "E12_E13_project": project, "E13_module_contexts": contexts, "J22_explained_chains": chains}
-SQL = {"J20_J21_class_summaries": CLASS_SUMMARIES, "J24_module_summaries": MODULE_SUMMARIES, "E12_E13_project": PROJECT, "E13_module_contexts": CONTEXTS, "J22_explained_chains": CHAINS}
+def class_digests(s, d):
+    entries = _assembly_entries(s, d).withColumns({"namespace": F.when(F.col("ord") % 2 == 0, "parts"), "file": F.concat(F.lit("p/"), "name", F.lit(".h")), "line": F.col("ord") % 100})
+    return entries.select("name", lookups.class_digest(entries).alias("text"))
+
+
+CLASS_DIGESTS = f"""WITH {ASSEMBLY},
+deps AS (
+  SELECT 'P' || k AS name, 'P' || (k // 4) AS target, 'composition' AS type FROM parts WHERE k >= 4 UNION ALL SELECT 'P' || k, 'P' || (k // 6), 'association' FROM parts WHERE k >= 6
+  UNION ALL SELECT 'P' || k, 'P' || (k // 5), 'inheritance' FROM parts WHERE z % 13 = 0 AND k >= 5 UNION ALL SELECT 'P' || k, 'P' || (k // 7), 'dependency' FROM parts WHERE z % 3 = 0 AND k >= 7),
+on_them AS (SELECT name, string_agg(target || '(' || type || ')', ', ' ORDER BY target, type) AS t FROM deps GROUP BY 1),
+p AS (
+  SELECT *, 'P' || k AS name, CASE WHEN z % 3 = 0 THEN ['void remake(Part p)', 'void make(int n)', 'int cost() const'] ELSE ['void make(int n)', 'int cost() const', 'void remake(Part p)'] END AS pub,
+         CASE WHEN z % 5 = 0 THEN ['void make(long n)', 'void check(int n)'] ELSE ['void check(int n)'] END AS priv FROM parts),
+listed AS (SELECT *, CASE WHEN k % 5 = 4 THEN [pub[2]] ELSE list_concat(pub, priv, pub) END AS i FROM p)
+SELECT l.name, concat_ws(chr(10), 'class ' || CASE WHEN k % 2 = 0 THEN 'parts::' ELSE '' END || l.name, '  location: p/' || l.name || '.h:' || (k % 100), '  purpose: ' || CASE WHEN k % 3 = 0 THEN 'Makes ' || brand ELSE 'Unknown' END,
+  CASE WHEN k % 2 = 0 THEN '  extends: ' || brand END, '  dependencies: ' || t, '  public: ' || array_to_string(i[1:8], '; ') || CASE WHEN len(i) > 8 THEN ' …' ELSE '' END, CASE WHEN k % 5 <> 4 THEN '  internal: ' || array_to_string(priv, '; ') END) AS text
+FROM listed l LEFT JOIN on_them o ON o.name = l.name"""
+
+
+def chain_digests(s, d):
+    return lookups.chain_digests(adapters.assembly_steps(s, d).filter("target <> '_meta_'"), "class", "signature")
+
+
+CHAIN_DIGESTS = f"""WITH {ASSEMBLY} SELECT class, signature, string_agg(CASE WHEN target = '_self_' THEN CASE WHEN coalesce(is_write, false) THEN 'write ' ELSE 'read ' END || member
+WHEN kind = 'call' THEN target || '::' || member || '()' ELSE CASE WHEN coalesce(is_write, false) THEN 'write ' ELSE 'read ' END || target || '::' || member END, ' → ' ORDER BY step) AS text FROM steps GROUP BY 1, 2"""
+
+
+def path_subgraphs(s, d):
+    steps = adapters.assembly_steps(s, d).select(F.concat_ws("::", "class", "signature").alias("path"), "target")
+    return lookups.path_subgraph(adapters.assembly_classes(s, d).select(F.col("class").alias("name")), steps)
+
+
+PATHS = f"""WITH {ASSEMBLY} SELECT DISTINCT s.class || '::' || s.signature AS path, c.class AS name FROM steps s JOIN classes c ON s.target = c.class OR s.target = split_part(c.class, '::', -1)"""
+
+
+def highlights(s, d):
+    """From the nations on."""
+    seeds = adapters.table(s, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("name"))
+    return lookups.highlighted(seeds, adapters.layered_edges(s, d))
+
+
+HIGHLIGHTS = f"""WITH RECURSIVE {base.LAYERS}, up AS (SELECT 'N' || n_nationkey AS name, 0 AS hop FROM nation UNION SELECT l.dst, u.hop + 1 FROM up u JOIN layers l ON l.src = u.name),
+down AS (SELECT 'N' || n_nationkey AS name, 0 AS hop FROM nation UNION SELECT l.src, u.hop + 1 FROM down u JOIN layers l ON l.dst = u.name)
+SELECT name, min(hop)::INTEGER AS hop, 'upstream' AS side FROM up GROUP BY 1 HAVING min(hop) > 0 UNION ALL SELECT name, min(hop)::INTEGER, 'downstream' FROM down GROUP BY 1 HAVING min(hop) > 0"""
+
+
+def namespaces(s, d):
+    """Regions and nations as namespaces around customers, and orders within those."""
+    t = lambda n: adapters.table(s, d, n)
+    rows = [
+        t("region").select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("namespace").alias("kind"), F.col("r_name").alias("name")),
+        t("nation").select(F.concat(F.lit("N"), "n_nationkey"), F.concat(F.lit("R"), "n_regionkey"), F.lit("namespace"), F.when(F.col("n_nationkey") % 7 == 0, "").otherwise(F.col("n_name"))),
+        t("customer").select(F.concat(F.lit("C"), "c_custkey"), F.concat(F.lit("N"), "c_nationkey"), F.when(F.col("c_custkey") % 2 == 0, "namespace").otherwise("class"), F.col("c_name")),
+        t("orders").select(F.concat(F.lit("O"), "o_orderkey"), F.concat(F.lit("C"), "o_custkey"), F.lit("method"), F.lit("run")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return lookups.qualified(out)
+
+
+NAMESPACES = """WITH n AS (SELECT 'N' || n_nationkey AS id, r_name AS around, CASE WHEN n_nationkey % 7 = 0 THEN r_name ELSE r_name || '::' || n_name END AS inside FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT 'C' || c_custkey AS id, inside AS around, CASE WHEN c_custkey % 2 = 0 THEN inside || '::' || c_name ELSE inside END AS inside FROM customer JOIN n ON n.id = 'N' || c_nationkey)
+SELECT 'R' || r_regionkey AS id, '' AS namespace FROM region UNION ALL SELECT id, around FROM n UNION ALL SELECT id, around FROM c UNION ALL SELECT 'O' || o_orderkey, coalesce(c.inside, '') FROM orders LEFT JOIN c ON c.id = 'C' || o_custkey"""
+
+
+def built_modules(s, d):
+    n, e = adapters.nodes(s, d), adapters.supply_edges(s, d)
+    found, edges = lookups.build_modules(grouping.with_module(n), e, grouping.entry_points(n, e))
+    counts = edges.groupBy(F.col("source").alias("module")).agg(F.count(F.lit(1)).alias("n_edges"))
+    return found.join(counts, "module", "left").select("module", "n_classes", "internal_edges", "seed", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
+
+
+BUILT = f"""SELECT m.module, m.n_classes, m.internal_edges, s.seed, coalesce(e.n, 0)::BIGINT AS n_edges FROM ({base._SQL['E3_modules']}) m LEFT JOIN ({base._SQL['E7_summary_seeds']}) s USING (module)
+LEFT JOIN (SELECT source, count(*) AS n FROM ({base._SQL['E6_module_edges']}) GROUP BY 1) e ON e.source = m.module"""
+
+QUERIES = {"J20_J21_class_summaries": class_summaries, "J24_module_summaries": module_summaries, "E12_E13_project": project, "E13_module_contexts": contexts, "J22_explained_chains": chains, "J23_class_digests": class_digests, "J23_chain_digests": chain_digests, "C11_path_subgraphs": path_subgraphs, "H16_highlights": highlights, "X6_namespaces": namespaces, "E8_built_modules": built_modules}
+SQL = {"J20_J21_class_summaries": CLASS_SUMMARIES, "J24_module_summaries": MODULE_SUMMARIES, "E12_E13_project": PROJECT, "E13_module_contexts": CONTEXTS, "J22_explained_chains": CHAINS, "J23_class_digests": CLASS_DIGESTS, "J23_chain_digests": CHAIN_DIGESTS, "C11_path_subgraphs": PATHS, "H16_highlights": HIGHLIGHTS, "X6_namespaces": NAMESPACES, "E8_built_modules": BUILT}
