@@ -23,14 +23,19 @@ PATTERNS = (
 )
 
 
+#: Where the words of a CamelCase name begin, runs of capitals kept together, and where one is told apart for searching.
+CAPITALS, CAPITALIZED = r"([A-Z]+(?=[A-Z][a-z])|[A-Z]+$)", r"([A-Z][a-z]+)"
+BOUNDARY = r"([a-z])([A-Z])|([A-Z]+)([A-Z][a-z])"
+
+
 def split_camel(name: Column) -> Column:
     """Words of a CamelCase name, runs of capitals kept together."""
-    runs = F.regexp_replace(name, r"([A-Z]+(?=[A-Z][a-z])|[A-Z]+$)", " $1")
-    return F.filter(F.split(F.regexp_replace(runs, r"([A-Z][a-z]+)", " $1"), r"\s+"), lambda w: w != "")
+    spaced = F.regexp_replace(F.regexp_replace(name, CAPITALS, " $1"), CAPITALIZED, " $1")
+    return F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
 
 
 def expand_camel(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"([a-z])([A-Z])|([A-Z]+)([A-Z][a-z])", "$1$3 $2$4"))
+    return F.lower(F.regexp_replace(name, BOUNDARY, "$1$3 $2$4"))
 
 
 def sanitize_id(name: Column) -> Column:

@@ -100,11 +100,11 @@ def glob_regex(pattern: str) -> str:
 def excluded(path: Column, patterns: list[str]) -> Column:
     """Whether a relative path, some folder of it, or any one component matches a pattern; backslashes part components, too.
 
-    A pattern that ends in / matches no path, as no path ends so.
+    A pattern that ends in / stands for the folder of that name.
     """
     hit, path = F.lit(False), F.replace(path, F.lit("\\"), F.lit("/"))
     for p in patterns:
-        p = p.replace("\\", "/")
+        p = p.replace("\\", "/").rstrip("/")
         hit = hit | path.rlike(glob_regex(p)) | path.rlike(glob_regex(f"**/{p}")) | path.rlike(glob_regex(f"{p}/**"))
         hit = hit | _some_part(path, glob_regex(p))
     return hit

@@ -57,11 +57,12 @@ def aliases(name: Column, table: dict[str, str] = ALIASES) -> Column:
     return F.coalesce(*found)
 
 
-#: The columns that ``entry_text`` reads, each optional but the name.
+#: The columns that make the text of an entry, in order, each optional but the name, and the signs that part their words.
 ENTRY = {
     "namespace": "string", "responsibility": "string", "attributes": "array<string>", "interfaces": "array<string>", "methods": "array<struct<signature:string,used_types:array<string>>>",
     "bases": "array<string>", "deps": "array<struct<target:string,type:string>>", "template_params": "array<string>",
 }
+SIGNS, FIELD_SIGNS = r"[()<>,*&]", r"[()<>,*&+\-#]"
 
 
 def entry_text(entries: DataFrame, name: str = "name") -> Column:
@@ -69,7 +70,7 @@ def entry_text(entries: DataFrame, name: str = "name") -> Column:
     col = {c: (F.col(c) if c in entries.columns else F.lit(None)).cast(t) for c, t in ENTRY.items()}
     own = F.coalesce(F.col(name), F.lit(""))
     spaced = lambda c: F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")
-    plain = lambda c: F.regexp_replace(c, r"[()<>,*&]", " ")
+    plain = lambda c: F.regexp_replace(c, SIGNS, " ")
     one = lambda c: F.array(F.nullif(c, F.lit("")))
     each = lambda c, f: F.flatten(F.transform(col[c], f))
     other = aliases(own)
@@ -78,7 +79,7 @@ def entry_text(entries: DataFrame, name: str = "name") -> Column:
         F.array(F.when(spaced(own) != own, spaced(own)), other, F.regexp_replace(other, "([一-鿿぀-ヿ])", " $1 ")),
         one(F.replace(col["namespace"], F.lit("::"), F.lit(" "))),
         one(col["responsibility"]),
-        F.transform(col["attributes"], lambda a: F.regexp_replace(a, r"[()<>,*&+\-#]", " ")),
+        F.transform(col["attributes"], lambda a: F.regexp_replace(a, FIELD_SIGNS, " ")),
         each("interfaces", lambda i: F.array(plain(i), F.nullif(expand_camel(F.regexp_extract(i, r"(\w+)\s*\(", 1)), F.lit("")))),
         each("methods", lambda m: F.concat(one(plain(m["signature"])), F.flatten(F.transform(F.coalesce(m["used_types"], F.array().cast("array<string>")), lambda t: F.array(F.substring_index(t, "::", -1), expand_camel(F.substring_index(t, "::", -1))))))),
         each("bases", lambda b: F.array(b, spaced(b))),
