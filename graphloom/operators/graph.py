@@ -39,6 +39,20 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows whose measured size is below this are broadcast.
+SMALL = "10MB"
+
+
+def measure_joins(spark: SparkSession) -> None:
+    """Let joins of this session broadcast by measured sizes only.
+
+    Estimates go by the compressed size of files and don't see what an explode adds, so they broadcast tables of
+    millions of rows through the driver; the sizes that adaptive execution measures are those of the rows.
+    """
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", SMALL)
+
+
 def reverse_deps(edges: DataFrame) -> DataFrame:
     """name, dependents (sorted, distinct): inverted edges without empty ends and self loops."""
     ok = edges.filter("src <> '' AND dst <> '' AND src <> dst")
