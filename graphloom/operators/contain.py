@@ -54,6 +54,42 @@ def containing(needles: DataFrame, hays: DataFrame, most: int = 3) -> DataFrame:
     return held.join(known(keys), "gram").filter(F.col("hay").contains(F.col("needle"))).drop("gram").join(needles, "needle")
 
 
+def containing_passages(needles: DataFrame, hays: DataFrame, most: int = 6) -> DataFrame:
+    """As ``containing``, for needles of several words in long hays.
+
+    Words that have a blank on both sides in a needle are whole words, in the same order, of every hay that contains it. So a needle is
+    looked up by the hash of ``most`` such words in a row, those that fewest hays have, and hays by their words instead of
+    their characters. Needles of less than three words go by their grams.
+    """
+    needles = needles.filter("needle <> ''")
+    distinct = keep(needles.select("needle").distinct().withColumn("inner", F.split("needle", " ")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0)))))
+    short, long = distinct.filter("size(inner) = 0").select("needle"), distinct.filter("size(inner) > 0")
+    few = containing(needles.join(short, "needle", "left_semi"), hays) if not short.isEmpty() else None
+
+    def runs(words: Column, size: Column) -> Column:
+        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size))))
+
+    size = F.least(F.size("inner"), F.lit(most))
+    own = keep(long.withColumn("size", size).withColumn("run", F.explode(runs(F.col("inner"), size))))
+    wanted = keep(own.select("run").distinct())
+    sizes = [r[0] for r in own.select("size").distinct().collect()]  # ``most`` numbers
+    many = wanted.count()
+    if not sizes:
+        return few if few is not None else needles.limit(0).join(hays.limit(0), F.lit(True))
+    of_hay = F.flatten(F.transform(F.array(F.split("hay", " ")), lambda words: F.flatten(F.array(*[runs(words, F.lit(k)) for k in sorted(sizes)]))))
+    held = hays.filter("hay <> ''").withColumn("run", F.explode(of_hay))
+
+    def known(listed: DataFrame) -> DataFrame:
+        return F.broadcast(listed) if many <= GRAMS else listed
+
+    counts = keep(held.join(known(wanted), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("n")))
+    rarest = own.join(counts, "run").groupBy("needle").agg(F.min(F.struct("n", "run")).alias("best"))
+    keys = keep(rarest.select("needle", "best.run"))
+    found = held.join(known(keys), "run").filter(F.col("hay").contains(F.col("needle"))).drop("run").join(needles, "needle")
+    return found if few is None else found.unionByName(few)
+
+
 def _first(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """The first ``limit`` names of each key by (ord, name)."""
     return rows.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("ord", "name"))).filter(F.col("r") <= limit).drop("r")

@@ -120,8 +120,8 @@ class Index:
 
     @property
     def postings(self) -> DataFrame:
-        """doc, term, w: weights of vectors scaled to length 1."""
-        return self.weights.join(self.norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+        """doc, term, w: weights of vectors scaled to length 1, document by document."""
+        return self.weights.select("doc", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc")))).alias("w"))
 
     def save(self, path: str) -> None:
         for name in ("weights", "norms", "idf"):
@@ -136,16 +136,27 @@ class Index:
 TERMS = 200_000
 
 
+#: Characters of text that one task of an index takes, about: its counts stay in memory.
+CHARS = 4_000_000
+
+
+def by_document(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """``docs`` spread by ``doc`` over as many tasks as their text needs, so that what is grouped by document moves no more."""
+    total = docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
+    return docs.select(doc, text).repartition(1 + total // CHARS, doc)
+
+
 def build_index(docs: DataFrame, doc: str = "doc", text: str = "text", max_features: int = 50_000) -> Index:
-    """The index of ``docs``. Counts are made once and written; weights follow from them and the broadcast idf without a shuffle."""
-    counts = keep(term_counts(docs, doc, text))
+    """The index of ``docs``. Texts move once for each use, their many terms don't: they are counted where the text is, and meet the broadcast idf there."""
+    docs = by_document(docs, doc, text)
+    counts = term_counts(docs, doc, text)
     n = docs.select(F.col(doc)).distinct().agg(F.count(F.lit(1)).alias("docs"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
     df = df.orderBy(F.desc("total"), "term").limit(max_features)
     idf = keep(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))  # n is one row
     known = F.broadcast(idf) if max_features <= TERMS else idf
     weights = counts.join(known, "term").select("doc", "term", ((1 + F.log("n")) * F.col("idf")).alias("w"))
-    norms = keep(weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+    norms = weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return Index(weights, norms, idf)
 
 

@@ -13,3 +13,26 @@ def test_estimates_broadcast_nothing_in_method_queries(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
     found = entry.queries()["H13_method_field_accessors"](spark, SF)
     assert "Broadcast" not in plan(found) and "SortMergeJoin" in plan(found)
+
+
+def test_passages_are_found_where_their_characters_are(spark):
+    from graphloom.operators import contain
+
+    needles = ["a b", "b", "one two three", "ne two thr", "two  three four", " x ", "one two three four five six seven eight nine ten", "", None, "a b c d", "zz yy xx"]
+    hays = ["one two three", "zone two threes", "in two  three four", "a x b", "so one two three four five six seven eight nine tenth", "a b c d a b c d", None, "", "one  two three"]
+    n = spark.createDataFrame(list(enumerate(needles)), "n int, needle string")
+    h = spark.createDataFrame(list(enumerate(hays)), "h int, hay string")
+    want = sorted((i, j) for i, x in enumerate(needles) if x for j, y in enumerate(hays) if y and x in y)
+    for most in (1, 3, 6):
+        assert sorted((r["n"], r["h"]) for r in contain.containing_passages(n, h, most).collect()) == want
+    assert sorted((r["n"], r["h"]) for r in contain.containing_passages(n.filter("n < 2"), h).collect()) == [p for p in want if p[0] < 2]
+
+
+def test_terms_are_counted_where_the_text_is(spark, tmp_path):
+    from graphloom.operators import text
+
+    docs = spark.createDataFrame([(1, "red fish blue fish"), (2, "one fish"), (3, None)], "doc long, text string")
+    index = text.build_index(docs)
+    for rows in (index.weights, text.top_terms(index, 2)):
+        assert plan(rows).count("Exchange hashpartitioning(doc") <= 1
+    assert {(r["doc"], r["rank"]) for r in text.top_terms(index, 2).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
