@@ -55,34 +55,77 @@ def method_index(methods: DataFrame) -> DataFrame:
     return rows.groupBy("class", "name").agg(F.min_by("signature", "place").alias("signature"))
 
 
+def _named_steps(owners: DataFrame, methods: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """caller, of, node, mark; and node, step, class, method, kind, is_write, line, file, next, next_mark: the steps of each method under each name of its class.
+
+    ``node`` numbers a (class, method) that has steps, ``mark`` what both make together, class::method. ``next`` is the called one's number; fields and methods without steps have none.
+    """
+    steps = steps.filter("target <> '_meta_'").select(F.col("class").alias("owner"), "signature", "step", "target", "member", "kind", "is_write", "line")
+    bodies = method_index(methods).select(F.col("class").alias("owner"), F.col("name").alias("of"), "signature")
+    names = owners.select(F.col("key").alias("caller"), F.col("class").alias("owner"))
+    target = F.when(F.col("target") == "_self_", F.col("caller")).otherwise(F.col("target"))
+    rows = bodies.join(steps, ["owner", "signature"]).join(names, "owner").select("caller", "of", F.struct(F.col("step").cast("int").alias("step"), target.alias("class"), F.col("member").alias("method"), "kind", "is_write", "line").alias("s"))
+    bodies = keep(rows.groupBy("caller", "of").agg(F.collect_list("s").alias("s")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = keep(bodies.select("caller", "of", "node").withColumn("mark", F.min("node").over(W.partitionBy(F.concat_ws("::", "caller", "of")))))
+    of_class = nodes.groupBy(F.col("caller").alias("class")).agg(F.map_from_entries(F.collect_list(F.struct("of", F.struct("node", "mark")))).alias("nodes"))
+    known = owners.select(F.col("key").alias("class"), "file").join(of_class, "class", "left")
+    ahead = F.when(F.col("kind") != "field", F.try_element_at("nodes", F.col("method")))
+    found = bodies.select("node", F.inline("s")).join(known, "class", "left").withColumn("ahead", ahead)
+    return nodes, keep(found.select("node", "step", "class", "method", "kind", "is_write", "line", "file", F.col("ahead.node").alias("next"), F.col("ahead.mark").alias("next_mark")))
+
+
+def _ways(starts: DataFrame, edges: DataFrame, depth: int) -> list[DataFrame]:
+    """The ways of 0, 1, ... ``depth`` steps from ``starts`` (node, mark, ...) to methods that aren't on them yet: all columns of ``starts``, path (steps), seen (marks before the last)."""
+    onward = edges.filter("next IS NOT NULL").select("node", "step", "next", "next_mark")
+    levels = [starts.withColumns({"path": F.expr("CAST(array() AS array<int>)"), "seen": F.expr("CAST(array() AS array<bigint>)")})]
+    columns = [c for c in levels[0].columns if c not in ("path", "seen", "node", "mark")]
+    while len(levels) <= depth:
+        grown = levels[-1].join(onward, "node").withColumn("seen", F.array_append("seen", F.col("mark"))).filter(~F.array_contains("seen", F.col("next_mark")))
+        level = keep(grown.select(*columns, F.array_append("path", F.col("step")).alias("path"), "seen", F.col("next").alias("node"), F.col("next_mark").alias("mark")))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return levels
+
+
+def _steps_after(levels: list[DataFrame], edges: DataFrame) -> DataFrame:
+    """The steps after all ways of ``levels``."""
+    ways = levels[0]
+    for level in levels[1:]:
+        ways = ways.unionByName(level)
+    return ways.join(edges, "node").withColumns({"path": F.array_append("path", F.col("step")), "seen": F.array_append("seen", F.col("mark"))}).drop("node", "mark", "step", "next", "next_mark")
+
+
 def call_tree(starts: DataFrame, classes: DataFrame, methods: DataFrame, steps: DataFrame, max_depth: int = 10) -> DataFrame:
     """root_class, root_method, path, depth, class, method, kind, is_write, line, file.
 
     ``starts``: root_class, root_method. ``path`` has the step numbers from the root, whose path is empty. Field steps
     are leaves, and so are methods that are already on their path, unknown ones and those at ``max_depth``.
-    """
-    owners, bodies = keep(class_index(classes)), keep(method_index(methods))
-    steps = steps.filter("target <> '_meta_'").select("class", "signature", "step", "target", "member", "kind", "is_write", "line")
-    called = keep(bodies.join(steps, ["class", "signature"]).select(F.col("class").alias("owner"), F.col("name").alias("method"), "step", "target", "member", "kind", "is_write", "line"))
-
-    def shown(rows: DataFrame) -> DataFrame:
-        return rows.join(owners.select(F.col("key").alias("class"), F.col("class").alias("owner"), "file"), "class", "left")
 
+    The tree's rows don't move. Ways are grown from the roots down to half the depth, and from the methods met there, each
+    of them once, for the other half; joins put the steps to the ways, and the second halves to those first ones that share no method with them.
+    """
+    owners = keep(class_index(classes))
+    nodes, edges = _named_steps(owners, methods, steps)
     none = F.lit(None)
-    roots = starts.distinct().select("root_class", "root_method", F.expr("CAST(array() AS array<int>)").alias("path"), F.lit(0).alias("depth"), F.col("root_class").alias("class"), F.col("root_method").alias("method"), F.lit("call").alias("kind"), none.cast("boolean").alias("is_write"), none.cast("int").alias("line"), F.expr("CAST(array() AS array<string>)").alias("seen"))
-    level = keep(shown(roots))
-    out, depth = level, 0
-    own = F.concat_ws("::", "class", "method")
-    while depth < max_depth:
-        depth += 1
-        open_rows = level.filter((F.col("kind") != "field") & F.col("owner").isNotNull() & ~F.array_contains("seen", own)).withColumn("seen", F.array_append("seen", own))
-        grown = open_rows.select("root_class", "root_method", "path", "seen", "owner", "method", F.col("class").alias("caller")).join(called, ["owner", "method"])
-        grown = grown.select("root_class", "root_method", F.array_append("path", F.col("step").cast("int")).alias("path"), F.lit(depth).alias("depth"), F.when(F.col("target") == "_self_", F.col("caller")).otherwise(F.col("target")).alias("class"), F.col("member").alias("method"), "kind", "is_write", "line", "seen")
-        level = keep(shown(grown))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.select("root_class", "root_method", "path", "depth", "class", "method", "kind", "is_write", "line", "file")
+    roots = keep(starts.select("root_class", "root_method").distinct())
+    shown = roots.join(owners.select(F.col("key").alias("root_class"), "file"), "root_class", "left")
+    columns = ["root_class", "root_method", "path", "depth", "class", "method", "kind", "is_write", "line", "file"]
+    out = shown.withColumns({"path": F.expr("CAST(array() AS array<int>)"), "depth": F.lit(0), "class": F.col("root_class"), "method": F.col("root_method"), "kind": F.lit("call"), "is_write": none.cast("boolean"), "line": none.cast("int")}).select(columns)
+    if max_depth < 1:
+        return out
+    half = max_depth // 2
+    known = nodes.select(F.col("caller").alias("root_class"), F.col("of").alias("root_method"), "node", "mark")
+    first = _ways(keep(roots.join(known, ["root_class", "root_method"])), edges, half)
+    if half:
+        out = out.unionByName(_steps_after(first[:half], edges).withColumn("depth", F.size("path")).select(columns))
+    if len(first) > half:
+        ends = first[half].select("node", "mark").distinct()
+        rest = _ways(keep(ends.withColumn("start", F.col("node"))), edges, max_depth - half - 1)
+        rest = _steps_after(rest, edges).withColumnsRenamed({"path": "onward", "seen": "later", "start": "node"})
+        whole = first[half].drop("mark").join(rest, "node").filter(~F.arrays_overlap("seen", "later")).withColumn("path", F.concat("path", "onward"))
+        out = out.unionByName(whole.withColumn("depth", F.size("path")).select(columns))
+    return out
 
 
 def callers(classes: DataFrame, methods: DataFrame, steps: DataFrame, kind: str = "call") -> DataFrame:

@@ -36,3 +36,17 @@ def test_terms_are_counted_where_the_text_is(spark, tmp_path):
     for rows in (index.weights, text.top_terms(index, 2)):
         assert plan(rows).count("Exchange hashpartitioning(doc") <= 1
     assert {(r["doc"], r["rank"]) for r in text.top_terms(index, 2).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_rows_of_call_trees_do_not_move(spark, monkeypatch):
+    from graphloom import method_queries
+    from graphloom.operators import methods
+
+    kept, keep = [], methods.keep
+    monkeypatch.setattr(methods, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    started, parts = method_queries._made(spark, SF), method_queries._assembly(spark, SF)
+    shown = lambda df: sorted((r["root_class"], tuple(r["path"]), r["class"], r["method"]) for r in df.collect())
+    whole = shown(methods.call_tree(started, *parts))
+    assert sum(df.count() for df in kept if "path" in df.columns) < len(whole) / 2
+    for depth in (0, 1, 4):
+        assert shown(methods.call_tree(started, *parts, max_depth=depth)) == [r for r in whole if len(r[1]) <= depth]
