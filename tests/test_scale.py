@@ -50,3 +50,8 @@ def test_rows_of_call_trees_do_not_move(spark, monkeypatch):
     assert sum(df.count() for df in kept if "path" in df.columns) < len(whole) / 2
     for depth in (0, 1, 4):
         assert shown(methods.call_tree(started, *parts, max_depth=depth)) == [r for r in whole if len(r[1]) <= depth]
+
+
+def test_estimates_broadcast_nothing_in_caller_trees(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    assert "Broadcast" not in plan(entry.queries()["H5_method_caller_tree"](spark, SF))
