@@ -41,16 +41,20 @@ def keep(df: DataFrame) -> DataFrame:
 
 #: Rows whose measured size is below this are broadcast.
 SMALL = "10MB"
+#: What a task reads of a file and of a shuffle at most, as stored; in memory rows take a multiple of it.
+FILE_PART, SHUFFLE_PART = "16MB", "16MB"
 
 
 def measure_joins(spark: SparkSession) -> None:
-    """Let joins of this session broadcast by measured sizes only.
+    """Let joins of this session broadcast by measured sizes only, and bound what one task takes.
 
     Estimates go by the compressed size of files and don't see what an explode adds, so they broadcast tables of
     millions of rows through the driver; the sizes that adaptive execution measures are those of the rows.
     """
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", SMALL)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", FILE_PART)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHUFFLE_PART)
 
 
 def reverse_deps(edges: DataFrame) -> DataFrame:

@@ -55,3 +55,10 @@ def test_rows_of_call_trees_do_not_move(spark, monkeypatch):
 def test_estimates_broadcast_nothing_in_caller_trees(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
     assert "Broadcast" not in plan(entry.queries()["H5_method_caller_tree"](spark, SF))
+
+
+def test_tasks_of_graph_queries_take_bounded_parts(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128MB")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+    entry.queries()["J8_relations"](spark, SF)
+    assert [spark.conf.get(f"spark.sql.{k}") for k in ("files.maxPartitionBytes", "adaptive.advisoryPartitionSizeInBytes")] == ["16MB", "16MB"]
