@@ -123,7 +123,7 @@ def heuristics(s, d):
 
 def enriched(s, d):
     """The second of two runs, which asks for nothing."""
-    entries, degrees = _entries(s, d)
+    entries, degrees = map(graph.keep, _entries(s, d))
     store = _store(s)
     enrich.enrich_classes(entries, degrees, store)
     again = enrich.enrich_classes(entries, degrees, store)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..sources.snapshots import Store
+from .graph import keep
 
 #: Takes prompts and gives as many answers, JSON text or None.
 Ask = Callable[[list[str]], list[str | None]]
@@ -155,8 +156,8 @@ def _memoised(rows: DataFrame, store: Store, ref: str, ask: Ask | None, said: Ca
     misses = rows.join(memo(), "hash", "left_anti").dropDuplicates(["hash"])
     count = misses.count()
     if count:
-        answers = asked(misses, ask) if ask else misses.select("hash", F.lit(None).cast("string").alias("answer"))
-        new = said(misses.join(answers, "hash")).select("hash", *(F.col(n).cast(k) for n, k in kinds))
+        answered = misses.join(asked(misses, ask), "hash") if ask else misses.withColumn("answer", F.lit(None).cast("string"))
+        new = said(answered).select("hash", *(F.col(n).cast(k) for n, k in kinds))
         store.publish(ref, {"memo": new if keep_all else new.filter("by_model")}, append=True)
     own = {n: f"own_{n}" for n, _ in kinds if f"own_{n}" in rows.columns}
     out = rows.join(memo(), "hash", "left")
@@ -179,7 +180,7 @@ def class_prompt() -> Column:
 def enrich_classes(entries: DataFrame, in_degrees: DataFrame, store: Store, ask: Ask | None = None, ref: str = "classes") -> Enriched:
     """``entries`` with intent, tradeoffs, risk, pattern, hash and by_model; the rules' words are remembered, too, where an answer isn't sound."""
     fields = ("intent", "tradeoffs", "risk", "pattern")
-    rows = heuristics(entries, in_degrees).withColumnsRenamed({f: f"own_{f}" for f in fields}).withColumn("hash", entry_hash())
+    rows = keep(heuristics(entries, in_degrees).withColumnsRenamed({f: f"own_{f}" for f in fields}).withColumn("hash", entry_hash()))  # read for each count, look-up and result
     rows = rows.withColumn("prompt", class_prompt())
 
     def said(found: DataFrame) -> DataFrame:

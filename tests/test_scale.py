@@ -62,3 +62,14 @@ def test_tasks_of_graph_queries_take_bounded_parts(spark):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
     entry.queries()["J8_relations"](spark, SF)
     assert [spark.conf.get(f"spark.sql.{k}") for k in ("files.maxPartitionBytes", "adaptive.advisoryPartitionSizeInBytes")] == ["16MB", "16MB"]
+
+
+def test_enrichment_reads_its_rows_from_where_they_were_kept(spark, tmp_path):
+    from graphloom.operators import enrich
+    from graphloom.sources.snapshots import Store
+
+    rows = spark.createDataFrame([(i, f"Gear{i}Pool", "Unknown", ["f()"], [], [("A", "aggregation")]) for i in range(4)], "ord int, name string, responsibility string, interfaces array<string>, bases array<string>, deps array<struct<target:string,type:string>>")
+    degrees = rows.groupBy("name").count().selectExpr("name", "count AS in_degree")
+    found = enrich.enrich_classes(rows, degrees, Store(spark, f"file://{tmp_path}/store"))
+    assert (found.total, found.asked, found.rows.count()) == (4, 4, 4)
+    assert "Aggregate(keys=[name" not in plan(found.rows)
