@@ -99,10 +99,10 @@ def anchors(logs: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
     """log, name: the first ``limit`` entries (name, namespace, ord) that a log (log, text) points to.
 
     A word of four letters or more points to a name that it contains, to a name that contains it, and to the names of a namespace that contains it.
-    Since only the first names of a log count, each word keeps its first ones only.
+    Since only the first names of a log count, each word keeps its first ones only, and brings them to its logs as one row.
     """
-    words = logs.select("log", F.explode(F.array_distinct(F.filter(F.split("text", "[^a-zA-Z0-9_:]+"), lambda w: F.length(w) >= 4))).alias("w"))
-    words = keep(words)
+    text = F.array_distinct(F.filter(F.split("text", "[^a-zA-Z0-9_:]+"), lambda w: F.length(w) >= 4))
+    words = logs.select("log", F.explode(text).alias("w"))
     distinct = keep(words.select("w").distinct())
     names = keep(entries.filter("name <> ''").groupBy("name").agg(F.min("ord").alias("ord")))
     spaces = _first(entries.filter("namespace <> '' AND name <> ''").select("namespace", "name", "ord").distinct(), "namespace", limit)
@@ -111,7 +111,9 @@ def anchors(logs: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
     spaced = containing(distinct.select(F.col("w").alias("needle")), spaces.select(F.col("namespace").alias("hay")).distinct())
     spaced = spaced.join(spaces, spaced["hay"] == spaces["namespace"]).select(F.col("needle").alias("w"), "name", "ord")
     hit = _first(found.unionByName(inside).unionByName(spaced).distinct(), "w", limit)
-    return _first(words.join(hit, "w").select("log", "name", "ord").distinct(), "log", limit).select("log", "name")
+    hit = keep(hit.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("names")))
+    firsts = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), 1, limit)
+    return words.join(hit, "w").groupBy("log").agg(firsts.alias("names")).select("log", F.explode("names.name").alias("name"))
 
 
 def entry_tokens(name: Column, namespace: Column, responsibility: Column, interfaces: Column, targets: Column) -> Column:

@@ -73,3 +73,15 @@ def test_enrichment_reads_its_rows_from_where_they_were_kept(spark, tmp_path):
     found = enrich.enrich_classes(rows, degrees, Store(spark, f"file://{tmp_path}/store"))
     assert (found.total, found.asked, found.rows.count()) == (4, 4, 4)
     assert "Aggregate(keys=[name" not in plan(found.rows)
+
+
+def test_names_of_a_word_come_to_its_logs_as_one_row(spark):
+    from graphloom.operators import contain
+
+    logs = spark.createDataFrame([(i, f"line: P{i} by S{i % 3}00 indo") for i in range(30)], "log int, text string")
+    entries = spark.createDataFrame([(f"S{i}00", "indonesia", i) for i in range(15)] + [("line", "", 3)], "name string, namespace string, ord int")
+    found = contain.anchors(logs, entries)
+    assert "Window" not in plan(found)
+    rows = [(r["log"], r["name"]) for r in found.collect()]
+    want = sorted([(i, f"S{i}00") for i in range(15)] + [(3, "line")])[:10]
+    assert sorted(rows) == sorted((log, name) for log in range(30) for _, name in want)
