@@ -14,8 +14,8 @@ shards as rows in a shard, so a hot one is spread.
 
 Defined cases: a null text is the empty text, which is one piece holding only
 the closing id. Rows that repeat an id are packed as documents of their own, ties
-in any order; a null id is one more value. A very long text is tokenized chunk by
-chunk in its own task, and known chunks are kept up to ``CHUNK_BYTES``. An
+in any order; a null id is one more value. A very long text is tokenized by its
+chunks in its own task, and known chunks are kept up to ``CHUNK_BYTES``. An
 empty table gives an empty result. Extra columns don't matter.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ _LOADED: dict[str, ChunkIds] = cache("chunks")
 CHUNKS_KEPT = 500_000
 #: Longer chunks are tokenized each time, so the ones kept take bounded memory.
 CHUNK_BYTES = 64
+#: New chunks that the tokenizer takes in one call at most.
+TOGETHER = 10_000
 
 
 def default_tokenizer() -> str:
@@ -48,29 +51,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A run of ASCII symbols at a chunk's end, after an ASCII or Latin-1 letter. Apostrophes stay, as the tokenizer takes them with letters.
+_END = re.compile(rb"([!-&(-/:-@\[-`{-~](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*)(?=\s|\Z)")
+
+
 class ChunkIds(dict):
     """Ids of the chunks between blanks, as little-endian 32-bit bytes.
 
-    The tokenizer never joins characters across a blank, so a text's ids are
-    those of its chunks in a row. A chunk that ends in one full stop or comma
-    after an ASCII letter splits there too. Past ``CHUNKS_KEPT`` entries, new
-    chunks are still tokenized but no longer kept.
+    The tokenizer never joins characters across a blank, nor letters and the symbols after them, so
+    a text's ids are those of its chunks in a row, and symbols at a chunk's end are a chunk of their own.
+    The new chunks of a text are tokenized in one call. Past ``CHUNKS_KEPT`` entries, they
+    are still tokenized but no longer kept.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
 
+    def of(self, text: bytes) -> bytes:
+        """The ids of a whole text; one with ``<|`` may hold special tokens and is cut at blanks only."""
+        chunks = text.split() if b"<|" in text else _END.sub(rb" \1", text.lower()).split()
+        new = [c for c in set(chunks) if c not in self]
+        if not new:
+            return b"".join(map(self.__getitem__, chunks))
+        own: dict[bytes, bytes] = {}
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
+            own.update((c, np.array(f.ids, dtype="<u4").tobytes()) for c, f in zip(part, found, strict=True))
+        kept = [c for c in new if len(c) <= CHUNK_BYTES][: CHUNKS_KEPT - len(self)]
+        self.update((c, own[c]) for c in kept)
+        if len(kept) == len(new):
+            return b"".join(map(self.__getitem__, chunks))
+        return b"".join([own[c] if c in own else self[c] for c in chunks])
+
     def __missing__(self, chunk: bytes) -> bytes:
-        if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalpha():
-            return self[chunk[:-1]] + self[chunk[-1:]]
-        low = chunk if b"<|" in chunk else chunk.lower()
-        if low != chunk:
-            return self[low]
-        ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) < CHUNKS_KEPT and len(chunk) <= CHUNK_BYTES:
-            self[chunk] = ids
-        return ids
+        return self.of(chunk)
 
 
 def chunk_ids(path: str) -> ChunkIds:
@@ -91,7 +107,7 @@ def _cut(path: str, capacity: int):
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ids = b"".join(map(known.__getitem__, (text.as_py() or b"").split())) + end
+                ids = known.of(text.as_py() or b"") + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for column, value in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -220,3 +220,32 @@ def test_queries_agree_with_their_sql(spark, query):
     names = ", ".join(got.columns)
     want = con.sql(f"SELECT {names} FROM ({oracle_sql()[query.__name__]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect()) and want
+
+
+def test_new_chunks_of_a_text_are_tokenized_in_one_call():
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm import packing
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.calls = tokenizer, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.tokenizer, name)
+
+    path = packing.default_tokenizer()
+    whole = packing.chunk_ids(path).tokenizer
+    known = packing._LOADED[path] = packing.ChunkIds(Counted(whole))
+    texts = ["Rädchen*** rädchen%%% Gear.$$$ gear, x×** don't' a.b. 3**  **", "", "<|endoftext|>. Gear*** X<|y", "gear"]
+    try:
+        (found,) = packing._cut(path, 2048)(iter([pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], names=["doc_id", "text"])]))
+        assert known.tokenizer.calls == 2
+        assert "rädchen".encode() in known and not any(c.startswith("rädchen*".encode()) for c in known)
+        for text in texts:
+            assert known.of(text.encode()) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert found.column("length").to_pylist() == [len(whole.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    finally:
+        del packing._LOADED[path]
