@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, text_of, tidy
+from ._common import give_back, held_out, text_of, tidy
 
 BUCKETS = 1 << 15
 WIDTH = 16
@@ -65,9 +65,10 @@ def subwords(text: bytes) -> Iterator[np.ndarray]:
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The text's buckets and how often each is in it."""
     parts = [np.zeros(0, np.uint32), *subwords(text)]
     found, n = np.unique(np.concatenate(parts), return_counts=True)
-    return found.astype(np.int64), n / max(1, n.sum())
+    return found.astype(np.int16), n.astype(np.int32)
 
 
 @dataclass
@@ -110,11 +111,10 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, (a, b) in enumerate(places):
                 piece = text[a:b] if part == 0 else text[a:b].rpartition(b" ")[0] or text[a:b]
                 if has_letter(piece.decode(errors="ignore").encode()):
-                    found, share = bag(piece)
-                    rows.append((lang, rank, part, part == 1 or len(text) < LONG, found.tolist(), share.tolist()))
+                    rows.append((lang, rank, part, part == 1 or len(text) < LONG, *bag(piece)))
         cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "rank", "part", "short", "found", "share"])
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int16()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "rank", "part", "short", "found", "n"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, seed: int = 1) -> Model | None:
@@ -129,12 +129,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, int(min(1.0, 1.2 * per_lang / n) * (1 << 30))).otherwise(limit)
     sample = known.filter(F.col("rank") < limit).select("lang", "rank", "text")
-    table = sample.mapInArrow(tidy(_bags), "lang string, rank long, part int, short boolean, found array<long>, share array<double>").toArrow()
-    found, share = (_split(table.column(c)) for c in ("found", "share"))
-    rows = [dict(zip(("lang", "rank", "part", "short", "found", "share"), r, strict=True)) for r in zip(*(table.column(i).to_pylist() for i in range(4)), found, share, strict=True)]
+    table = sample.mapInArrow(tidy(_bags), "lang string, rank long, part int, short boolean, found array<short>, n array<int>").toArrow()
+    found, many = (_split(table.column(c)) for c in ("found", "n"))
+    rows = [dict(zip(("lang", "rank", "part", "short", "found", "share"), (*r, n / max(1, n.sum())), strict=True)) for *r, n in zip(*(table.column(i).to_pylist() for i in range(4)), found, many, strict=True)]
+    del table, many
     kept = {lang: set(sorted({r["rank"] for r in rows if r["lang"] == lang})[:per_lang]) for lang in counts}
     rows = sorted((r for r in rows if r["rank"] in kept[r["lang"]]), key=lambda r: (r["lang"], r["rank"], r["part"], len(r["found"])))
-    return fitted(rows, seed) if rows else None
+    model = fitted(rows, seed) if rows else None
+    del rows, found
+    give_back()  # the driver goes on with other stages
+    return model
 
 
 def _split(lists: pa.ChunkedArray) -> list[np.ndarray]:

@@ -249,3 +249,14 @@ def test_new_chunks_of_a_text_are_tokenized_in_one_call():
         assert found.column("length").to_pylist() == [len(whole.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
     finally:
         del packing._LOADED[path]
+
+
+def test_language_sample_comes_to_the_driver_as_counts(spark, monkeypatch):
+    from graphloom.llm import langid
+
+    sizes, split = [], langid._split
+    monkeypatch.setattr(langid, "_split", lambda lists: sizes.append(lists.type.value_type.bit_width) or split(lists))
+    given = []
+    monkeypatch.setattr(langid, "give_back", lambda: given.append(True))
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert sizes == [16, 32] and given and len(model.langs) == 4
