@@ -66,6 +66,8 @@ PERCENT = 75
 PIECE = 1024
 #: Tasks that ranges of chunk values are dealt to, at most; a task takes its ranges one at a time.
 TASKS = 1 << 15
+#: Rows of ids or slices that are broadcast at most.
+LISTED = 500_000
 #: What a set adds to the weight of a slice beside its shingles.
 OVERHEAD = 500
 
@@ -420,7 +422,7 @@ def _links(stars: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, tun
     per = materialize(per, "slices")
     at = F.when(F.col("lead"), F.pmod(F.xxhash64("member"), F.col("ahead"))).when(F.col("behind") == 0, 0).otherwise(F.col("ahead") + F.pmod(F.xxhash64("member"), F.greatest(F.col("behind"), F.lit(1))))
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("slice") >= F.col("ahead"), F.col("ahead") - 1).otherwise(F.col("ahead") + F.col("behind") - 1))
-    placed = stars.join(maybe_broadcast(per, per.count(), 500_000), "hub").withColumn("slice", at.cast("long")).withColumn("other", F.explode(others))
+    placed = stars.join(maybe_broadcast(per, per.count(), LISTED), "hub").withColumn("slice", at.cast("long")).withColumn("other", F.explode(others))
     placed = placed.select("hub", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "member", "lead", "label")
     texts = _texts_of(docs, stars.select(F.col("member").alias("id_"))).withColumnRenamed("id_", "member")
     rows = placed.join(texts, "member").select("hub", "i", "j", "slice", "lead", "label", "text")
@@ -469,9 +471,12 @@ def _sketched(source: DataFrame, percent: int, tuning: Tuning, common: Broadcast
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` (id_, text) of the listed ids (id_), each once."""
-    ids = materialize(ids.select("id_").distinct(), "ids")
-    return docs.join(maybe_broadcast(ids, ids.count(), 500_000), "id_", "left_semi").dropDuplicates(["id_"])
+    """``docs`` (id_, text) of the listed ids (id_), each once. ``ids`` are counted as they are; only where they are many are they made distinct before."""
+    ids, many = ids.select("id_"), ids.count()
+    if many > LISTED:
+        ids = materialize(ids.distinct(), "ids")
+        many = ids.count()
+    return docs.join(maybe_broadcast(ids, many, LISTED), "id_", "left_semi").dropDuplicates(["id_"])
 
 
 def _held(rows: DataFrame) -> DataFrame:
@@ -530,9 +535,12 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, percent: int, tu
     behind = behind.distinct().limit(tuning.common).toPandas()["shingle"].to_numpy(np.int64)  # so many numbers at most
     common = spark.sparkContext.broadcast(np.sort(behind.view(np.uint64)))
     again = _sketched(_texts_of(source, held.select(F.col("rep").alias("id_"))), percent, tuning, common)
-    hollow = again.filter("kind = 3 AND b % 2 = 1").select(F.col("a").alias("rep"), F.lit(True).alias("hollow")).distinct()
-    some = held.join(held.join(hollow, "rep", "left_semi").select("value").distinct(), "value", "left_semi").join(hollow, "rep", "left")
-    rest = _stars(_held(shared(again, labels)), F.lit(True)).unionByName(_stars(some, F.coalesce("hollow", F.lit(False))))
+    hollow = again.filter("kind = 3 AND b % 2 = 1").select(F.col("a").alias("rep"), F.lit(True).alias("hollow"))
+    rest = _stars(_held(shared(again, labels)), F.lit(True))
+    if not hollow.isEmpty():
+        hollow = hollow.distinct()
+        some = held.join(held.join(hollow, "rep", "left_semi").select("value").distinct(), "value", "left_semi").join(hollow, "rep", "left")
+        rest = rest.unionByName(_stars(some, F.coalesce("hollow", F.lit(False))))
     labels = materialize(components(links.unionByName(_links(rest, labelled(labels), source, percent, tuning))), "labels")
 
     named_rows = rows.join(classes.drop("short"), ["k1", "k2", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm import hard_negatives, quality, variants
+from graphloom.llm.components import components
 from graphloom.llm.queries import op11_spelling_variants, op12_hard_negatives, op13_quality_rules
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -260,3 +261,31 @@ def test_language_sample_comes_to_the_driver_as_counts(spark, monkeypatch):
     monkeypatch.setattr(langid, "give_back", lambda: given.append(True))
     model = langid.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     assert sizes == [16, 32] and given and len(model.langs) == 4
+
+
+def test_components_of_links_that_lie_together_take_few_stages(spark):
+    """Links are contracted where they lie: no round of shuffles for each step of a way."""
+    rng = np.random.default_rng(7)
+    ids = rng.permutation(6000).astype(int) - 3000
+    ways = [(int(ids[i]), int(ids[i + 1])) for i in range(5999) if i % 40]  # ways of 40 nodes, in no order
+    links = spark.createDataFrame(ways + ways[:100] + [(5, 5)], "a long, b long").repartition(3)
+    smallest = {}
+    for i in range(0, 6000, 40):
+        way = [int(x) for x in ids[i + 1 : i + 41]]
+        smallest |= {x: min(way) for x in way}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        found = components(links).collect()
+        stages = sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext.setJobGroup("others", "")
+    assert {r.node: r.label for r in found} == {x: smallest[x] for p in ways for x in p} and len(found) == len({x for p in ways for x in p})
+    assert stages <= 60, stages
+
+
+def test_components_where_contraction_stalls(spark):
+    """One link to a task, along a way: what contraction leaves, the stars do."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long").repartitionByRange(12, "a")
+    assert {(r.node, r.label) for r in components(links).collect()} == {(i, 0) for i in range(13)}
+    assert components(links.filter("a < 0")).collect() == []
