@@ -89,3 +89,22 @@ def test_names_of_a_word_come_to_its_logs_as_one_row(spark):
 
 def test_marks_of_steps_do_not_meet_in_one_task(spark):
     assert "IN (_self_,_meta_)" in plan(entry.queries()["C11_path_subgraphs"](spark, SF))
+
+
+def test_module_rules_are_one_pattern_each(spark):
+    """The rules are evaluated several times a row; as a condition for each name they made one task of a small file slow."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import grouping
+
+    names = ["std", "std::a", "stdx", "std:a", "google", "google::protobuf", "google::protobuf::a", "google::protobufx", "fmt", "a::std", "", None]
+    rows = spark.createDataFrame([(n, "vendored/a" if i % 2 else "src/vendor") for i, n in enumerate(names)], "name string, path string")
+    got = rows.select("name", grouping.third_party_namespace(F.col("name")).alias("ns"), grouping.third_party_directory(F.col("path")).alias("dir")).collect()
+    third = {"std", "std::a", "google::protobuf::a", "fmt"}
+    assert [r.ns for r in got] == [n in third if n is not None else None for n in names] and [r.dir for r in got] == [bool(i % 2) for i in range(len(names))]
+    nodes = spark.range(5).select(F.col("id").cast("string").alias("name"), F.concat(F.lit("n"), "id").alias("namespace"), F.concat(F.lit("d/"), "id").alias("file"))
+    plan = grouping.with_module(nodes)._jdf.queryExecution()
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 2500
