@@ -1,9 +1,9 @@
 """Which strings contain which: an inverted index of q-grams instead of a nested loop.
 
-A string that contains another contains all its q-grams. Every needle is looked up
-by one of its grams, the one that fewest haystacks have, and what is found is
-verified. Grams of haystacks leave their task only if some needle has them. Needles
-shorter than ``most`` use grams of their own length.
+A string that contains another contains all its q-grams. A needle of up to ``most``
+characters is a gram itself, so hays that have it are those that contain it. A longer one
+is looked up by one of its grams, the one that fewest haystacks have, and what is
+found is verified; grams of haystacks leave their task for it only if some needle has them.
 """
 
 from __future__ import annotations
@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 from ..functions.naming import tokens
 from .graph import keep
 
-#: Grams of needles that are broadcast at most; more are joined by a shuffle.
+#: Needles, or grams of them, that are broadcast at most; more are joined by a shuffle.
 GRAMS = 200_000
+#: Characters of the grams between names: few names are longer, so nearly all are looked up whole. Shorter grams meet more names the more there are.
+WHOLE = 16
 
 
 def _grams(text: Column, size: Column) -> Column:
-    """The distinct substrings of ``size`` code points; the text is cut into code points once, as finding the nth one in it takes n steps."""
-
-    def of(points: Column) -> Column:
-        starts = F.when(F.size(points) >= size, F.sequence(F.lit(1), F.size(points) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(points, i, size), "")))
-
-    return F.flatten(F.transform(F.array(F.split(text, "")), of))
+    """The distinct substrings of ``size`` code points; a long text is cut into code points once, as finding the nth one in it takes n steps."""
+    starts = lambda n: F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+    of = lambda points: F.transform(starts(F.size(points)), lambda i: F.array_join(F.slice(points, i, size), ""))
+    cut = F.flatten(F.transform(F.array(F.split(text, "")), of))
+    return F.array_distinct(F.when(F.length(text) <= 64, F.transform(starts(F.length(text)), lambda i: F.substring(text, i, size))).otherwise(cut))
 
 
 def containing(needles: DataFrame, hays: DataFrame, most: int = 3) -> DataFrame:
@@ -34,24 +34,32 @@ def containing(needles: DataFrame, hays: DataFrame, most: int = 3) -> DataFrame:
 
     Null and empty needles are contained in nothing. Comparison is case-sensitive. Column names must differ.
     """
-    needles = needles.filter("needle <> ''")
-    distinct = keep(needles.select("needle").distinct())
-    size = F.least(F.length("needle"), F.lit(most))
-    own = keep(distinct.withColumn("size", size).withColumn("gram", F.explode(_grams(F.col("needle"), F.col("size")))))
-    wanted = keep(own.select("gram").distinct())
-    sizes = [r[0] for r in own.select("size").distinct().collect()]  # ``most`` numbers
-    many = wanted.count()
-    if not sizes:
-        return needles.limit(0).join(hays.limit(0), F.lit(True))
-    held = hays.filter("hay <> ''").withColumn("gram", F.explode(F.flatten(F.array(*[_grams(F.col("hay"), F.lit(k)) for k in sorted(sizes)]))))
-
-    def known(listed: DataFrame) -> DataFrame:
+    needles, hays = needles.filter("needle <> ''"), hays.filter("hay <> ''")
+    counted = needles.groupBy(F.least(F.length("needle"), F.lit(most + 1)).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    rows = {r["size"]: r["n"] for r in counted.collect()}  # ``most`` numbers and one
+    columns = ["needle", *hays.columns, *(c for c in needles.columns if c != "needle")]
+    if not rows:
+        return needles.limit(0).join(hays.limit(0), F.lit(True)).select(columns)
+
+    def known(listed: DataFrame, many: int) -> DataFrame:
         return F.broadcast(listed) if many <= GRAMS else listed
 
-    counts = keep(held.join(known(wanted), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
-    rarest = own.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
-    keys = keep(rarest.filter("best.n > 0").select("needle", "best.gram"))
-    return held.join(known(keys), "gram").filter(F.col("hay").contains(F.col("needle"))).drop("gram").join(needles, "needle")
+    def held(sizes: list[int]) -> DataFrame:
+        return hays.withColumn("gram", F.explode(F.flatten(F.array(*[_grams(F.col("hay"), F.lit(k)) for k in sorted(sizes)]))))
+
+    out, whole = None, {k: n for k, n in rows.items() if k <= most}
+    if whole:
+        short = needles.filter(F.length("needle") <= most).withColumn("gram", F.col("needle"))
+        out = held(list(whole)).join(known(short, sum(whole.values())), "gram").select(columns)
+    if most + 1 in rows:
+        own = keep(needles.filter(F.length("needle") > most).select("needle").distinct().withColumn("gram", F.explode(_grams(F.col("needle"), F.lit(most)))))
+        wanted = keep(own.select("gram").distinct())
+        counts = keep(held([most]).join(known(wanted, wanted.count()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+        rarest = own.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+        keys = keep(rarest.filter("best.n > 0").select("needle", "best.gram"))
+        far = held([most]).join(known(keys, keys.count()), "gram").filter(F.col("hay").contains(F.col("needle"))).drop("gram").join(needles, "needle").select(columns)
+        out = far if out is None else out.unionByName(far)
+    return out
 
 
 def containing_passages(needles: DataFrame, hays: DataFrame, most: int = 6) -> DataFrame:
@@ -95,25 +103,33 @@ def _first(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("ord", "name"))).filter(F.col("r") <= limit).drop("r")
 
 
+#: A word that so many logs have is frequent. So many frequent words bring their names by a broadcast.
+FREQUENT, FREQUENT_WORDS = 100_000, 1000
+
+
 def anchors(logs: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
     """log, name: the first ``limit`` entries (name, namespace, ord) that a log (log, text) points to.
 
     A word of four letters or more points to a name that it contains, to a name that contains it, and to the names of a namespace that contains it.
     Since only the first names of a log count, each word keeps its first ones only, and brings them to its logs as one row.
     """
-    text = F.array_distinct(F.filter(F.split("text", "[^a-zA-Z0-9_:]+"), lambda w: F.length(w) >= 4))
+    text = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-zA-Z0-9_:]{4,}"), F.lit(0)))  # the pattern of a split is compiled for every row
     words = logs.select("log", F.explode(text).alias("w"))
-    distinct = keep(words.select("w").distinct())
+    distinct = keep(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     names = keep(entries.filter("name <> ''").groupBy("name").agg(F.min("ord").alias("ord")))
-    spaces = _first(entries.filter("namespace <> '' AND name <> ''").select("namespace", "name", "ord").distinct(), "namespace", limit)
-    found = containing(distinct.select(F.col("w").alias("needle")), names.withColumnRenamed("name", "hay")).select(F.col("needle").alias("w"), F.col("hay").alias("name"), "ord")
-    inside = containing(names.withColumnRenamed("name", "needle"), distinct.select(F.col("w").alias("hay"))).select(F.col("hay").alias("w"), F.col("needle").alias("name"), "ord")
-    spaced = containing(distinct.select(F.col("w").alias("needle")), spaces.select(F.col("namespace").alias("hay")).distinct())
-    spaced = spaced.join(spaces, spaced["hay"] == spaces["namespace"]).select(F.col("needle").alias("w"), "name", "ord")
-    hit = _first(found.unionByName(inside).unionByName(spaced).distinct(), "w", limit)
-    hit = keep(hit.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("names")))
-    firsts = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), 1, limit)
-    return words.join(hit, "w").groupBy("log").agg(firsts.alias("names")).select("log", F.explode("names.name").alias("name"))
+    spaces = keep(_first(entries.filter("namespace <> '' AND name <> ''").select("namespace", "name", "ord").distinct(), "namespace", limit))
+    found = containing(distinct.select(F.col("w").alias("needle")), names.withColumnRenamed("name", "hay"), WHOLE).select(F.col("needle").alias("w"), F.col("hay").alias("name"), "ord")
+    inside = containing(names.withColumnRenamed("name", "needle"), distinct.select(F.col("w").alias("hay")), WHOLE).select(F.col("hay").alias("w"), F.col("needle").alias("name"), "ord")
+    spaced = containing(distinct.select(F.col("w").alias("needle")), spaces.select(F.col("namespace").alias("hay")).distinct(), WHOLE)
+    spaced = spaced.join(spaces, spaced["hay"] == spaces["namespace"]).select(F.col("needle").alias("w"), "name", "ord").distinct()
+    hit = _first(found.unionByName(inside).unionByName(spaced), "w", 3 * limit).distinct()  # each of the three has a row once at most
+    hit = keep(_first(hit, "w", limit).groupBy("w").agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("names")))
+    frequent = keep(distinct.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).select("w"))
+    named = words.join(F.broadcast(frequent), "w", "left_anti").join(hit, "w")
+    named = named.unionByName(words.join(F.broadcast(keep(hit.join(F.broadcast(frequent), "w", "left_semi"))), "w"))
+    once = lambda found: F.filter(found, lambda x, i: ~x.eqNullSafe(F.get(found, i - 1)))
+    firsts = F.slice(F.flatten(F.transform(F.array(F.sort_array(F.flatten(F.collect_list("names")))), once)), 1, limit)
+    return named.groupBy("log").agg(firsts.alias("names")).select("log", F.explode("names.name").alias("name"))
 
 
 def entry_tokens(name: Column, namespace: Column, responsibility: Column, interfaces: Column, targets: Column) -> Column:
@@ -134,8 +150,8 @@ def relevant(queries: DataFrame, entries: DataFrame, limit: int = 20) -> DataFra
     sizes = asked.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
     held = keep(entries.select("name", "ord", F.explode("tokens").alias("t")))
     qs, ts = keep(asked.select("q").distinct()), keep(held.select("t").distinct())
-    within = containing(qs.withColumnRenamed("q", "needle"), ts.withColumnRenamed("t", "hay")).select(F.col("needle").alias("q"), F.col("hay").alias("t"))
-    around = containing(ts.withColumnRenamed("t", "needle"), qs.withColumnRenamed("q", "hay")).select(F.col("hay").alias("q"), F.col("needle").alias("t"))
+    within = containing(qs.withColumnRenamed("q", "needle"), ts.withColumnRenamed("t", "hay"), WHOLE).select(F.col("needle").alias("q"), F.col("hay").alias("t"))
+    around = containing(ts.withColumnRenamed("t", "needle"), qs.withColumnRenamed("q", "hay"), WHOLE).select(F.col("hay").alias("q"), F.col("needle").alias("t"))
     hit = held.join(within.unionByName(around).distinct(), "t").select("name", "ord", "q").distinct()
     scored = asked.join(hit, "q").groupBy("query", "name", "ord").agg(F.count(F.lit(1)).alias("n")).join(sizes, "query")
     scored = scored.select("query", "name", "ord", (F.col("n") / F.col("size")).alias("score"))

@@ -108,3 +108,20 @@ def test_module_rules_are_one_pattern_each(spark):
     plan = grouping.with_module(nodes)._jdf.queryExecution()
     code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen")
     assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 2500
+
+
+def test_needles_are_broadcast_by_their_own_number(spark, monkeypatch):
+    """Many names share few grams, so the number of grams tells nothing about how many needles go through the driver."""
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import contain
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(contain, "GRAMS", 1500)
+    names = spark.range(1000, 3000).select(F.concat(F.lit("P"), "id").alias("needle"))
+    words = spark.range(1000, 3000).select(F.concat(F.lit("xP"), "id", F.lit("0::f")).alias("hay"))
+    want = [(f"P{i}", f"xP{i}0::f") for i in range(1000, 3000)]
+    for most in (3, contain.WHOLE):
+        found = contain.containing(names, words, most)
+        assert "Broadcast" not in plan(found)
+        assert sorted((r["needle"], r["hay"]) for r in found.collect()) == want
