@@ -17,7 +17,9 @@ ways is there many times, up to ``max_depth``.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -217,65 +219,75 @@ def _holders(wanted: DataFrame, classes: DataFrame, methods: DataFrame) -> DataF
     return known.join(found.groupBy("class", "method").agg(F.min_by("signature", "place").alias("signature")), ["class", "method"], "left")
 
 
-def walk(start: tuple[str, str], known: set[tuple[str, str]], called: dict[tuple[str, str], list[tuple]], max_depth: int) -> list[tuple[str, str, str]]:
-    """(class, method, action) in depth-first order; a method is entered once, at the depth where it's first met."""
-    out, seen, stack = [], set(), [("enter", start, 0)]
-    while stack:
-        what, at, depth = stack.pop()
-        if what == "show":
-            out.append(at)
-            continue
-        if depth > max_depth or at in seen:
-            continue
-        seen.add(at)
-        if at not in known:
-            continue
-        out.append((*at, "call"))
-        todo = []
-        for target, member, kind, is_write in called.get(at, []):
-            action = "write" if is_write else "call" if kind == "call" else "read"
-            if target == "_self_":
-                todo.append(("show", (at[0], member, action), 0))
-            elif kind == "call":
-                todo.append(("enter", (target, member), depth + 1))
-            else:
-                todo.append(("show", (target, member, "write" if is_write else "read"), 0))
-        stack += reversed(todo)
+#: What a step is in a walk if it isn't the number of the method that it enters: a line of its own, or nothing.
+SHOWN, NOTHING = -1, -2
+
+
+def walk(start: int, called: dict[int, list[int]], max_depth: int) -> list[tuple[int, int]]:
+    """(method, nth step, or 0 for the method itself) in depth-first order; a method is entered once, at the depth where it's first met."""
+    out, seen, above = [(start, 0)], {start}, [(start, 0)]
+    while above:
+        node, i = above.pop()
+        steps = called[node]
+        while i < len(steps):
+            ahead, i = steps[i], i + 1
+            if ahead == SHOWN:
+                out.append((node, i))
+            elif ahead in called and ahead not in seen and len(above) < max_depth:
+                above.append((node, i))
+                out.append((ahead, 0))
+                seen.add(ahead)
+                node, i, steps = ahead, 0, called[ahead]
     return out
 
 
+def _numbered(holders: DataFrame, steps: DataFrame) -> DataFrame:
+    """node, called, said: of each method of ``holders`` (node, class, method, signature), what its steps enter, and class, method, action of each step."""
+    steps = steps.filter("target IS NOT NULL").select("class", "signature", "step", "target", "member", "kind", "is_write")
+    enters = F.coalesce((F.col("kind") == "call") & (F.col("target") != "_self_"), F.lit(False))
+    rows = keep(holders.drop("method").join(steps, ["class", "signature"]).withColumn("enters", enters))
+    known = holders.select(F.col("class").alias("target"), F.col("method").alias("member"), F.col("node").alias("ahead"))
+    rows = rows.filter("NOT enters").withColumn("ahead", F.lit(SHOWN).cast("long")).unionByName(rows.filter("enters").join(known, ["target", "member"], "left").withColumn("ahead", F.coalesce("ahead", F.lit(NOTHING).cast("long"))))
+    action = F.when(F.col("is_write"), "write").when(F.col("kind") == "call", "call").otherwise("read")
+    said = F.struct(F.when(F.col("target") == "_self_", F.col("class")).otherwise(F.col("target")).alias("class"), F.col("member").alias("method"), action.alias("action"))
+    ordered = F.sort_array(F.collect_list(F.struct("step", "target", "member", "ahead", said.alias("said"))))
+    bodies = rows.groupBy("node").agg(ordered.alias("s")).select("node", F.col("s.ahead").alias("called"), F.col("s.said").alias("said"))
+    return keep(holders.select("node").join(bodies, "node", "left").withColumn("called", F.coalesce("called", F.array().cast("array<bigint>"))))
+
+
 def flows(starts: DataFrame, classes: DataFrame, methods: DataFrame, steps: DataFrame, members: DataFrame, max_depth: int = 10, least: int = 2) -> DataFrame:
     """start_class, start_method, nth, class, method, module, action: the steps of each start's flow, if it has ``least`` of them.
 
-    ``starts``: start_class, start_method. ``members``: class, module. The calls within reach of each start are
-    joined level by level; each start's walk is then a group of its own, and holds what this one start reaches.
+    ``starts``: start_class, start_method. ``members``: class, module. Methods are numbers until the end. The calls within reach of each start are
+    joined level by level; what one start reaches is then a row, whose walk is told by method and step, and names come to it by a join.
     """
     wanted = steps.filter("kind = 'call' AND target <> '_self_'").select(F.col("target").alias("class"), F.col("member").alias("method")).unionByName(starts.select(F.col("start_class").alias("class"), F.col("start_method").alias("method")))
-    holders = keep(_holders(wanted, classes, methods))
-    called = keep(holders.join(steps.select("class", "signature", "step", "target", "member", "kind", "is_write"), ["class", "signature"]).drop("signature"))
-    level = keep(starts.distinct().select("start_class", "start_method", F.col("start_class").alias("class"), F.col("start_method").alias("method")))
+    holders = keep(_holders(wanted, classes, methods).withColumn("node", F.monotonically_increasing_id()))
+    bodies = _numbered(holders, steps)
+    onward = keep(bodies.select("node", F.explode(F.array_distinct(F.filter("called", lambda x: x >= 0))).alias("ahead")))
+    named = holders.select(F.col("node").alias("start"), F.col("class").alias("start_class"), F.col("method").alias("start_method"))
+    level = keep(named.join(starts.distinct(), ["start_class", "start_method"], "left_semi").select("start", F.col("start").alias("node")))
     reached, depth = level, 0
     while depth < max_depth:
         depth += 1
-        onward = level.join(called.filter("kind = 'call' AND target <> '_self_'"), ["class", "method"]).select("start_class", "start_method", F.col("target").alias("class"), F.col("member").alias("method")).distinct()
-        level = keep(onward.join(holders.select("class", "method"), ["class", "method"], "left_semi").join(reached, ["start_class", "start_method", "class", "method"], "left_anti"))
+        level = keep(level.join(onward, "node").select("start", F.col("ahead").alias("node")).distinct().join(reached, ["start", "node"], "left_anti"))
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
-    rows = reached.join(holders.select("class", "method"), ["class", "method"], "left_semi").join(called, ["class", "method"], "left")
-
-    def walked(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        ordered: dict[tuple[str, str], list[tuple]] = {}
-        for r in found.sort_values(["step", "target", "member"]).itertuples():
-            steps_of = ordered.setdefault((r[FIELDS["class"]], r[FIELDS["method"]]), [])
-            if isinstance(r[FIELDS["target"]], str):
-                steps_of.append((r[FIELDS["target"]], r[FIELDS["member"]], r[FIELDS["kind"]], bool(r[FIELDS["is_write"]]) if pd.notna(r[FIELDS["is_write"]]) else False))
-        out = walk(key, set(ordered), ordered, max_depth)
-        return pd.DataFrame([(*key, i, *s) for i, s in enumerate(out if len(out) >= least else [])], columns=["start_class", "start_method", "nth", "class", "method", "action"])
-
-    FIELDS = {c: i + 1 for i, c in enumerate(["start_class", "start_method", "class", "method", "step", "target", "member", "kind", "is_write"])}
-    rows = rows.select(*FIELDS)
-    found = rows.groupBy("start_class", "start_method").applyInPandas(walked, "start_class string, start_method string, nth int, class string, method string, action string")
+    rows = reached.join(bodies.select("node", "called"), "node").groupBy("start").agg(F.collect_list(F.struct("node", "called")).alias("r")).select("start", "r.node", "r.called")
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(start, walk(start, dict(zip(node, called, strict=True)), max_depth)) for start, node, called in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            found = [(start, out) for start, out in found if len(out) >= least]
+            columns = [[start for start, _ in found], [[n for n, _ in out] for _, out in found], [[at for _, at in out] for _, out in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["start", "node", "at"])
+
+    told = rows.mapInArrow(walked, "start long, node array<long>, at array<int>").join(named, "start")
+    told = told.select("start_class", "start_method", F.posexplode(F.arrays_zip("node", "at")).alias("nth", "s")).select("start_class", "start_method", "nth", "s.node", "s.at")
+    own = F.struct("class", "method", F.lit("call").alias("action"))
+    found = told.join(holders.select("node", "class", "method").join(bodies.select("node", "said"), "node"), "node")
+    found = found.select("start_class", "start_method", "nth", F.when(F.col("at") == 0, own).otherwise(F.get("said", F.col("at") - 1)).alias("s")).select("start_class", "start_method", "nth", "s.*")
     return found.join(members.select("class", "module"), "class", "left").withColumn("module", F.coalesce("module", F.lit(UNGROUPED))).select("start_class", "start_method", "nth", "class", "method", "module", "action")
 
 

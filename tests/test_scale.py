@@ -125,3 +125,17 @@ def test_needles_are_broadcast_by_their_own_number(spark, monkeypatch):
         found = contain.containing(names, words, most)
         assert "Broadcast" not in plan(found)
         assert sorted((r["needle"], r["hay"]) for r in found.collect()) == want
+
+
+def test_flows_are_no_groups_in_pandas(spark):
+    """A group for each start took 14 ms, however short its walk; names of methods don't move with what a start reaches."""
+    import re
+
+    from graphloom.operators import methods
+
+    found = entry.queries()["H6_method_flows"](spark, SF)
+    assert "FlatMapGroupsInPandas" not in plan(found) and re.search(r"MapInArrow walked\(start#\d+L, node#\d+, called#\d+\)", plan(found))
+    called = {1: [2, methods.SHOWN, 3, 9], 2: [methods.NOTHING, 3, 1, methods.SHOWN], 3: []}
+    assert methods.walk(1, called, 10) == [(1, 0), (2, 0), (3, 0), (2, 4), (1, 2)]
+    assert methods.walk(1, called, 1) == [(1, 0), (2, 0), (2, 4), (1, 2), (3, 0)]
+    assert methods.walk(1, called, 0) == [(1, 0), (1, 2)]
