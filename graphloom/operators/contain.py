@@ -8,6 +8,11 @@ found is verified; grams of haystacks leave their task for it only if some needl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,39 +67,71 @@ def containing(needles: DataFrame, hays: DataFrame, most: int = 3) -> DataFrame:
     return out
 
 
+def _hashes(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A number for the ``size`` codes from each start on; equal runs have equal numbers."""
+    out = np.full(len(starts), size, np.uint64)
+    for j in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[starts + j].astype(np.uint64)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _with_runs(hays: DataFrame, words: list[str], runs: dict[int, list[int]]) -> DataFrame:
+    """The ``hays`` (hay, ...) that have one of the ``runs`` (hashes by size, of places in ``words``), and run, those of each."""
+    columns = hays.columns
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, known = pa.array(words, pa.string()), {k: np.array(v, np.int64) for k, v in runs.items()}
+        for batch in batches:
+            parts = pc.split_pattern(pc.fill_null(batch.column(columns.index("hay")).cast(pa.string()), ""), " ")
+            codes = pc.fill_null(pc.index_in(parts.flatten(), value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+            unknown, pairs = np.concatenate([[0], np.cumsum(codes < 0)]), []
+            for size, wanted in known.items():
+                ends = np.arange(size, len(codes) + 1)
+                starts = np.flatnonzero((unknown[ends] == unknown[ends - size]) & (of[ends - 1] == of[ends - size]))
+                found = _hashes(codes, starts, size)
+                hit = np.isin(found, wanted)
+                pairs.append(np.stack([of[starts[hit]], found[hit]]))
+            pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            rows, first = np.unique(pairs[0], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, pairs.shape[1]).astype(np.int32)), pa.array(pairs[1], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, lists], [*columns, "run"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hays.schema)
+    return hays.mapInArrow(held, f"{schema}, run array<long>")
+
+
 def containing_passages(needles: DataFrame, hays: DataFrame, most: int = 6) -> DataFrame:
     """As ``containing``, for needles of several words in long hays.
 
     Words that have a blank on both sides in a needle are whole words, in the same order, of every hay that contains it. So a needle is
     looked up by the hash of ``most`` such words in a row, those that fewest hays have, and hays by their words instead of
-    their characters. Needles of less than three words go by their grams.
+    their characters. Hays are read once, in Arrow batches, and those that have such words of some needle are written.
+    Needles of less than three words go by their grams, and so do all if they have more than ``GRAMS`` words.
     """
-    needles = needles.filter("needle <> ''")
-    distinct = keep(needles.select("needle").distinct().withColumn("inner", F.split("needle", " ")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0)))))
-    short, long = distinct.filter("size(inner) = 0").select("needle"), distinct.filter("size(inner) > 0")
+    needles, hays = needles.filter("needle <> ''"), hays.filter("hay <> ''")
+    distinct = needles.select("needle").distinct().withColumn("inner", F.split("needle", " "))
+    distinct = keep(distinct.withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0)))))
+    total = distinct.agg(F.sum(F.size("inner")).alias("n")).first()["n"] or 0
+    if not 0 < total <= GRAMS:
+        return containing(needles, hays)
+    short = distinct.filter("size(inner) = 0").select("needle")
     few = containing(needles.join(short, "needle", "left_semi"), hays) if not short.isEmpty() else None
-
-    def runs(words: Column, size: Column) -> Column:
-        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size))))
-
-    size = F.least(F.size("inner"), F.lit(most))
-    own = keep(long.withColumn("size", size).withColumn("run", F.explode(runs(F.col("inner"), size))))
-    wanted = keep(own.select("run").distinct())
-    sizes = [r[0] for r in own.select("size").distinct().collect()]  # ``most`` numbers
-    many = wanted.count()
-    if not sizes:
-        return few if few is not None else needles.limit(0).join(hays.limit(0), F.lit(True))
-    of_hay = F.flatten(F.transform(F.array(F.split("hay", " ")), lambda words: F.flatten(F.array(*[runs(words, F.lit(k)) for k in sorted(sizes)]))))
-    held = hays.filter("hay <> ''").withColumn("run", F.explode(of_hay))
-
-    def known(listed: DataFrame) -> DataFrame:
-        return F.broadcast(listed) if many <= GRAMS else listed
-
-    counts = keep(held.join(known(wanted), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("n")))
-    rarest = own.join(counts, "run").groupBy("needle").agg(F.min(F.struct("n", "run")).alias("best"))
-    keys = keep(rarest.select("needle", "best.run"))
-    found = held.join(known(keys), "run").filter(F.col("hay").contains(F.col("needle"))).drop("run").join(needles, "needle")
+    asked = [(r["needle"], r["inner"]) for r in distinct.filter("size(inner) > 0").collect()]  # ``total`` words
+    words = sorted({w for _, inner in asked for w in inner})
+    place, own, runs = {w: i for i, w in enumerate(words)}, [], {}
+    for needle, inner in asked:
+        size = min(len(inner), most)
+        found = set(_hashes(np.array([place[w] for w in inner]), np.arange(len(inner) - size + 1), size).tolist())
+        own += [(needle, run) for run in found]
+        runs.setdefault(size, set()).update(found)
+    held = keep(_with_runs(hays, words, {k: sorted(v) for k, v in runs.items()})).withColumn("run", F.explode("run"))
+    counts = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    listed = needles.sparkSession.createDataFrame(own, "needle string, run long")
+    rarest = listed.join(counts, "run").groupBy("needle").agg(F.min(F.struct("n", "run")).alias("best"))
+    keys = keep(rarest.select("needle", "best.run"))  # a row for each needle of ``asked``
+    found = held.join(F.broadcast(keys), "run").filter(F.col("hay").contains(F.col("needle"))).drop("run").join(needles, "needle")
     return found if few is None else found.unionByName(few)
 
 

@@ -128,7 +128,7 @@ def test_needles_are_broadcast_by_their_own_number(spark, monkeypatch):
 
 
 def test_flows_are_no_groups_in_pandas(spark):
-    """A group for each start took 14 ms, however short its walk; names of methods don't move with what a start reaches."""
+    """Each start was a group of its own, however short its walk; names of methods don't move with what a start reaches."""
     import re
 
     from graphloom.operators import methods
@@ -139,3 +139,25 @@ def test_flows_are_no_groups_in_pandas(spark):
     assert methods.walk(1, called, 10) == [(1, 0), (2, 0), (3, 0), (2, 4), (1, 2)]
     assert methods.walk(1, called, 1) == [(1, 0), (2, 0), (2, 4), (1, 2), (3, 0)]
     assert methods.walk(1, called, 0) == [(1, 0), (1, 2)]
+
+
+def test_passages_of_too_many_words_go_by_their_grams(spark, monkeypatch):
+    from graphloom.operators import contain
+
+    n = spark.createDataFrame([(1, "a bb c dd e"), (2, "b"), (3, "a  c"), (4, None)], "n int, needle string")
+    h = spark.createDataFrame([(1, "xa bb c dd ef"), (2, "a bb c dd"), (3, "a  c a  c"), (4, None), (5, "")], "h int, hay string")
+    for limit in (contain.GRAMS, 1):
+        monkeypatch.setattr(contain, "GRAMS", limit)
+        found = contain.containing_passages(n, h)
+        assert sorted((r["n"], r["h"]) for r in found.collect()) == [(1, 1), (2, 1), (2, 2), (3, 3)]
+
+
+def test_texts_are_read_once_for_passages(spark, monkeypatch):
+    from graphloom.operators import contain
+
+    kept, keep = [], contain.keep
+    monkeypatch.setattr(contain, "keep", lambda df: kept.append(plan(df)) or keep(df))
+    h = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text AS hay")
+    n = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id", "text AS needle")
+    found = contain.containing_passages(n, h)
+    assert sum("documents.parquet" in p for p in [*kept, plan(found)]) == 1
