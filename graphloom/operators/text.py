@@ -6,8 +6,12 @@ vectors scaled to length 1; the vocabulary keeps the most frequent terms.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,7 +141,9 @@ TERMS = 200_000
 
 
 #: Characters of text that one task of an index takes, about: its counts stay in memory.
-CHARS = 4_000_000
+CHARS = 8_000_000
+#: From so many tasks on, terms that a piece of the texts has once are left out of the first count.
+PIECES = 8
 
 
 def by_document(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
@@ -146,18 +152,112 @@ def by_document(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFr
     return docs.select(doc, text).repartition(1 + total // CHARS, doc)
 
 
+def _occurrences(words: pa.Array, lengths: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """What the lists of ``words`` have, in order: the distinct words, each word's place there, its list, and where a pair of neighbours begins."""
+    coded = words.dictionary_encode()
+    codes, of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+    return coded.dictionary, codes, of, np.flatnonzero(of[1:] == of[:-1])
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _tallied(texts: DataFrame, least: int) -> DataFrame:
+    """term, low, pieces: over all pieces (Arrow batches) of ``texts`` (t), how often terms occur in those that have them ``least`` times, and how many those are; the row of the null term counts all pieces."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, codes, _, pairs = _occurrences(*_lists(batch.column(0)))
+            n = len(words)
+            keys, low = np.unique(np.concatenate([codes, n + codes[pairs] * n + codes[pairs + 1]]), return_counts=True)
+            keys, low = keys[low >= least], low[low >= least]
+            one = keys < n
+            first, second = np.divmod(keys[~one] - n, max(n, 1))
+            both = pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(second)), " ")
+            terms = pa.concat_arrays([words.take(pa.array(keys[one])).cast(pa.string()), both.cast(pa.string()), pa.nulls(1, pa.string())])
+            low = np.concatenate([low[one], low[~one], [0]])
+            yield pa.RecordBatch.from_arrays([terms, pa.array(low, pa.int64())], ["term", "low"])
+
+    return texts.select("t").mapInArrow(tally, "term string, low long").groupBy("term").agg(F.sum("low").alias("low"), F.count(F.lit(1)).alias("pieces"))
+
+
+def _candidates(texts: DataFrame, pieces: int, max_features: int) -> list[str]:
+    """Terms among which the ``max_features`` most frequent ones are, at most four times as many.
+
+    Terms that a piece has once need not leave it: what is counted then is at most one less a piece than there is. The least of the best counts tells who may
+    still be among the best, and whether a term may that no piece has twice; if so, or if too many may, everything is counted.
+    """
+    if pieces >= PIECES:
+        found = keep(_tallied(texts, 2))
+        all_pieces = found.filter("term IS NULL").first()
+        best = found.filter("term IS NOT NULL").orderBy(F.desc("low")).limit(max_features).agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("n")).first()
+        if all_pieces and best["n"] == max_features and best["low"] > all_pieces["pieces"]:
+            rows = found.filter("term IS NOT NULL").filter(F.col("low") + all_pieces["pieces"] - F.col("pieces") >= best["low"]).select("term").limit(4 * max_features + 1).collect()
+            if len(rows) <= 4 * max_features:
+                return sorted(r["term"] for r in rows)
+    rows = _tallied(texts, 1).filter("term IS NOT NULL").orderBy(F.desc("low"), "term").limit(max_features).select("term").collect()
+    return sorted(r["term"] for r in rows)
+
+
+def _counted(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """doc, ids, n: for each row of ``texts`` (doc, t) the places in ``terms`` of those it has, and how often."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = [t.split(" ") for t in terms]
+        words = pa.array(sorted({w for s in split for w in s}), pa.string())
+        place = {w: i for i, w in enumerate(words.to_pylist())}
+        single = np.full(len(words) + 1, -1)
+        pairs = {place[s[0]] * len(words) + place[s[1]]: i for i, s in enumerate(split) if len(s) == 2}
+        for i, s in enumerate(split):
+            if len(s) == 1:
+                single[place[s[0]]] = i
+        known = np.array(sorted(pairs) + [np.iinfo(np.int64).max])
+        pair_ids = np.array([pairs[k] for k in known[:-1].tolist()] + [-1])
+        for batch in batches:
+            own, codes, of, begins = _occurrences(*_lists(batch.column(1)))
+            at = pc.fill_null(pc.index_in(own.cast(pa.string()), value_set=words), len(words)).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            first, second = at[begins], at[begins + 1]
+            keys = np.where((first < len(words)) & (second < len(words)), first * len(words) + second, -1)
+            found = np.searchsorted(known, keys)
+            ids = np.concatenate([single[at], np.where(known[found] == keys, pair_ids[found], -1)])
+            rows = np.concatenate([of, of[begins]])
+            cells, n = np.unique((rows * len(terms) + ids)[ids >= 0], return_counts=True)
+            rows, ids = np.divmod(cells, max(len(terms), 1))
+            ends = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (ids, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc", "ids", "n"])
+
+    return texts.mapInArrow(counts, f"doc {texts.schema['doc'].dataType.simpleString()}, ids array<int>, n array<int>")
+
+
 def build_index(docs: DataFrame, doc: str = "doc", text: str = "text", max_features: int = 50_000) -> Index:
-    """The index of ``docs``. Texts move once for each use, their many terms don't: they are counted where the text is, and meet the broadcast idf there."""
-    docs = by_document(docs, doc, text)
-    counts = term_counts(docs, doc, text)
-    n = docs.select(F.col(doc)).distinct().agg(F.count(F.lit(1)).alias("docs"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
+    """The index of ``docs``. Texts move once, their many terms don't: they are counted in Arrow batches where the text is; the counts of known terms are written, a row for each document.
+
+    More than ``TERMS`` features are counted by joins.
+    """
+    docs = by_document(docs, doc, text).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    n = keep(docs.select("doc").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("most")))
+    if max_features <= TERMS:
+        texts = docs.select("doc", tokenized(F.col("text")).alias("t"))
+        terms = _candidates(texts, docs.rdd.getNumPartitions(), max_features)
+        listed = keep(docs.sparkSession.createDataFrame(list(enumerate(terms)), "id int, term string"))
+        counted = keep(_counted(texts, terms))
+        rows = counted.repartition("doc").select("doc", F.explode(F.arrays_zip("ids", "n")).alias("c")).select("doc", F.col("c.ids").alias("id"), "c.n")
+        if (n.first()["most"] or 0) > 1:  # rows that share a document
+            rows = rows.groupBy("doc", "id").agg(F.sum("n").alias("n"))
+        df = rows.groupBy("id").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")).join(F.broadcast(listed), "id")
+        key, columns = "id", ["id", "term"]
+    else:
+        rows = term_counts(docs)
+        df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
+        key, columns = "term", ["term"]
     df = df.orderBy(F.desc("total"), "term").limit(max_features)
-    idf = keep(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))  # n is one row
+    idf = keep(df.join(F.broadcast(n)).select(*columns, (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))  # n is one row
     known = F.broadcast(idf) if max_features <= TERMS else idf
-    weights = counts.join(known, "term").select("doc", "term", ((1 + F.log("n")) * F.col("idf")).alias("w"))
+    weights = rows.join(known, key).select("doc", "term", ((1 + F.log("n")) * F.col("idf")).alias("w"))
     norms = weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return Index(weights, norms, idf)
+    return Index(weights, norms, idf.select("term", "idf"))
 
 
 def scaled(counts: DataFrame, idf: DataFrame) -> DataFrame:
@@ -175,7 +275,8 @@ def search(index: Index, queries: DataFrame, top_k: int = 5, query: str = "query
     few = F.broadcast(q) if q.count() <= TERMS else q
     # Only terms of queries count, so they meet the weights first, and lengths what is left.
     sums = index.weights.join(few, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("wq")).alias("sum"))
-    scores = sums.join(index.norms, "doc").select("query", "doc", F.round(F.col("sum") / F.col("norm"), 6).alias("score"))
+    # The norms of a task's documents are its hash table, so that the many sums needn't be sorted.
+    scores = sums.join(index.norms.hint("shuffle_hash"), "doc").select("query", "doc", F.round(F.col("sum") / F.col("norm"), 6).alias("score"))
     ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc")))
     return ranked.filter((F.col("rank") <= top_k) & (F.col("score") > 0))
 

@@ -161,3 +161,29 @@ def test_texts_are_read_once_for_passages(spark, monkeypatch):
     n = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id", "text AS needle")
     found = contain.containing_passages(n, h)
     assert sum("documents.parquet" in p for p in [*kept, plan(found)]) == 1
+
+
+def test_best_terms_are_the_same_when_rare_ones_stay_in_their_piece(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import text
+
+    rng = random.Random(5)
+    said = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(300, None), (7, "w1 w2 w2"), (8, "漢字 w1x")]
+    docs = spark.createDataFrame(said, "doc long, text string").repartition(8)
+    monkeypatch.setattr(text, "CHARS", 500)
+    tallied = []
+    monkeypatch.setattr(text, "_tallied", lambda texts, least, f=text._tallied: tallied.append(least) or f(texts, least))
+    rows = lambda df: sorted((r["doc"], r["term"], round(r["w"], 9)) for r in df.collect())
+    for features, tallies in ((20, {2}), (400, {1, 2})):
+        tallied.clear()
+        index = text.build_index(docs, max_features=features)
+        assert set(tallied) == tallies
+        assert "Generate" not in plan(index.idf)
+        monkeypatch.setattr(text, "TERMS", 0)
+        plain = text.build_index(docs, max_features=features)
+        monkeypatch.setattr(text, "TERMS", 200_000)
+        assert rows(index.weights) == rows(plain.weights) and index.idf.count() == features
+        assert sorted(tuple(r) for r in index.norms.select("doc", F.round("norm", 9)).collect()) == sorted(tuple(r) for r in plain.norms.select("doc", F.round("norm", 9)).collect())
