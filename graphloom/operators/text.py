@@ -116,11 +116,16 @@ def term_counts(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFr
 
 @dataclass
 class Index:
-    """weights (doc, term, w) of known terms, the length (norm) of each document's vector, and idf."""
+    """weights (doc, term, w) of known terms, the length (norm) of each document's vector, and idf.
+
+    An index that was just built also has ``counts`` (doc, ids, n; a row for each document) and ``places`` (id, term, idf).
+    """
 
     weights: DataFrame
     norms: DataFrame
     idf: DataFrame
+    counts: DataFrame | None = None
+    places: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -146,10 +151,8 @@ CHARS = 8_000_000
 PIECES = 8
 
 
-def by_document(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """``docs`` spread by ``doc`` over as many tasks as their text needs, so that what is grouped by document moves no more."""
-    total = docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    return docs.select(doc, text).repartition(1 + total // CHARS, doc)
+def _pieces(docs: DataFrame, text: str = "text") -> int:
+    return 1 + (docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0) // CHARS
 
 
 def _occurrences(words: pa.Array, lengths: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -236,15 +239,17 @@ def build_index(docs: DataFrame, doc: str = "doc", text: str = "text", max_featu
 
     More than ``TERMS`` features are counted by joins.
     """
-    docs = by_document(docs, doc, text).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     n = keep(docs.select("doc").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("most")))
+    pieces = _pieces(docs)
+    docs, counted, shared = docs.repartition(pieces, "doc"), None, (n.first()["most"] or 0) > 1
     if max_features <= TERMS:
         texts = docs.select("doc", tokenized(F.col("text")).alias("t"))
-        terms = _candidates(texts, docs.rdd.getNumPartitions(), max_features)
+        terms = _candidates(texts, pieces, max_features)
         listed = keep(docs.sparkSession.createDataFrame(list(enumerate(terms)), "id int, term string"))
         counted = keep(_counted(texts, terms))
         rows = counted.repartition("doc").select("doc", F.explode(F.arrays_zip("ids", "n")).alias("c")).select("doc", F.col("c.ids").alias("id"), "c.n")
-        if (n.first()["most"] or 0) > 1:  # rows that share a document
+        if shared:  # rows have a document in common
             rows = rows.groupBy("doc", "id").agg(F.sum("n").alias("n"))
         df = rows.groupBy("id").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")).join(F.broadcast(listed), "id")
         key, columns = "id", ["id", "term"]
@@ -257,7 +262,7 @@ def build_index(docs: DataFrame, doc: str = "doc", text: str = "text", max_featu
     known = F.broadcast(idf) if max_features <= TERMS else idf
     weights = rows.join(known, key).select("doc", "term", ((1 + F.log("n")) * F.col("idf")).alias("w"))
     norms = weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return Index(weights, norms, idf.select("term", "idf"))
+    return Index(weights, norms, idf.select("term", "idf"), *((counted, idf) if counted is not None and not shared else ()))
 
 
 def scaled(counts: DataFrame, idf: DataFrame) -> DataFrame:
@@ -267,16 +272,77 @@ def scaled(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return w.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+#: Numbers that a scoring task holds at once, about.
+CELLS = 4_000_000
+#: Scores are rounded after the best of a task are chosen, so those within this of them stay, too.
+NEAR = 2e-6
+
+
+def _best(index: Index, q: DataFrame, top_k: int) -> DataFrame:
+    """query, doc, score (not rounded): of each task the documents that may be among the ``top_k`` of a query (query, term, wq) by their score."""
+    asked = keep(q.select("query").distinct().coalesce(1).withColumn("at", F.monotonically_increasing_id()))
+    cells = [tuple(r) for r in q.join(asked, "query").join(index.places, "term").select("at", "id", "wq").collect()]  # at most TERMS rows
+    idf, many = {r["id"]: r["idf"] for r in index.places.select("id", "idf").collect()}, asked.count()  # at most TERMS rows
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_id = np.zeros(max(idf, default=0) + 2)  # what isn't known weighs nothing
+        of_id[list(idf)] = list(idf.values())
+        column, term, weight = (np.array(x, kind) for x, kind in zip(list(zip(*cells, strict=True)) or [[], [], []], (np.int64, np.int64, np.float64), strict=True))
+        wanted = np.unique(term)
+        place = np.full(len(of_id), -1)
+        place[wanted] = np.arange(len(wanted))
+        wide = max(1, min(many, CELLS // max(1, len(wanted))))
+        floor = np.zeros(many)
+        for batch in batches:
+            docs, (ids, lengths) = batch.column(0), _lists(batch.column(1))
+            ids = np.minimum(ids.to_numpy(zero_copy_only=False).astype(np.int64), len(of_id) - 1)
+            w = (1 + np.log(batch.column(2).flatten().to_numpy(zero_copy_only=False))) * of_id[ids]
+            of = np.repeat(np.arange(len(docs)), lengths)
+            norm = np.sqrt(np.bincount(of, w * w, len(docs)))
+            held = np.flatnonzero((place[ids] >= 0) & (w > 0))
+            of, at, w = of[held], place[ids[held]], w[held]
+            out = []
+            for left in range(0, many, wide):
+                table = np.zeros((len(wanted), min(wide, many - left)))
+                own = (column >= left) & (column < left + wide)
+                table[place[term[own]], column[own] - left] = weight[own]
+                begin = 0
+                while begin < len(of):
+                    end = min(len(of), begin + max(1, CELLS // table.shape[1]))
+                    if end < len(of):  # a document is scored whole
+                        end = np.searchsorted(of, of[end]) if of[end] > of[begin] else np.searchsorted(of, of[begin], "right")
+                    rows, first = np.unique(of[begin:end], return_index=True)
+                    found = np.add.reduceat(table[at[begin:end]] * w[begin:end, None], first, axis=0) / norm[rows, None]
+                    low = floor[left : left + table.shape[1]]
+                    if len(rows) >= top_k:
+                        np.maximum(low, np.partition(found, -top_k, axis=0)[-top_k], out=low)
+                    r, c = np.nonzero((found > 0) & (found >= low - NEAR))
+                    out.append((rows[r], c + left, found[r, c]))
+                    begin = end
+            for rows, c, found in out:
+                own = found >= floor[c] - NEAR
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array(rows[own], pa.int64())), pa.array(c[own], pa.int64()), pa.array(found[own], pa.float64())], ["doc", "at", "score"])
+
+    found = index.counts.mapInArrow(scored, f"doc {index.counts.schema['doc'].dataType.simpleString()}, at long, score double")
+    return found.join(F.broadcast(asked), "at").select("query", "doc", "score")
+
+
 def search(index: Index, queries: DataFrame, top_k: int = 5, query: str = "query", text: str = "text") -> DataFrame:
-    """query, doc, score, rank: the best ``top_k`` documents of each query; ties go to the smaller document."""
+    """query, doc, score, rank: the best ``top_k`` documents of each query; ties go to the smaller document.
+
+    Where documents' counts are rows and queries' terms few, each task scores its documents and gives on the best ones only.
+    """
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
     q = keep(scaled(term_counts(queries, query, text), index.idf).select(F.col("doc").alias("query"), "term", F.col("w").alias("wq")))
-    few = F.broadcast(q) if q.count() <= TERMS else q
-    # Only terms of queries count, so they meet the weights first, and lengths what is left.
-    sums = index.weights.join(few, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("wq")).alias("sum"))
-    # The norms of a task's documents are its hash table, so that the many sums needn't be sorted.
-    scores = sums.join(index.norms.hint("shuffle_hash"), "doc").select("query", "doc", F.round(F.col("sum") / F.col("norm"), 6).alias("score"))
+    few = q.count() <= TERMS
+    if few and index.counts is not None:
+        scores = _best(index, q, top_k).withColumn("score", F.round("score", 6))
+    else:
+        # Only terms of queries count, so they meet the weights first, and lengths what is left.
+        sums = index.weights.join(F.broadcast(q) if few else q, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("wq")).alias("sum"))
+        # The norms of a task's documents are its hash table, so that the many sums needn't be sorted.
+        scores = sums.join(index.norms.hint("shuffle_hash"), "doc").select("query", "doc", F.round(F.col("sum") / F.col("norm"), 6).alias("score"))
     ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc")))
     return ranked.filter((F.col("rank") <= top_k) & (F.col("score") > 0))
 

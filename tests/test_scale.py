@@ -187,3 +187,24 @@ def test_best_terms_are_the_same_when_rare_ones_stay_in_their_piece(spark, monke
         monkeypatch.setattr(text, "TERMS", 200_000)
         assert rows(index.weights) == rows(plain.weights) and index.idf.count() == features
         assert sorted(tuple(r) for r in index.norms.select("doc", F.round("norm", 9)).collect()) == sorted(tuple(r) for r in plain.norms.select("doc", F.round("norm", 9)).collect())
+
+
+def test_tasks_give_on_their_best_documents_only(spark, monkeypatch):
+    import random
+
+    from graphloom.operators import text
+
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(n))
+    docs = spark.createDataFrame([(i, line(rng.randint(0, 40))) for i in range(200)] + [(200 + i, "w1 w2 w3 w4") for i in range(20)] + [(300, None)], "doc long, text string")
+    asked = spark.createDataFrame([(f"q{i}", line(9)) for i in range(30)] + [("same", "w1 w2 w3 w4"), ("none", "zzz"), ("null", None)], "query string, text string")
+    index = text.build_index(docs, max_features=60)
+    plain = text.Index(index.weights, index.norms, index.idf)
+    rows = lambda df: sorted(tuple(r) for r in df.select("query", "doc", "score", "rank").collect())
+    want = rows(text.search(plain, asked, 4))
+    for cells in (text.CELLS, 100):
+        monkeypatch.setattr(text, "CELLS", cells)
+        found = text.search(index, asked, 4)
+        assert rows(found) == want and "MapInArrow" in plan(found)
+    assert [r[1] for r in want if r[0] == "same"] == [200, 201, 202, 203]
+    assert text.search(index, asked.limit(0), 4).isEmpty()
