@@ -22,6 +22,8 @@ from .graph import keep
 
 #: Needles, or grams of them, that are broadcast at most; more are joined by a shuffle.
 GRAMS = 200_000
+#: Hays that are cut into words at once.
+ROWS = 1000
 #: Characters of the grams between names: few names are longer, so nearly all are looked up whole. Shorter grams meet more names the more there are.
 WHOLE = 16
 
@@ -82,7 +84,7 @@ def _with_runs(hays: DataFrame, words: list[str], runs: dict[int, list[int]]) ->
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, known = pa.array(words, pa.string()), {k: np.array(v, np.int64) for k, v in runs.items()}
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             parts = pc.split_pattern(pc.fill_null(batch.column(columns.index("hay")).cast(pa.string()), ""), " ")
             codes = pc.fill_null(pc.index_in(parts.flatten(), value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             of = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))

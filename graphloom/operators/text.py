@@ -272,8 +272,8 @@ def scaled(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return w.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-#: Numbers that a scoring task holds at once, about.
-CELLS = 4_000_000
+#: Numbers that a scoring task holds at once, about, and documents that it takes at once.
+CELLS, ROWS = 1_000_000, 1000
 #: Scores are rounded after the best of a task are chosen, so those within this of them stay, too.
 NEAR = 2e-6
 
@@ -293,7 +293,7 @@ def _best(index: Index, q: DataFrame, top_k: int) -> DataFrame:
         place[wanted] = np.arange(len(wanted))
         wide = max(1, min(many, CELLS // max(1, len(wanted))))
         floor = np.zeros(many)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             docs, (ids, lengths) = batch.column(0), _lists(batch.column(1))
             ids = np.minimum(ids.to_numpy(zero_copy_only=False).astype(np.int64), len(of_id) - 1)
             w = (1 + np.log(batch.column(2).flatten().to_numpy(zero_copy_only=False))) * of_id[ids]

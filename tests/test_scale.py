@@ -204,6 +204,7 @@ def test_tasks_give_on_their_best_documents_only(spark, monkeypatch):
     want = rows(text.search(plain, asked, 4))
     for cells in (text.CELLS, 100):
         monkeypatch.setattr(text, "CELLS", cells)
+        monkeypatch.setattr(text, "ROWS", 64 if cells == 100 else 1000)
         found = text.search(index, asked, 4)
         assert rows(found) == want and "MapInArrow" in plan(found)
     assert [r[1] for r in want if r[0] == "same"] == [200, 201, 202, 203]
